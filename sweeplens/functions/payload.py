@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def payload_score(payload: Column) -> Column:
@@ -29,56 +33,47 @@ def payload_score(payload: Column) -> Column:
     )
 
 
-def _balanced_end(text: str, start: int) -> int:
-    depth, inside, skip = 0, False, False
-    for pos in range(start, len(text)):
-        ch = text[pos]
-        if inside:
-            if skip:
-                skip = False
-            elif ch == "\\":
-                skip = True
-            elif ch == '"':
-                inside = False
-        elif ch == '"':
-            inside = True
-        elif ch == "{":
+# A whole quoted string, a lone quote (an unterminated string) or a brace.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|["{}]', re.DOTALL)
+
+
+def _leading_object(text: str | None) -> str | None:
+    """JSON object that ``text`` starts with, if balanced and valid."""
+    depth = 0
+    for token in _TOKEN.finditer(text or ""):
+        mark = token.group()
+        if mark == "{":
             depth += 1
-        elif ch == "}":
+        elif mark == "}":
             depth -= 1
-            if depth == 0:
-                return pos + 1
-    return -1
+        elif mark == '"':
+            return None
+        if depth == 0:
+            body = text[: token.end()]
+            try:
+                return body if isinstance(json.loads(body), dict) else None
+            except ValueError:
+                return None
+    return None
 
 
-def _first_object(text: str | None) -> str | None:
-    if text is None:
-        return None
-    start = text.find("{")
-    if start < 0:
-        return None
-    end = _balanced_end(text, start)
-    if end < 0:
-        return None
-    body = text[start:end]
-    try:
-        return body if isinstance(json.loads(body), dict) else None
-    except ValueError:
-        return None
+def _leading_objects(texts: pd.Series) -> pd.Series:
+    return texts.map(_leading_object)
 
 
-@F.pandas_udf("string")
-def _first_object_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(_first_object)
+# Executors need no installed copy of this package: the functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def first_json_object(text: Column) -> Column:
     """First balanced JSON object in free text, as JSON text.
 
-    Only the first ``{`` is tried.  An object without quotes or nesting inside
-    is cut by a JVM regex; Python sees the remaining texts in Arrow batches.
+    Only the first ``{`` is tried.  Brace matching has no regular expression, so
+    it runs on Arrow batches; Python only receives texts with a brace, and those
+    from the brace on.
     """
-    return _first_object_batch(text)
+    from_brace = F.when(text.contains("{"), F.substr(text, F.position(F.lit("{"), text)))
+    return F.pandas_udf(_leading_objects, T.StringType())(from_brace)
 
 
 # Fields every agent action must carry.

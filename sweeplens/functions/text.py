@@ -102,8 +102,8 @@ def first_definition_line(lines: Column) -> Column:
 # --- cells -----------------------------------------------------------------
 
 def slug(text: Column) -> Column:
-    """Lower case, punctuation dropped, runs of blanks and dashes to one dash."""
-    dashed = F.regexp_replace(F.lower(text), r"[\s-]+", "-")
+    """Lower case, blanks to dashes, other punctuation dropped, dashes collapsed."""
+    dashed = F.translate(F.lower(text), " ", "-")
     kept = F.regexp_replace(dashed, r"[^a-z0-9-]", "")
     return F.regexp_replace(F.regexp_replace(kept, "-+", "-"), "^-|-$", "")
 
