@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 INT_ARRAY = "array<int>"
 BLOCK_ARRAY = "array<struct<i:int,j:int>>"
 PAIR_TEXT = r"^\(?\s*(-?\d+)\s*,\s*(-?\d+)\s*\)?$"
-EDGE_SPACE = r"(?U)^\s+|\s+$"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def as_col(value: int | str | Column) -> Column:
@@ -20,8 +20,17 @@ def as_col(value: int | str | Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    """Strip every kind of white space at both ends (``trim`` only strips blanks)."""
-    return F.regexp_replace(text, EDGE_SPACE, "")
+    """Strip every kind of white space at both ends (``trim`` alone strips blanks)."""
+    return F.btrim(text, F.lit(SPACES))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    Column expressions have no variables: a sub-expression used five times is
+    evaluated five times.  A one-element array binds it to a lambda argument.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def null_of(type_name: str) -> Column:
@@ -52,11 +61,13 @@ def expand_block(n: int | Column, i: Column, j: Column) -> Column:
 
 def insert_after_last(layers: Column, anchor: Column, extra: Column) -> Column:
     """Insert ``extra`` behind the right-most ``anchor``; unchanged if absent."""
-    from_end = F.array_position(F.reverse(layers), anchor).cast("int")
-    head = F.size(layers) - from_end + 1
-    return F.when(from_end == 0, layers).otherwise(
-        F.concat(F.slice(layers, F.lit(1), head), extra, F.slice(layers, head + 1, F.size(layers)))
-    )
+    def spliced(from_end: Column) -> Column:
+        head = F.size(layers) - from_end + 1
+        return F.when(from_end == 0, layers).otherwise(
+            F.concat(F.slice(layers, F.lit(1), head), extra, F.slice(layers, head + 1, F.size(layers)))
+        )
+
+    return let(F.array_position(F.reverse(layers), anchor).cast("int"), spliced)
 
 
 def expand_blocks(n: int | Column, blocks: Column) -> Column:
@@ -77,13 +88,12 @@ def expand_blocks(n: int | Column, blocks: Column) -> Column:
 
 
 def layers_are_valid(n: int | Column, layers: Column) -> Column:
-    n = as_col(n)
-    inside = F.forall(layers, lambda x: x.isNotNull() & (x >= 0) & (x < n))
-    return F.coalesce(layers.isNotNull() & (F.size(layers) > 0) & inside, F.lit(False))
+    inside = (F.array_min(layers) >= 0) & (F.array_max(layers) < as_col(n))
+    return F.coalesce(inside & ~F.exists(layers, lambda x: x.isNull()), F.lit(False))
 
 
 def valid_or_null(n: int | Column, layers: Column) -> Column:
-    return F.when(layers_are_valid(n, layers), layers)
+    return let(layers, lambda x: F.when(layers_are_valid(n, x), x))
 
 
 # --- text forms ------------------------------------------------------------
@@ -97,43 +107,42 @@ def block_spec(blocks: Column) -> Column:
     return F.when(F.size(blocks) == 0, F.lit("0,0")).otherwise(F.array_join(pairs, ";"))
 
 
-def _all_or_null(values: Column, size: Column | None = None) -> Column:
-    ok = (F.size(values) > 0) & ~F.exists(values, lambda x: x.isNull())
-    return F.when(ok if size is None else ok & (F.size(values) == size), values)
+# Whole-text patterns decide whether a spec is usable; the numbers are then cut
+# out and cast in bulk, which stays in generated code.
+_INT = r"[+-]?\d{1,9}"
+_LIST = rf"\s*(?:{_INT}\s*)?(?:,\s*(?:{_INT}\s*)?)*$"
+_PAIR = rf"(?:\(\s*{_INT}\s*,\s*{_INT}\s*\)|{_INT}\s*,\s*{_INT})"
+_BLOCKS = rf"[\s;]*{_PAIR}\s*(?:;\s*(?:{_PAIR}\s*)?)*$"
+_NO_GAPS = rf"^\s*{_INT}\s*(?:,\s*{_INT}\s*)*$"
+_LIST_SPEC = rf"(?i)^layers:{_LIST}"
+_BLOCK_SPEC = rf"(?i)^(?:blocks:)?{_BLOCKS}"
+
 
+def _numbers(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_INT), F.lit(0)).cast(INT_ARRAY)
 
-def _int(text: Column) -> Column:
-    return squeeze(text).try_cast("int")
+
+def _paired(numbers: Column) -> Column:
+    """Flat ``i, j, i, j`` numbers to block structs."""
+    return F.transform(
+        F.sequence(F.lit(0), F.size(numbers) - 2, F.lit(2)),
+        lambda k: F.struct(F.get(numbers, k).alias("i"), F.get(numbers, k + 1).alias("j")))
 
 
 def parse_layer_list(text: Column) -> Column:
-    body = F.regexp_replace(squeeze(text), r"(?i)^layers:", "")
-    items = F.filter(F.split(body, ","), lambda x: squeeze(x) != "")
-    return _all_or_null(F.transform(items, _int))
+    """``layers:0,1,2`` or ``0,1,2``; empty items are skipped."""
+    usable = squeeze(text).rlike(rf"(?i)^(?:layers:)?{_LIST}") & text.rlike(r"\d")
+    return F.when(usable, _numbers(text))
 
 
 def parse_blocks(text: Column) -> Column:
-    body = F.regexp_replace(squeeze(text), r"(?i)^blocks:", "")
-    pairs = F.filter(F.transform(F.split(body, ";"), squeeze), lambda x: x != "")
-
-    def one(pair: Column) -> Column:
-        bare = F.regexp_replace(pair, r"^\((.*)\)$", "$1")
-        parts = F.split(bare, ",")
-        i, j = _int(F.get(parts, F.lit(0))), _int(F.get(parts, F.lit(1)))
-        return F.when(
-            (F.size(parts) == 2) & i.isNotNull() & j.isNotNull(),
-            F.struct(i.alias("i"), j.alias("j")),
-        )
-
-    return _all_or_null(F.transform(pairs, one))
+    """``blocks:3,6;4,6`` with or without brackets; empty items are skipped."""
+    return F.when(squeeze(text).rlike(_BLOCK_SPEC), let(_numbers(text), _paired))
 
 
 def parse_pair(text: Column) -> Column:
     """``(i, j)`` or ``i,j`` as a block struct, else NULL."""
-    body = squeeze(text)
-    i = F.regexp_extract(body, PAIR_TEXT, 1).try_cast("int")
-    j = F.regexp_extract(body, PAIR_TEXT, 2).try_cast("int")
-    return F.when(i.isNotNull() & j.isNotNull(), F.struct(i.alias("i"), j.alias("j")))
+    return F.when(squeeze(text).rlike(PAIR_TEXT), F.get(let(_numbers(text), _paired), F.lit(0)))
 
 
 def spec_kind(text: Column) -> Column:
@@ -150,16 +159,18 @@ def parse_spec(n: int | Column, text: Column) -> Column:
     """Any text spelling to the canonical layer list; NULL when unusable.
 
     A bare pair is read as a block before anything else, so an explicit list of
-    two layers needs the ``layers:`` prefix.
+    two layers needs the ``layers:`` prefix.  A pair is a one-block list, so
+    both share one expansion.
     """
-    kind = spec_kind(text)
-    pair = parse_pair(text)
-    layers = (
-        F.when(kind == "layers", parse_layer_list(text))
-        .when(kind == "pair", expand_block(n, pair["i"], pair["j"]))
-        .when(kind == "blocks", expand_blocks(n, parse_blocks(text)))
-    )
-    return valid_or_null(n, layers)
+    body = squeeze(text)
+
+    def layers(numbers: Column) -> Column:
+        return (
+            F.when(body.rlike(_LIST_SPEC) & (F.size(numbers) > 0), numbers)
+            .when(body.rlike(_BLOCK_SPEC) | body.rlike(PAIR_TEXT), expand_blocks(n, _paired(numbers)))
+        )
+
+    return valid_or_null(n, let(_numbers(text), layers))
 
 
 def parse_sequence_key(n: int | Column, key: Column) -> Column:
@@ -172,13 +183,20 @@ def parse_sequence_key(n: int | Column, key: Column) -> Column:
 
 def encode_counts(layers: Column, n: int | Column) -> Column:
     """How often each layer runs; NULL when a layer is out of range."""
-    counts = F.transform(baseline_layers(n), lambda l: F.size(F.filter(layers, lambda x: x == l)))
-    return F.when(layers_are_valid(n, layers), counts)
+    def counts(x: Column) -> Column:
+        # Size difference to the list without the layer: array_remove runs in generated code.
+        times = F.transform(baseline_layers(n), lambda l: F.size(x) - F.size(F.array_remove(x, l)))
+        return F.when(layers_are_valid(n, x), times)
+
+    return let(layers, counts)
 
 
 def decode_counts(counts: Column, n: int | Column) -> Column:
-    ok = (F.size(counts) == as_col(n)) & F.forall(counts, lambda c: c >= 0)
-    return F.when(ok, F.flatten(F.transform(counts, lambda c, i: F.array_repeat(i, c))))
+    def decoded(x: Column) -> Column:
+        ok = (F.size(x) == as_col(n)) & (F.array_min(x) >= 0)
+        return F.when(ok, F.flatten(F.transform(x, lambda c, i: F.array_repeat(i, c))))
+
+    return let(counts, decoded)
 
 
 def counts_to_csv(counts: Column) -> Column:
@@ -186,8 +204,10 @@ def counts_to_csv(counts: Column) -> Column:
 
 
 def counts_from_csv(text: Column, n: int | Column | None = None) -> Column:
-    values = F.transform(F.split(squeeze(text), ","), _int)
-    return _all_or_null(values, None if n is None else as_col(n))
+    usable = squeeze(text).rlike(_NO_GAPS)
+    if n is None:
+        return F.when(usable, _numbers(text))
+    return let(_numbers(text), lambda x: F.when(usable & (F.size(x) == as_col(n)), x))
 
 
 def extra_layers(layers: Column, n: int | Column) -> Column:
@@ -207,12 +227,12 @@ def counts_overhead(counts: Column, n: int | Column) -> Column:
 
 def duplicated_layers(layers: Column) -> Column:
     """Layers that run more than once as ``array<struct<layer,times>>``."""
-    seen = F.array_sort(F.array_distinct(layers))
-    counted = F.transform(
-        seen,
-        lambda l: F.struct(l.alias("layer"), F.size(F.filter(layers, lambda x: x == l)).alias("times")),
-    )
-    return F.filter(counted, lambda e: e["times"] > 1)
+    def counted(x: Column) -> Column:
+        return F.transform(
+            F.sort_array(F.array_distinct(x)),
+            lambda l: F.struct(l.alias("layer"), (F.size(x) - F.size(F.array_remove(x, l))).alias("times")))
+
+    return F.filter(let(layers, counted), lambda e: e["times"] > 1)
 
 
 def block_label(i: Column, j: Column, n: int | Column) -> Column:

@@ -11,6 +11,7 @@ from sweeplens.functions import layers as L
 from sweeplens.functions.payload import payload_score
 from sweeplens.operators.config_space import split_rejects
 from sweeplens.operators.ordering import global_rank, latest, quantile_value, top_n
+from sweeplens.operators.stage import computed
 from sweeplens.session import pin
 
 KEY = "layer_key"
@@ -28,7 +29,7 @@ def score_table(raw: DataFrame, n: int, seq: str = "seq", last_wins: bool = True
     Unusable rows are set aside before duplicates are resolved, so a bad late
     row does not hide a good earlier one.
     """
-    parsed = raw.withColumn(KEY, L.parse_spec(n, F.col("raw_key"))).withColumn("score", payload_score(F.col("payload")))
+    parsed = computed(raw, **{KEY: L.parse_spec(n, F.col("raw_key")), "score": payload_score(F.col("payload"))})
     parsed = parsed.withColumn("_ok", F.when(F.col(KEY).isNotNull() & F.col("score").isNotNull(), True))
     good, bad = split_rejects(parsed, "_ok")
     reason = F.when(F.col(KEY).isNull(), "bad_key").otherwise("bad_score")
@@ -135,12 +136,19 @@ def balance(math: DataFrame, eq: DataFrame, n: int, eq_scale: str = "auto_to_uni
             baseline_policy: str = "canonical_or_proxy") -> Balanced:
     """Join two score tables, rescale, subtract the baseline, z-score and sum.
 
-    The outer join is pinned once: scale inference needs all rows of one metric,
+    The outer join is pinned: scale inference needs all rows of one metric,
     everything else the common keys.  The inputs are read a single time, and the
     three one-row statistics read the pinned copy.
     """
-    both = pin(math.select(KEY, F.col("score").alias("math_score")).join(
-        eq.select(KEY, F.col("score").alias("eq_score")), KEY, "full"))
+    both = math.select(KEY, F.col("score").alias("math_score")).join(
+        eq.select(KEY, F.col("score").alias("eq_score")), KEY, "full")
+    return balance_table(both, n, eq_scale, baseline_policy)
+
+
+def balance_table(both: DataFrame, n: int, eq_scale: str = "auto_to_unit",
+                  baseline_policy: str = "canonical_or_proxy") -> Balanced:
+    """:func:`balance` for one table that already holds both metrics per key."""
+    both = pin(both.select(KEY, "math_score", "eq_score"))
     scale = one_row(scale_info(both.filter("eq_score is not null"), eq_scale, "eq_score"))
     common = both.filter("math_score is not null and eq_score is not null").withColumn(
         "eq_score", F.col("eq_score") * scale["factor"])

@@ -13,8 +13,7 @@ N = fx.N_LAYERS
 
 
 def balanced(spark, d):
-    scored = fx.scores(spark, d)
-    return A.balance(fx.metric(scored, "math_score"), fx.metric(scored, "eq_score_pct"), N)
+    return A.balance_table(fx.scores(spark, d).withColumnRenamed("eq_score_pct", "eq_score"), N)
 
 
 def _r(*names):
@@ -26,6 +25,14 @@ def balanced_topn(spark, d):
     return top.select("rank", "relayer", "method", *_r("math_score", "eq_score", "math_delta", "eq_delta", "balanced_score"))
 
 
+def metric_join(spark, d):
+    """Two separate metric tables, the second without every seventh configuration's group."""
+    scored = fx.scores(spark, d)
+    math, eq = fx.metric(scored, "math_score"), fx.metric(scored.filter("j - i <> 7"), "eq_score_pct")
+    rows = A.balance(math, eq, N).rows
+    return rows.select(F.array_join("layer_key", ",").alias("layers"), *_r("math_delta", "eq_delta", "balanced_score"))
+
+
 def balanced_rank(spark, d):
     ranked = A.ranked_balanced(balanced(spark, d))
     return ranked.select("rank", F.array_join("layer_key", ",").alias("layers"), *_r("balanced_score"))
@@ -159,7 +166,7 @@ def clip_bounds(spark, d):
 
 QUERIES = {
     f.__name__: f for f in (
-        balanced_topn, balanced_rank, balanced_summary, baseline_choice, scale_inference, infer_layers, payload_scores,
+        balanced_topn, metric_join, balanced_rank, balanced_summary, baseline_choice, scale_inference, infer_layers, payload_scores,
         payload_rejects, score_grid, diff_grid, grid_wide, diff_summary, score_summary, repeat_grid, repeat_best,
         clip_bounds)
 }
@@ -190,6 +197,9 @@ ORACLES = {
         'layers:' || array_to_string(layer_key, ',') as relayer, 'balanced_z_delta' as method, round(math_score, 9) as math_score,
         round(eq_score, 9) as eq_score, round(math_delta, 9) as math_delta, round(eq_delta, 9) as eq_delta,
         round(balanced_score, 9) as balanced_score from bal order by rank limit 10""",
+    "metric_join": f"""with {BALANCED_SQL.replace('join configs using (cfg_id))', 'join configs using (cfg_id) where j - i <> 7)')}
+        select array_to_string(layer_key, ',') as layers, round(math_delta, 9) as math_delta, round(eq_delta, 9) as eq_delta,
+         round(balanced_score, 9) as balanced_score from bal""",
     "balanced_rank": f"""with {BALANCED_SQL} select row_number() over (order by balanced_score desc, eq_delta desc, math_delta desc, layer_key) as rank,
         array_to_string(layer_key, ',') as layers, round(balanced_score, 9) as balanced_score from bal""",
     "balanced_summary": f"""with {BALANCED_SQL} select (select count(*) from sc) as common_config_count, (select count(*) from dl) as nonbaseline_config_count,
