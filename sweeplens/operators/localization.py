@@ -279,7 +279,7 @@ def search_text(files: DataFrame, queries: list[str], limit: int = 20, keys: lis
     Files without a match are dropped before their lines are exploded, and each
     task keeps only ``limit`` rows per query before the shuffle.
     """
-    visible = F.lower("path").endswith(".py") & ~F.col("path").rlike(r"(^|/)\.")
+    visible = F.col("path").endswith(".py") & ~F.col("path").rlike(r"(^|/)\.")
     wanted = F.array(*[F.lit(q) for q in queries])
     hit = F.filter(wanted, lambda q: F.contains(F.col("text"), q))
     rows = files.filter(visible).select(*keys, "path", "text", F.explode(hit).alias("query"))
