@@ -39,8 +39,17 @@ def sorted_copy(df: DataFrame, order, partitions: int | None = None) -> DataFram
     return pin(placed).withColumn(_PID, F.shiftright(_SEQ, _INDEX_BITS))
 
 
-def global_rank(df: DataFrame, order, name: str = "rank", start: int = 1) -> DataFrame:
-    """Row number over the whole table: one range shuffle, no single-task sort."""
+SMALL_TABLE = 200_000
+
+
+def global_rank(df: DataFrame, order, name: str = "rank", start: int = 1, rows: int | None = None) -> DataFrame:
+    """Row number over the whole table: one range shuffle, no single-task sort.
+
+    ``rows`` is the counted size, if the caller knows it; a table counted to be
+    small is ranked by a plain window.
+    """
+    if rows is not None and rows <= SMALL_TABLE:
+        return df.withColumn(name, (F.row_number().over(Window.orderBy(*_cols(order))) + (start - 1)).cast("long"))
     placed = sorted_copy(df, order)
     sizes = placed.groupBy(_PID).agg(F.count("*").alias("_n"))
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
@@ -92,8 +101,14 @@ def with_carry(placed: DataFrame, groups: list[str], carried: DataFrame) -> Data
     return placed.join(F.broadcast(renamed), on, "left").drop("_cp", *[f"_c_{g}" for g in groups])
 
 
-def grouped_rank(df: DataFrame, groups: list[str], order, name: str = "rank") -> DataFrame:
-    """Row number inside each group, safe for a group that holds most rows."""
+def grouped_rank(df: DataFrame, groups: list[str], order, name: str = "rank", rows: int | None = None) -> DataFrame:
+    """Row number inside each group, safe for a group that holds most rows.
+
+    ``rows`` as in :func:`global_rank`.
+    """
+    if rows is not None and rows <= SMALL_TABLE:
+        w = Window.partitionBy(*groups).orderBy(*_cols(order))
+        return df.withColumn(name, F.row_number().over(w).cast("long"))
     placed = grouped_copy(df, groups, order)
     carried = carry_over(placed, groups, _before=(F.count("*"), "sum"))
     local = F.row_number().over(local_window(groups))
@@ -140,9 +155,6 @@ def exact_quantile(df: DataFrame, value: str, q: float, groups: list[str] | None
     return hit.groupBy(*groups).agg((low + (high - low) * F.max("_w")).alias(name))
 
 
-SMALL_TABLE = 200_000
-
-
 def quantile_value(df: DataFrame, value: str, q: float) -> Column:
     """Exact quantile as a scalar; ``df`` should be pinned, it is counted first.
 
