@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from sweeplens.functions.layers import squeeze
 
-# Line terminators, diff headers, source suffixes.
+# Line terminators, source suffixes.
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
-DIFF_HEADER = r"^diff --git a/(.*?) b/(.*?)$"
-HUNK_HEADER = r"^@@ -(\d+)(?:,\d+)? \+\d+(?:,\d+)? @@"
 SOURCE_SUFFIXES = (
     ".py", ".js", ".ts", ".jsx", ".tsx", ".java", ".go", ".rs", ".c", ".cc", ".cpp", ".h", ".hpp", ".rb",
 )

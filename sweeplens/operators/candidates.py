@@ -9,16 +9,19 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplens.functions import layers as L
 from sweeplens.operators.analysis import one_row
 from sweeplens.operators.ordering import top_n
+from sweeplens.operators.stage import computed
 
 POOL_SCHEMA = "candidate_id bigint, source string, counts array<int>"
 ADD_SHARE = 0.65  # fixed value: share of mutation steps that add a repeat
@@ -120,8 +123,8 @@ def generate(ids: DataFrame, n: int, max_extra: int = 24, max_repeat: int = 8, a
 def describe(candidates: DataFrame, n: int) -> DataFrame:
     """Extra layers, overhead and CSV form of count vectors."""
     total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
-    out = candidates.withColumn("extra_layers", total - n).withColumn("relative_overhead", F.col("extra_layers") / n)
-    return out.withColumn("counts_csv", L.counts_to_csv(F.col("counts")))
+    out = computed(candidates, extra_layers=total - n, counts_csv=L.counts_to_csv(F.col("counts")))
+    return out.withColumn("relative_overhead", F.col("extra_layers") / n)
 
 
 # --- scoring ---------------------------------------------------------------
@@ -129,13 +132,11 @@ def describe(candidates: DataFrame, n: int) -> DataFrame:
 def linear_predictor(weights: dict[str, list[float]]) -> Callable[[DataFrame], DataFrame]:
     """Weighted sums of counts as predictions, in generated code."""
     def apply(df: DataFrame) -> DataFrame:
-        for name, w in weights.items():
+        def total(w: list[float]) -> Column:
             terms = [F.get("counts", F.lit(k)) * F.lit(float(x)) for k, x in enumerate(w) if x]
-            total = terms[0]
-            for t in terms[1:]:
-                total = total + t
-            df = df.withColumn(f"pred_{name}", total)
-        return df
+            return reduce(add, terms, F.lit(0.0))
+
+        return computed(df, **{f"pred_{name}": total(w) for name, w in weights.items()})
 
     return apply
 

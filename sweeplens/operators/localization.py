@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sweeplens.functions import layers as L
 from sweeplens.functions import payload as P
 from sweeplens.functions import text as X
 from sweeplens.operators.grid import grid
 from sweeplens.operators.ordering import grouped_rank, top_n
+from sweeplens.operators.stage import computed
 
 # --- patches ---------------------------------------------------------------
 
-_SEGMENT = "(?dm)(?=^diff --git a/.*? b/)"
-_HEADER = "(?dm)" + X.DIFF_HEADER
-_HUNK = "(?dm)" + X.HUNK_HEADER
+_ODD_BREAK = r"\r\n|[\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_NEXT_FILE = r"\n(?=diff --git a/[^\n]* b/)"
+_PATH = r"^diff --git a/[^\n]*? b/([^\n]*)"
+_HUNK = r"\n@@ -(\d+)(?:,\d+)? \+\d+(?:,\d+)? @@"
 
 
 def _segments(patch: Column) -> Column:
-    """``array<struct<path, starts, body>>``, one entry per file header."""
-    plain = F.array_join(X.lines_of(patch), "\n")
-    parts = F.filter(F.split(plain, _SEGMENT), lambda s: s.rlike("(?d)^diff --git a/.*? b/"))
-    return F.transform(parts, lambda s: F.struct(
-        F.regexp_extract(s, _HEADER, 2).alias("path"),
-        F.transform(F.regexp_extract_all(s, F.lit(_HUNK), F.lit(1)), lambda x: x.try_cast("int")).alias("starts"),
-        F.regexp_replace(s, r"\n\z", "").alias("body"),
-    ))
+    """``array<struct<path, body>>``, one entry per file header."""
+    plain = F.when(patch.rlike(_ODD_BREAK), F.regexp_replace(patch, _ODD_BREAK, "\n")).otherwise(patch)
+    parts = F.split(F.regexp_replace(plain, r"\n\z", ""), _NEXT_FILE)
+    named = F.transform(parts, lambda s: F.struct(F.regexp_extract(s, _PATH, 1).alias("path"), s.alias("body")))
+    return F.filter(named, lambda s: s["path"] != "")
+
+
+def _starts(body: Column) -> Column:
+    return F.regexp_extract_all(body, F.lit(_HUNK), F.lit(1)).cast(L.INT_ARRAY)
 
 
 def changed_files(patches: DataFrame, patch: str = "patch", include_tests: bool = False) -> DataFrame:
@@ -34,16 +38,16 @@ def changed_files(patches: DataFrame, patch: str = "patch", include_tests: bool
     A patch is one row already, so all work stays inside the row and nothing is
     shuffled.  A file without hunks starts at line 1.
     """
-    staged = patches.withColumn("_seg", _segments(F.col(patch)))
-    source = F.filter("_seg", lambda s: X.is_source_path(s["path"], include_tests))
-    staged = staged.withColumn("_src", source)
-    paths = F.array_distinct(F.transform("_src", lambda s: s["path"]))
+    def files(segments: Column) -> Column:
+        def entry(path: Column) -> Column:
+            own = F.transform(F.filter(segments, lambda s: s["path"] == path), lambda s: _starts(s["body"]))
+            return L.let(F.flatten(own), lambda starts: F.struct(
+                path.alias("path"), F.when(F.size(starts) > 0, starts).otherwise(F.array(F.lit(1))).alias("starts")))
 
-    def entry(path: Column) -> Column:
-        starts = F.flatten(F.transform(F.filter("_src", lambda s: s["path"] == path), lambda s: s["starts"]))
-        return F.struct(path.alias("path"), F.when(F.size(starts) > 0, starts).otherwise(F.array(F.lit(1))).alias("starts"))
+        return F.transform(F.array_distinct(F.transform(segments, lambda s: s["path"])), entry)
 
-    return staged.withColumn("changed", F.transform(paths, entry)).drop("_src", "_seg")
+    source = F.filter(_segments(F.col(patch)), lambda s: X.is_source_path(s["path"], include_tests))
+    return computed(patches, changed=L.let(source, files))
 
 
 def file_patch(patch: Column, path: Column) -> Column:
@@ -114,6 +118,23 @@ def file_snippets(files: DataFrame, max_lines: int, keys: list[str] = ["repo"])
         F.col("_b.start").alias("start_line"), F.col("_b.end").alias("end_line"))
 
 
+def _own_snippets(issues: DataFrame, files: DataFrame, max_lines: int, keys: list[str]) -> DataFrame:
+    """Snippets around the first hunk, one per (file, line).
+
+    Hunk lines travel to the file, not the text to every issue: a file has at
+    most as many distinct lines to cut around as hunks can start at.
+    """
+    centers = issues.filter("truth is not null").groupBy(*keys, "truth").agg(F.collect_set("center").alias("_centers"))
+    text = files.select(*keys, F.col("path").alias("truth"), "text").join(centers, [*keys, "truth"])
+    lined = computed(text, _lines=X.lines_of(F.col("text"))).drop("text")
+    cut = F.transform("_centers", lambda c: L.let(X.snippet_bounds(F.col("_lines"), c, max_lines), lambda b: F.struct(
+        c.alias("center"), X.snippet_text(F.col("_lines"), b).alias("snippet"), b.alias("b"))))
+    rows = lined.select(*keys, "truth", F.size("_lines").alias("_n"), F.inline(cut))
+    return rows.select(*keys, "truth", "center", "_n", F.size(X.lines_of(F.col("snippet"))).alias("_k"), F.struct(
+        F.col("truth").alias("file_path"), F.col("snippet").alias("code_snippet"),
+        F.col("b.start").alias("start_line"), F.col("b.end").alias("end_line")).alias("_entry"))
+
+
 def build_examples(issues: DataFrame, files: DataFrame, distractors: int = 6, snippet_lines: int = 70,
                    min_lines: int = 20, max_changed: int = 1, include_tests: bool = False,
                    keys: list[str] = ["repo"]) -> DataFrame:
@@ -129,20 +150,16 @@ def build_examples(issues: DataFrame, files: DataFrame, distractors: int = 6, sn
         F.get(first["starts"], F.lit(0)).alias("center"))
     base = base.withColumn("true_edit", file_patch(F.col("patch"), F.col("truth")))
 
-    text = files.select(*keys, F.col("path").alias("truth"), X.lines_of(F.col("text")).alias("_lines"))
-    own = base.join(text, [*keys, "truth"], "left")
-    own = own.withColumn("_b", X.snippet_bounds(F.col("_lines"), F.col("center"), snippet_lines))
-    own = own.withColumn("_snip", X.snippet_text(F.col("_lines"), F.col("_b")))
+    own = base.join(_own_snippets(base, files, snippet_lines, keys), [*keys, "truth", "center"], "left")
     reason = (
         F.when(F.col("n_changed") == 0, F.lit("no source file in patch"))
         .when(F.col("n_changed") > max_changed, F.format_string("patch changes %d source files", F.col("n_changed")))
-        .when(F.col("_lines").isNull(), F.concat(F.lit("correct file missing/unreadable: "), F.col("truth")))
-        .when(F.size("_lines") < min_lines, F.concat(F.lit("correct file too short: "), F.col("truth")))
-        .when(F.size(X.lines_of(F.col("_snip"))) < min_lines, F.lit("correct snippet too short"))
+        .when(F.col("_n").isNull(), F.concat(F.lit("correct file missing/unreadable: "), F.col("truth")))
+        .when(F.col("_n") < min_lines, F.concat(F.lit("correct file too short: "), F.col("truth")))
+        .when(F.col("_k") < min_lines, F.lit("correct snippet too short"))
     )
-    own = own.withColumn("_reason", reason).withColumn("_own", F.when(reason.isNull(), F.struct(
-        F.col("truth").alias("file_path"), F.col("_snip").alias("code_snippet"),
-        F.col("_b.start").alias("start_line"), F.col("_b.end").alias("end_line")))).drop("_lines", "_b", "_snip")
+    own = own.withColumn("_reason", reason).withColumn(
+        "_own", F.when(F.col("_reason").isNull(), F.col("_entry"))).drop("_n", "_k", "_entry")
 
     chosen = choose_distractors(own.filter("_reason is null"), files, distractors, keys, include_tests)
     snippets = file_snippets(files, snippet_lines, keys)

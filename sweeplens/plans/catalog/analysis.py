@@ -8,6 +8,7 @@ from sweeplens.functions import layers as L
 from sweeplens.operators import analysis as A
 from sweeplens.operators import config_space as C
 from sweeplens.plans import fixtures as fx
+from sweeplens.session import spread
 
 N = fx.N_LAYERS
 
@@ -83,7 +84,7 @@ PAYLOADS = """
 
 def _payloads(spark, d):
     body = PAYLOADS.replace("{", "{{").replace("}", "}}").replace("as varchar", "as string")
-    rows = fx.from_body(spark, d, body, "lineitem")
+    rows = spread(fx.from_body(spark, d, body, "lineitem"))
     return rows.withColumn("payload", F.try_parse_json("payload_text"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sweeplens.functions import layers as L
 from sweeplens.operators import config_space as C
 from sweeplens.plans import fixtures as fx
+from sweeplens.session import spread
 
 N = fx.N_LAYERS
 
@@ -71,7 +72,7 @@ SPEC_TEXTS = """
 
 
 def spec_parse(spark, d):
-    raw = fx.from_body(spark, d, SPEC_TEXTS, "orders")
+    raw = spread(fx.from_body(spark, d, SPEC_TEXTS, "orders"))
     parsed = raw.withColumn("layer_key", L.parse_spec(N, F.col("raw")))
     return parsed.select("id", L.spec_kind(F.col("raw")).alias("kind"), F.array_join("layer_key", ",").alias("layers"))
 

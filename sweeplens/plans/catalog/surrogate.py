@@ -9,6 +9,7 @@ from sweeplens.functions import text as X
 from sweeplens.operators import analysis as A
 from sweeplens.operators import candidates as K
 from sweeplens.operators import surrogate as S
+from sweeplens.operators.stage import computed
 from sweeplens.plans import fixtures as fx
 from sweeplens.plans.catalog import analysis as CA
 from sweeplens.plans.catalog import beam as CB
@@ -144,8 +145,8 @@ def candidate_search(spark, d):
 def _vectors(spark, d):
     """Count vectors of the orders' two-block sequences as candidates; many repeat."""
     key = L.expand_blocks(N, F.col("blocks"))
-    made = fx.block_pairs(spark, d).select(F.col("id").alias("candidate_id"), F.lit("orders").alias("source"), L.encode_counts(key, N).alias("counts"))
-    cands = K.describe(made, N)
+    made = computed(fx.block_pairs(spark, d), counts=L.encode_counts(key, N))
+    cands = K.describe(made.select(F.col("id").alias("candidate_id"), F.lit("orders").alias("source"), "counts"), N)
     # Weights in 128ths and 64ths: sums are exact, so floors and ties do not hang on rounding.
     fixed = {"method": [((k * 7) % 11) / 128 for k in range(N)], "math": [1 / 64] * N, "eq": [((k * 5) % 7 - 3) / 64 for k in range(N)]}
     return K.score(cands, K.linear_predictor(fixed), penalty=0.5, min_math=30 / 64, min_eq=-2 / 64)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sweeplens.session import spread
+
 N_LAYERS = 24
 N_CONFIGS = 301  # N_LAYERS * (N_LAYERS + 1) / 2 + 1
 
@@ -73,8 +75,8 @@ BLOCKS_SQL = """
 
 def block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two blocks per order at 24 layers; every seventh second block is empty."""
-    base = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey as id", "o_custkey", "cast(o_orderkey % 24 as int) as i1", "cast(o_custkey % 23 as int) as i2")
+    base = spread(table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey as id", "o_custkey", "cast(o_orderkey % 24 as int) as i1", "cast(o_custkey % 23 as int) as i2"))
     return base.selectExpr(
         "id", "i1", "i1 + 1 + cast(o_custkey % (24 - i1) as int) as j1",
         "case when id % 7 = 0 then 0 else i2 end as i2",
@@ -138,11 +140,11 @@ def from_body(spark: SparkSession, sf_dir: str, body: str, *names: str) -> DataF
 
 
 def math_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_body(spark, sf_dir, MATH_RESPONSES_BODY, "lineitem")
+    return spread(from_body(spark, sf_dir, MATH_RESPONSES_BODY, "lineitem"))
 
 
 def eq_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_body(spark, sf_dir, EQ_RESPONSES_BODY, "lineitem").withColumn(
+    return spread(from_body(spark, sf_dir, EQ_RESPONSES_BODY, "lineitem")).withColumn(
         "reference", F.array("ref1", "ref2", "ref3", "ref4"))
 
 
@@ -195,7 +197,7 @@ def localization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_body(spark, sf_dir, PATCHES_BODY, "orders")
+    return spread(from_body(spark, sf_dir, PATCHES_BODY, "orders"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
