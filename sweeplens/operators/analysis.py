@@ -282,8 +282,8 @@ def best_cell(grid: DataFrame, keys: list[str], row: str = "extra", col: str = "
         F.max_by(F.struct(row, col, "value"), pick).alias("_b")).select(*keys, "_b.*")
 
 
-def clip_bounds(diffs: DataFrame, keys: list[str], value: str = "value", k_pos: float = 2.0, k_neg: float = 2.0,
-                tail_q: float = 0.95, a_min: float = 0.5, a_max: float = 3.0) -> DataFrame:
+def clip_bounds(diffs: DataFrame, keys: list[str], value: str = "value", k_pos: float = 3.0, k_neg: float = 2.0,
+                tail_q: float = 0.95, a_min: float = 1.0, a_max: float = 6.0) -> DataFrame:
     """Asymmetric colour bounds per run from tail quantiles and positive spread.
 
     A run is one grid of at most (layers x repeats) cells, so the exact

@@ -249,7 +249,7 @@ ORACLES = {
          quantile_cont(d, 0.95) filter (where d > 0) as qp, quantile_cont(-d, 0.95) filter (where d < 0) as qn from df group by 1),
         a as (select *, case when np >= 2 and sp > 0 then sp when nn >= 2 and sn > 0 then sn when sa > 0 then sa else 1e-9 end as sigma,
          coalesce(qp, greatest(best, 0e0)) as q_pos, coalesce(qn, qp, greatest(best, 0e0)) as q_neg from s),
-        b as (select *, least(greatest(case when q_pos > 0 then q_neg / greatest(q_pos, 1e-9) else 1e0 end, 0.5e0), 3e0) as ratio,
-         greatest(2e0 * sigma, q_pos, best + 1e-9, 1e-9) as vmax from a)
-        select model_id, round(-least(greatest(2e0 * sigma * ratio, q_neg, 1e-9), greatest(3e0 * vmax, 1e-9)), 9) as vmin, round(vmax, 9) as vmax from b""",
+        b as (select *, least(greatest(case when q_pos > 0 then q_neg / greatest(q_pos, 1e-9) else 1e0 end, 1e0), 6e0) as ratio,
+         greatest(3e0 * sigma, q_pos, best + 1e-9, 1e-9) as vmax from a)
+        select model_id, round(-least(greatest(2e0 * sigma * ratio, q_neg, 1e-9), greatest(6e0 * vmax, 1e-9)), 9) as vmin, round(vmax, 9) as vmax from b""",
 }
