@@ -100,6 +100,10 @@ class Balanced:
     n: int
 
 
+def _packed(single: DataFrame) -> Column:
+    return single.select(F.struct(*single.columns)).scalar()
+
+
 def one_row(df: DataFrame) -> dict:
     """The single row of an aggregate, as Python values for literals."""
     return df.first().asDict(recursive=True)
@@ -149,12 +153,16 @@ def balance_table(both: DataFrame, n: int, eq_scale: str = "auto_to_unit",
                   baseline_policy: str = "canonical_or_proxy") -> Balanced:
     """:func:`balance` for one table that already holds both metrics per key."""
     both = pin(both.select(KEY, "math_score", "eq_score"))
-    scale = one_row(scale_info(both.filter("eq_score is not null"), eq_scale, "eq_score"))
-    common = both.filter("math_score is not null and eq_score is not null").withColumn(
-        "eq_score", F.col("eq_score") * scale["factor"])
-    baseline = one_row(choose_baseline(common, n, baseline_policy))
+    in_both = both.filter("math_score is not null and eq_score is not null")
+    # Two one-row subqueries of a single job; scaling does not change the baseline key.
+    found = both.sparkSession.range(1).select(
+        _packed(scale_info(both.filter("eq_score is not null"), eq_scale, "eq_score")).alias("scale"),
+        _packed(choose_baseline(in_both, n, baseline_policy)).alias("baseline")).first().asDict(recursive=True)
+    scale, baseline = found["scale"], found["baseline"]
     if baseline[KEY] is None:
         raise ValueError("the two score tables have no key in common")
+    baseline["eq_score"] *= scale["factor"]
+    common = in_both.withColumn("eq_score", F.col("eq_score") * scale["factor"])
     rows = with_deltas(common.filter(F.col(KEY) != key_literal(baseline[KEY])), baseline)
     stats = one_row(delta_stats(rows))
     return Balanced(common, rows.withColumn("balanced_score", balanced_score(stats)), baseline, scale, stats, n)

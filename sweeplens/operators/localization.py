@@ -184,16 +184,20 @@ def build_examples(issues: DataFrame, files: DataFrame, distractors: int = 6, sn
     ).withColumn("ground_truth", F.when(reason.isNull(), F.col("truth"))).drop("_reason", "_own", "_others", "_found")
 
 
-def keep_report(examples: DataFrame, seed: int, max_examples: int, scan_limit: int) -> DataFrame:
-    """Scanned issues in seeded order up to the ``max_examples``-th kept one.
+def scan_order(issues: DataFrame, seed: int, limit: int) -> DataFrame:
+    """The first ``limit`` issues in seeded order, before anything is built for them."""
+    return top_n(issues, [X.stable_hash(seed, F.col("issue_id")), F.col("issue_id")], limit, "scan_pos")
+
+
+def keep_report(examples: DataFrame, max_examples: int) -> DataFrame:
+    """Scanned issues up to the ``max_examples``-th kept one, kept and skipped.
 
     The scan limit bounds the rows of the running count.
     """
-    order = [X.stable_hash(seed, F.col("issue_id")), F.col("issue_id")]
-    scanned = top_n(examples.select("issue_id", "skip_reason", "ground_truth"), order, scan_limit, "scan_pos")
     before = Window.orderBy("scan_pos").rowsBetween(Window.unboundedPreceding, -1)
     kept = F.coalesce(F.count_if(F.col("skip_reason").isNull()).over(before), F.lit(0))
-    return scanned.withColumn("_kept", kept).filter(F.col("_kept") < max_examples).drop("_kept").withColumn(
+    rows = examples.select("scan_pos", "issue_id", "skip_reason", "ground_truth").withColumn("_kept", kept)
+    return rows.filter(F.col("_kept") < max_examples).drop("_kept").withColumn(
         "decision", F.when(F.col("skip_reason").isNull(), "keep").otherwise("skip"))
 
 

@@ -39,18 +39,19 @@ def snippets(spark, d):
     return out.select("repo", "path", "n_lines", "focus_line", "start_line", "end_line", F.md5("code_snippet").alias("snippet_md5"))
 
 
-def _examples(spark, d):
-    return Z.build_examples(fx.patches(spark, d), fx.files(spark, d), distractors=3, snippet_lines=12, min_lines=4)
+def _examples(spark, d, issues):
+    return Z.build_examples(issues, fx.files(spark, d), distractors=3, snippet_lines=12, min_lines=4)
 
 
 def examples(spark, d):
-    out = _examples(spark, d)
+    out = _examples(spark, d, fx.patches(spark, d))
     paths = F.array_sort(F.transform("candidate_files", lambda c: c["file_path"]))
     return out.select("issue_id", "skip_reason", "ground_truth", F.array_join(paths, ",").alias("candidates"))
 
 
 def skip_report(spark, d):
-    out = Z.keep_report(_examples(spark, d), seed=42, max_examples=15, scan_limit=200)
+    scanned = Z.scan_order(fx.patches(spark, d), seed=42, limit=200)
+    out = Z.keep_report(_examples(spark, d, scanned), max_examples=15)
     return out.select("scan_pos", "issue_id", "decision", "skip_reason")
 
 
@@ -192,21 +193,21 @@ ORACLES = {
         md5(case when issue_id % 3 = 0 then 'diff --git a/tests/test_a.py b/tests/test_a.py' || chr(10) || '@@ -5 +5 @@' || chr(10) || '-y'
          when issue_id % 5 = 0 then 'diff --git a/src/z.js b/src/z.js' || chr(10) || '@@ -9,2 +9,2 @@' || chr(10) || '-z' else patch end) as block_md5 from p""",
     "path_classes": f"""with {CLASSES_SQL} select repo, path, not test as source, test, suffix, dir, cast(len(string_split(dir, '/')) as int) as depth from cls""",
-    "distractors": f"""with {CLASSES_SQL}, {CHOSEN_SQL.format(k=6)} select repo, truth, path, position, other_dir, depth_gap from chosen""",
-    "snippets": f"""with {SNIPPET_SQL} select repo, path, n_lines, focus as focus_line, start_line, end_line, md5(body) as snippet_md5 from snip""",
+    "distractors": f"""with {CLASSES_SQL}, {CHOSEN_SQL.format(k=6)} select repo, truth, path, cast(position as int) as position, other_dir, depth_gap from chosen""",
+    "snippets": f"""with {SNIPPET_SQL} select repo, path, cast(n_lines as int) as n_lines, cast(focus as int) as focus_line, cast(start_line as int) as start_line, cast(end_line as int) as end_line, md5(body) as snippet_md5 from snip""",
     "examples": f"""with {EXAMPLES_SQL} select issue_id, skip_reason, case when skip_reason is null then truth end as ground_truth,
         case when skip_reason is null then array_to_string(list_sort(list_append(string_split(paths, ','), truth)), ',') end as candidates from ex""",
     "skip_report": f"""with {EXAMPLES_SQL}, s as (select *, row_number() over (order by md5('42:' || issue_id), issue_id) as scan_pos from ex),
         k as (select *, coalesce(sum(cast(skip_reason is null as int)) over (order by scan_pos rows between unbounded preceding and 1 preceding), 0) as kept from s where scan_pos <= 200)
-        select scan_pos, issue_id, case when skip_reason is null then 'keep' else 'skip' end as decision, skip_reason from k where kept < 15""",
+        select cast(scan_pos as int) as scan_pos, issue_id, case when skip_reason is null then 'keep' else 'skip' end as decision, skip_reason from k where kept < 15""",
     "shuffle_positions": f"""with f as ({fx.LOC_BODY}) select issue_id, file_path, row_number() over (partition by issue_id order by md5('7:' || file_path), file_path) as position from f""",
     "text_search": f"""with {CLASSES_SQL}, {LINED_SQL}, q as (select unnest(['the ', 'ion', 'e.', 'qq']) as query),
         l as (select repo, path, unnest(ls) as t, unnest(range(1, len(ls) + 1)) as line from lined where path like '%.py'),
         h as (select repo, query, path, line, t, row_number() over (partition by repo, query order by path, line) as hit from l join q on contains(t, query))
-        select repo, query, hit, path, line, md5(t) as text_md5 from h where hit <= 20""",
-    "ranked_parse": f"""with {ANSWER_SQL} select issue_id, case when issue_id % 4 = 2 then ranked else ranked end as ranked,
-        case when issue_id % 4 in (0, 1) then 'json' else 'path_order_fallback' end as parser, valid as valid_ranked_count,
-        n - valid as completed_missing_candidates from res""",
+        select repo, query, cast(hit as int) as hit, path, cast(line as int) as line, md5(t) as text_md5 from h where hit <= 20""",
+    "ranked_parse": f"""with {ANSWER_SQL} select issue_id, ranked,
+        case when issue_id % 4 in (0, 1) then 'json' else 'path_order_fallback' end as parser, cast(valid as int) as valid_ranked_count,
+        cast(n - valid as int) as completed_missing_candidates from res""",
     "rank_scores": f"""with {ANSWER_SQL} select issue_id, cast(rank as int) as rank, rank = 1 as top1, rank <= 3 as top3, round(1e0 / rank, 9) as mrr from res""",
     "localization_summary": f"""with {ANSWER_SQL} select condition, count(*) as n, round(avg(cast(rank = 1 as int)), 9) as top1_accuracy,
         round(avg(cast(rank <= 3 as int)), 9) as top3_accuracy, round(avg(1e0 / rank), 9) as mrr, round(avg(rank), 9) as avg_rank from res group by 1""",

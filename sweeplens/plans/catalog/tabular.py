@@ -9,7 +9,7 @@ from sweeplens.plans import fixtures as fx
 
 
 def row_chunks(spark, d):
-    out = T.row_chunks(fx.ev(spark, d), ["user_id"], ["ts", "event_id"], 4, ["event_id"])
+    out = T.row_chunks(fx.table(spark, d, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], 4, ["event_id"])
     return out.select("user_id", "chunk", F.array_join(F.transform("items", lambda e: e["event_id"].cast("string")), ",").alias("items"))
 
 
@@ -23,7 +23,7 @@ def merge_intervals(spark, d):
 
 
 def moving_average(spark, d):
-    out = T.moving_average(fx.ev(spark, d), ["user_id"], ["ts", "event_id"], "k", 5)
+    out = T.moving_average(fx.ev(spark, d).select("user_id", "ts", "event_id", "k"), ["user_id"], ["ts", "event_id"], "k", 5)
     return out.select("user_id", "event_id", "position", F.round("moving_avg", 9).alias("moving_avg"))
 
 

@@ -108,7 +108,8 @@ def test_examples_and_report(spark):
     assert own["src/f1.py"] == (1, 10) and len(own) == 4
     many = Z.build_examples(issues, files, distractors=9, snippet_lines=10, min_lines=5).filter("issue_id = 'ok'").first()
     assert many["skip_reason"] == "only found 5 distractors"
-    report = Z.keep_report(Z.build_examples(issues, files.filter("path <> 'src/f0.py'"), distractors=3, snippet_lines=10, min_lines=5), 1, 1, 10)
+    scanned = Z.scan_order(issues, 1, 10)
+    report = Z.keep_report(Z.build_examples(scanned, files.filter("path <> 'src/f0.py'"), distractors=3, snippet_lines=10, min_lines=5), 1)
     assert report.filter("decision = 'keep'").count() == 1
 
 
