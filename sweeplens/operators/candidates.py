@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +19,8 @@ from pyspark.sql import functions as F
 from sweeplens.functions import layers as L
 from sweeplens.operators.analysis import one_row
 from sweeplens.operators.ordering import top_n
-from sweeplens.operators.stage import computed
 
-POOL_SCHEMA = "candidate_id bigint, source string, counts array<int>"
+POOL_SCHEMA = "candidate_id bigint, source string, counts array<int>, extra_layers int"
 ADD_SHARE = 0.65  # fixed value: share of mutation steps that add a repeat
 MAX_ANCHORS = 100_000
 
@@ -113,8 +110,9 @@ def generate(ids: DataFrame, n: int, max_extra: int = 24, max_repeat: int = 8, a
                 offsets = pa.array(np.arange(part.size + 1, dtype=np.int32) * n)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(part, pa.int64()), names.take(pa.array(mutated.astype(np.int8))),
-                     pa.ListArray.from_arrays(offsets, pa.array(counts.ravel()))],
-                    names=["candidate_id", "source", "counts"])
+                     pa.ListArray.from_arrays(offsets, pa.array(counts.ravel())),
+                     pa.array((counts.sum(axis=1) - n).astype(np.int32))],
+                    names=["candidate_id", "source", "counts", "extra_layers"])
 
     made = ids.select(F.col("candidate_id").cast("long")).mapInArrow(run, POOL_SCHEMA)
     return describe(made, n)
@@ -122,23 +120,28 @@ def generate(ids: DataFrame, n: int, max_extra: int = 24, max_repeat: int = 8, a
 
 def describe(candidates: DataFrame, n: int) -> DataFrame:
     """Extra layers, overhead and CSV form of count vectors."""
-    total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
-    out = computed(candidates, extra_layers=total - n, counts_csv=L.counts_to_csv(F.col("counts")))
-    return out.withColumn("relative_overhead", F.col("extra_layers") / n)
+    if "extra_layers" not in candidates.columns:
+        total = F.aggregate("counts", F.lit(0), lambda a, x: a + x)
+        candidates = candidates.withColumn("extra_layers", total - n)
+    # The CSV form stays a plain projection: filters move below it, so only kept rows pay for it.
+    return candidates.withColumn("relative_overhead", F.col("extra_layers") / n).withColumn(
+        "counts_csv", L.counts_to_csv(F.col("counts")))
 
 
 # --- scoring ---------------------------------------------------------------
 
 def linear_predictor(weights: dict[str, list[float]]) -> Callable[[DataFrame], DataFrame]:
-    """Weighted sums of counts as predictions, in generated code."""
-    def apply(df: DataFrame) -> DataFrame:
-        def total(w: list[float]) -> Column:
-            terms = [F.get("counts", F.lit(k)) * F.lit(float(x)) for k, x in enumerate(w) if x]
-            return reduce(add, terms, F.lit(0.0))
+    """Weighted sums of counts as predictions.
 
-        return computed(df, **{f"pred_{name}": total(w) for name, w in weights.items()})
+    A loop over the array: one term per layer in generated code would make a
+    method too long for the JVM to compile.
+    """
+    def total(w: list[float]) -> Column:
+        table = F.array(*[F.lit(float(x)) for x in w])
+        products = F.zip_with("counts", table, lambda c, x: c * x)
+        return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
-    return apply
+    return lambda df: df.select("*", *[total(w).alias(f"pred_{name}") for name, w in weights.items()])
 
 
 def model_predictor(models: dict) -> Callable[[DataFrame], DataFrame]:

@@ -11,6 +11,7 @@ from sweeplens.functions import text as X
 from sweeplens.operators.grid import grid
 from sweeplens.operators.ordering import grouped_rank, top_n
 from sweeplens.operators.stage import computed
+from sweeplens.session import pin
 
 # --- patches ---------------------------------------------------------------
 
@@ -160,6 +161,7 @@ def build_examples(issues: DataFrame, files: DataFrame, distractors: int = 6, sn
     )
     own = own.withColumn("_reason", reason).withColumn(
         "_own", F.when(F.col("_reason").isNull(), F.col("_entry"))).drop("_n", "_k", "_entry")
+    own = pin(own)  # feeds the distractor choice and the final join; texts are read once
 
     chosen = choose_distractors(own.filter("_reason is null"), files, distractors, keys, include_tests)
     snippets = file_snippets(files, snippet_lines, keys)

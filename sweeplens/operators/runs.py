@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sweeplens.functions.text import stable_hash
 from sweeplens.operators.grid import grid, short_list
 from sweeplens.operators.ordering import global_rank, latest
+from sweeplens.session import pin
 
 # Evaluation buckets from strongest to weakest, names of known task sets.
 BUCKET_PRIORITY = ("resolved", "unresolved", "empty_patch", "incomplete", "error")
@@ -115,6 +116,7 @@ def summarize(records: DataFrame, by: str = "condition") -> DataFrame:
 def compare_to_baseline(summary: DataFrame, baseline: str, by: str = "condition") -> DataFrame:
     """Differences to the baseline condition; a missing baseline fails the job."""
     measures = ("success_rate", "avg_steps", "avg_execution_errors", "avg_runtime_seconds")
+    summary = pin(summary.select(by, *measures))  # one row per condition, used twice
     base = summary.filter(F.col(by) == baseline).select(*[F.col(m).alias(f"_{m}") for m in measures])
     packed = short_list(base, 1)
     guarded = F.when(F.size(packed) > 0, packed).otherwise(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sweeplens.functions import text as X
 from sweeplens.operators import localization as Z
 from sweeplens.plans import fixtures as fx
+from sweeplens.session import pin
 
 
 def patch_files(spark, d):
@@ -40,7 +41,8 @@ def snippets(spark, d):
 
 
 def _examples(spark, d, issues):
-    return Z.build_examples(issues, fx.files(spark, d), distractors=3, snippet_lines=12, min_lines=4)
+    files = pin(fx.files(spark, d))  # a plain table in real use; derived here
+    return Z.build_examples(issues, files, distractors=3, snippet_lines=12, min_lines=4)
 
 
 def examples(spark, d):

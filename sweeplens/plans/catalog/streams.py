@@ -61,7 +61,7 @@ def stream_run_summary(spark, d):
 
 def stream_scores(spark, d):
     """Responses scored as a stream, then averaged per configuration."""
-    lines = T.file_stream(spark, d, "lineitem.parquet")
+    lines = T.file_stream(spark, d, "lineitem.parquet", partitions=spark.sparkContext.defaultParallelism)
     responses = spark.sql(fx.MATH_RESPONSES_BODY.replace("from lineitem", "from {lines}"), lines=lines)
     table = _run(spark, T.ingest, T.scored_math(responses).drop("raw_output", "extracted"))
     out = S.config_scores(spark.read.parquet(table), ["cfg_id"])

@@ -30,6 +30,9 @@ def local_session(cpus: int | str = "*", app: str = "sweeplens", **conf: str) ->
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}  # one temporary folder per local application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Root of the shared scratch folder: ``spark.checkpoint.dir``.
 
@@ -41,9 +44,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="sweeplens-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="sweeplens-")
+    return _LOCAL_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -16,12 +16,18 @@ from sweeplens.operators.scoring import score_emotions, score_math
 from sweeplens.sources.writers import append_results
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64) -> DataFrame:
-    """Stream of the files called ``name`` in a folder; the schema comes from the files."""
+def file_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 64,
+                partitions: int | None = None) -> DataFrame:
+    """Stream of the files called ``name`` in a folder; the schema comes from the files.
+
+    ``partitions`` deals each micro-batch over that many tasks, for costly
+    per-row work on few big files.
+    """
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    return (
+    stream = (
         spark.readStream.schema(schema).option("pathGlobFilter", name)
         .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    return stream.repartition(partitions) if partitions else stream
 
 
 def _start(stream: DataFrame, write, checkpoint: str, mode: str) -> StreamingQuery:
