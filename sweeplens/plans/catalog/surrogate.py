@@ -13,7 +13,7 @@ from sweeplens.operators.stage import computed
 from sweeplens.plans import fixtures as fx
 from sweeplens.plans.catalog import analysis as CA
 from sweeplens.plans.catalog import beam as CB
-from sweeplens.session import pin
+from sweeplens.session import pin, spread
 
 N = fx.N_LAYERS
 
@@ -117,7 +117,7 @@ def pred_vs_true(spark, d):
 
 
 def _pool(spark, d):
-    ids = fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id"))
+    ids = spread(fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("candidate_id")))
     anchors = A.top_balanced(CA.balanced(spark, d), 50).select(L.encode_counts(F.col("layer_key"), N).alias("counts"))
     return ids, anchors
 
