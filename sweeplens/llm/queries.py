@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweeplens.llm import topk
+from sweeplens.llm import topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,12 +17,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's url; segmenter words come from the pages themselves."""
+    pages = _table(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, RULES, corpus=(pages, "html"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best integer inner products of every fiftieth vector among all vectors."""
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+QUERIES["op7_url_filter"] = op7_url_filter
 QUERIES["op10_exact_top_k"] = op10_exact_top_k
 ORACLES["op10_exact_top_k"] = """
 with v as (
