@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweeplens.llm import topk, urlfilter
+from sweeplens.llm import tokenfile, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -17,6 +17,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level token ids of all documents, written to frame files and read back."""
+    manifest = tokenfile.write(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return tokenfile.read(manifest)
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -32,6 +44,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+QUERIES["op5_token_files"] = op5_token_files
 QUERIES["op7_url_filter"] = op7_url_filter
 QUERIES["op10_exact_top_k"] = op10_exact_top_k
 ORACLES["op10_exact_top_k"] = """

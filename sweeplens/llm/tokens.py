@@ -23,6 +23,7 @@ from pyspark import cloudpickle
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CACHED = 700_000  # pieces that a worker remembers; all are forgotten when there are more
+SLICE = 4 << 20  # bytes of texts encoded together
 CACHED_LENGTH = 48  # longer pieces are not remembered
 
 KINDS = {"ByteLevel": "gpt", "Sequence": "clip"}  # by the pre-tokenizer of the file
@@ -67,11 +68,11 @@ class Encoder:
 
     def _add(self, pieces: list[str]) -> np.ndarray:
         """Places of ``pieces`` in the pool, encoding those that are new."""
-        place = self.place
-        if self.used + len(pieces) > CACHED and self.used:
+        if self.used and (self.used + len(pieces) > CACHED or self.fill > 16 * CACHED):
             self._forget()
-            place = self.place
-        new = [p for p in pieces if p not in place]
+        place = self.place
+        found = [place.get(p) for p in pieces]
+        new = list(dict.fromkeys(p for p, i in zip(pieces, found) if i is None))
         if new:
             ids = self._encode(new)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -88,7 +89,8 @@ class Encoder:
                 place[p] = i
             self.used += len(new)
             self.fill += total
-        out = np.fromiter((place[p] for p in pieces), np.int64, len(pieces))
+            found = [place[p] if i is None else i for p, i in zip(pieces, found)]
+        out = np.array(found, dtype=np.int64)
         for p in new:
             if len(p) > CACHED_LENGTH:
                 del place[p]
@@ -103,26 +105,18 @@ class Encoder:
         if len(texts) == 0:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
         split = pc.split_pattern(texts, " ")
-        parts = split.flatten()
         first = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
-        if self.kind == "gpt":
-            parts, first = self._joined(parts, first)
+        parts = split.flatten()
         coded = parts.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
         unique = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
         if self.kind == "gpt":
+            unique, codes, first = self._joined(parts, unique, codes, first)
             # texts' first pieces have no blank before them
-            heads, rest = np.zeros(len(codes), dtype=bool), np.ones(len(unique), dtype=bool)
-            heads[first[:-1]] = True
-            rest[:] = False
-            rest[codes[~heads]] = True
-            head_codes, head_place = np.unique(codes[heads], return_inverse=True)
-            wanted = [" " + u for u, r in zip(unique, rest) if r]
-            place = self._add(wanted + [unique[c] for c in head_codes])
-            of_code = np.zeros(len(unique), dtype=np.int64)
-            of_code[rest] = place[: len(wanted)]
-            at = of_code[codes]
-            at[heads] = place[len(wanted):][head_place]
+            heads, head_place = np.unique(codes[first[:-1]], return_inverse=True)
+            place = self._add([" " + u for u in unique] + [unique[c] for c in heads])
+            at = place[codes]
+            at[first[:-1]] = place[len(unique):][head_place]
         else:
             at = self._add(unique)[codes]
         sizes, starts = self.length[at], self.start[at]
@@ -132,21 +126,19 @@ class Encoder:
         return self.pool[where], ends[first]
 
     @staticmethod
-    def _joined(parts: pa.Array, first: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    def _joined(parts: pa.Array, unique: list[str], codes: np.ndarray, first: np.ndarray):
         """Put parts together again where white space touches the blank between them."""
-        coded = parts.dictionary_encode()
-        unique = coded.dictionary.to_pylist()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
         open_start = np.fromiter((not u or u[0].isspace() for u in unique), bool, len(unique))
         open_end = np.fromiter((not u or u[-1].isspace() for u in unique), bool, len(unique))
         joined = np.zeros(len(codes), dtype=bool)  # belongs to the part before
         joined[1:] = open_end[codes[:-1]] | open_start[codes[1:]]
         joined[first[:-1]] = False
         if not joined.any():
-            return parts, first
+            return unique, codes, first
         keep = np.flatnonzero(~joined)
         size = np.diff(np.append(keep, len(codes)))
-        out = parts.take(pa.array(keep)).to_pylist()
-        for i in np.flatnonzero(size > 1):
-            out[i] = " ".join(parts.slice(keep[i], size[i]).to_pylist())
-        return pa.array(out, pa.large_string()), np.searchsorted(keep, first)
+        out = codes[keep]
+        longer = np.flatnonzero(size > 1)
+        out[longer] = np.arange(len(unique), len(unique) + len(longer))
+        unique = unique + [" ".join(parts.slice(keep[i], size[i]).to_pylist()) for i in longer]
+        return unique, out, np.searchsorted(keep, first)

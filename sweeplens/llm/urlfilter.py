@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplens.llm.shared import written
+from sweeplens.llm.shared import kth_smallest, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -59,14 +59,17 @@ def matched_rule(host: Column, path: Column, rules: Rules) -> tuple[Column, Colu
 
 
 def word_counts(texts: DataFrame, column: str, most: int = VOCABULARY) -> dict[str, int]:
-    """The ``most`` frequent letter runs of all texts outside tags, with their counts over all rows.
+    """The most frequent letter runs of all texts outside tags, with their counts over all rows.
 
-    ``most`` bounds what the driver and the tasks hold; the counts cover every text.
+    At most ``most`` words, which bounds what the driver and the tasks hold: those
+    that occur more often than the word at that place.
     """
     plain = F.lower(F.regexp_replace(F.col(column), r"(?s)<[^>]*>", " "))
     each = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word"))
     each = each.where((F.length("word") > 0) & (F.length("word") <= LONGEST))
-    top = each.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most)
+    counts = written(each.groupBy("word").count(), "words")
+    cut = kth_smallest(counts, -F.col("count"), most + 1)
+    top = counts if cut is None else counts.where(-F.col("count") < cut)
     return {r["word"]: r["count"] for r in top.collect()}
 
 
@@ -170,5 +173,6 @@ def _weights(counted: list, rows: dict[str, int]) -> tuple[np.ndarray, float]:
             counts[r["given"]][r["term"]] += r["count"]
     if len(rows) < 2:
         return np.zeros(BUCKETS), 0.0
-    share = {c: np.log((v + 0.5) / (v.sum() + 0.5 * BUCKETS)) for c, v in counts.items()}
-    return share["block"] - share["allow"], math.log(rows["block"] / rows["allow"])
+    seen = counts["allow"] + counts["block"] > 0
+    share = {c: np.log((v + 0.5) / (v.sum() + 0.5 * seen.sum())) for c, v in counts.items()}
+    return np.where(seen, share["block"] - share["allow"], 0.0), math.log(rows["block"] / rows["allow"])
