@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweeplens.llm import tokenfile, topk, urlfilter
+from sweeplens.llm import packing, tokenfile, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,11 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level token ids of all documents, written to frame files and read back."""
     manifest = tokenfile.write(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
@@ -44,6 +49,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+QUERIES["op4_best_fit_packing"] = op4_best_fit_packing
 QUERIES["op5_token_files"] = op5_token_files
 QUERIES["op7_url_filter"] = op7_url_filter
 QUERIES["op10_exact_top_k"] = op10_exact_top_k
