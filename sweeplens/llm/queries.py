@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweeplens.llm import packing, tokenfile, topk, urlfilter
+from sweeplens.llm import packing, syncmers, tokenfile, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(manifest)
 
 
+def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return syncmers.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
@@ -51,6 +56,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_best_fit_packing"] = op4_best_fit_packing
 QUERIES["op5_token_files"] = op5_token_files
+QUERIES["op6_syncmer_fingerprints"] = op6_syncmer_fingerprints
 QUERIES["op7_url_filter"] = op7_url_filter
 QUERIES["op10_exact_top_k"] = op10_exact_top_k
 ORACLES["op10_exact_top_k"] = """

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sweeplens.llm import textarrays, tokens
-from sweeplens.llm.shared import written
+from sweeplens.llm.shared import partitions, written
 from sweeplens.session import scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -236,7 +236,7 @@ def read(manifest: DataFrame) -> DataFrame:
     Checks each frame's checksum; a file is one task's work, of which one frame
     is in memory at a time.
     """
-    spread = manifest.select("part", "path", "start").repartition("part")
+    spread = manifest.select("part", "path", "start").repartition(partitions(manifest.sparkSession), "part")
     return spread.select("path", "start").mapInArrow(_read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
