@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweeplens.llm import packing, syncmers, tokenfile, topk, urlfilter
+from sweeplens.llm import mixing, packing, syncmers, tokenfile, topk, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +48,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, RULES, corpus=(pages, "html"))
 
 
+def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a mixture in which every source appears whole and none more than one and a half times."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), max_repetition=1.5)
+    return mixed.select("doc_id", "source", "epoch", "mix_key")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best integer inner products of every fiftieth vector among all vectors."""
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -58,6 +64,7 @@ QUERIES["op4_best_fit_packing"] = op4_best_fit_packing
 QUERIES["op5_token_files"] = op5_token_files
 QUERIES["op6_syncmer_fingerprints"] = op6_syncmer_fingerprints
 QUERIES["op7_url_filter"] = op7_url_filter
+QUERIES["op8_temperature_mixing"] = op8_temperature_mixing
 QUERIES["op10_exact_top_k"] = op10_exact_top_k
 ORACLES["op10_exact_top_k"] = """
 with v as (
