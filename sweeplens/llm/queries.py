@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweeplens.llm import mixing, packing, syncmers, tokenfile, topk, urlfilter
+from sweeplens.llm import mixing, packing, quality, syncmers, tokenfile, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,20 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weights of all documents and the draw of as large a share as the labels call good."""
+    return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; labels of held-out ids are not learnt from."""
+    documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    found = toxicity.scored(documents, model, keep=["doc_id"])
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                        F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
@@ -60,6 +74,8 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+QUERIES["op1_importance_resampling"] = op1_importance_resampling
+QUERIES["op3_toxicity"] = op3_toxicity
 QUERIES["op4_best_fit_packing"] = op4_best_fit_packing
 QUERIES["op5_token_files"] = op5_token_files
 QUERIES["op6_syncmer_fingerprints"] = op6_syncmer_fingerprints

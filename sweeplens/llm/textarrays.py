@@ -45,6 +45,18 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _CACHE["up"], _CACHE["down"]
 
 
+def _kinds() -> np.ndarray:
+    """Per byte: 0 for white space, 1 for letters, digits and all beyond ASCII, 2 for other ASCII."""
+    kind = np.full(256, 2, dtype=np.uint8)
+    kind[[9, 10, 11, 12, 13, 32]] = 0
+    for low, high in ((48, 57), (65, 90), (97, 122), (128, 255)):
+        kind[low: high + 1] = 1
+    return kind
+
+
+_KINDS = _kinds()
+
+
 @dataclass
 class Words:
     """Words of a slice of texts, in order; offsets count bytes of the slice."""
@@ -58,6 +70,12 @@ class Words:
     running: np.ndarray  # running sums, for hashes of parts of words
     text_start: np.ndarray  # per text: its first byte; one more entry than texts
 
+    def prefix_end(self, chars: int) -> np.ndarray:
+        """Where each word's first ``chars`` characters end."""
+        begins = np.flatnonzero((self.raw & 0xC0) != 0x80)
+        at = np.searchsorted(begins, self.start) + chars
+        return np.minimum(np.append(begins, self.raw.size)[np.minimum(at, begins.size)], self.end)
+
     def part_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         _, down = _powers(self.running.size)
         value = (self.running[end] - self.running[start]) * down[start]
@@ -75,8 +93,11 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = to
 
 
-def words(column: pa.Array) -> Words:
-    """Words of the texts of a string column; a null text has none."""
+def words(column: pa.Array, split_punctuation: bool = False) -> Words:
+    """Words of the texts of a string column; a null text has none.
+
+    With ``split_punctuation`` runs of ASCII punctuation are words of their own.
+    """
     column = pa.compute.fill_null(column.cast(pa.large_string()), "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -86,22 +107,15 @@ def words(column: pa.Array) -> Words:
     bounds = bounds - bounds[0]
     n = raw.size
     raw = raw + (((raw >= 65) & (raw <= 90)).view(np.uint8) << 5)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    inside = ~space
+    kind = _KINDS[raw] if split_punctuation else (_KINDS[raw] > 0).view(np.uint8)
     edge = np.zeros(n + 1, dtype=bool)  # a text begins here
     edge[bounds] = True
-    before = np.empty(n, dtype=bool)
-    if n:
-        before[0] = True
-        before[1:] = space[:-1]
-        before |= edge[:-1]
-    start = np.flatnonzero(inside & before)
-    after = np.empty(n, dtype=bool)
-    if n:
-        after[-1] = True
-        after[:-1] = space[1:]
-        after |= edge[1:]
-    end = np.flatnonzero(inside & after) + 1
+    change = np.ones(n + 1, dtype=bool)
+    change[1:n] = kind[1:] != kind[:-1]
+    change |= edge
+    inside = kind > 0
+    start = np.flatnonzero(inside & change[:-1])
+    end = np.flatnonzero(inside & change[1:]) + 1
     up, _ = _powers(n + 1)
     running = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=running[1:])
