@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweeplens.llm import mixing, packing, quality, syncmers, tokenfile, topk, toxicity, urlfilter
+from sweeplens.llm import jaccard, mixing, packing, quality, syncmers, tokenfile, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,11 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of three-word shingles overlap by nine tenths of their union."""
+    return jaccard.classes(_table(spark, sf_dir, "documents"), jaccard.Rule(words=3, over=90, under=100))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents; labels of held-out ids are not learnt from."""
     documents, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -75,6 +80,26 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_importance_resampling"] = op1_importance_resampling
+QUERIES["op2_jaccard_join"] = op2_jaccard_join
+ORACLES["op2_jaccard_join"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as t
+  from documents
+), s as (
+  select distinct doc_id, unnest(case when len(t) = 0 then []::varchar[] when len(t) < 3 then [array_to_string(t, ' ')]
+                                 else list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) end) as g
+  from w
+), n as (select doc_id, count(*) as n from s group by doc_id), o as (
+  select a.doc_id as x, b.doc_id as y, count(*) as o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2
+), l as (
+  select x, y from o join n p on p.doc_id = x join n q on q.doc_id = y where 100 * o.o >= 90 * (p.n + q.n - o.o)
+), e as (select x, y from l union select y, x from l), r as (
+  select x, y from e union select r.x, e.y from r join e on r.y = e.x
+)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) as component_id
+from documents d left join n using (doc_id) left join (select x, min(y) as y from r group by x) m on m.x = d.doc_id
+"""
 QUERIES["op3_toxicity"] = op3_toxicity
 QUERIES["op4_best_fit_packing"] = op4_best_fit_packing
 QUERIES["op5_token_files"] = op5_token_files
