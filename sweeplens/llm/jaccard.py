@@ -229,8 +229,8 @@ def links(sets: list[np.ndarray], rule: Rule, label: np.ndarray, side: np.ndarra
     sizes = np.array([s.size for s in sets], dtype=np.int64)
     counts = np.array([np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
     tree = Tree(counts, sizes)
-    _, parent = np.unique(label, return_inverse=True)
-    parent = parent.tolist()
+    group = np.unique(label, return_inverse=True)[1].tolist()
+    parent = list(range(len(sets)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -238,7 +238,6 @@ def links(sets: list[np.ndarray], rule: Rule, label: np.ndarray, side: np.ndarra
             x = parent[x]
         return x
 
-    group = list(parent)
     found = []
     for i in range(len(sets)):
         if side is not None and side[i]:
