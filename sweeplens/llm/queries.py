@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweeplens.llm import jaccard, mixing, packing, quality, syncmers, tokenfile, topk, toxicity, urlfilter
+from sweeplens.llm import jaccard, mixing, packing, passages, quality, syncmers, tokenfile, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +73,11 @@ def op8_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "epoch", "mix_key")
 
 
+def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words and more that a document shares with an earlier one."""
+    return passages.merged(passages.repeated(_table(spark, sf_dir, "documents")))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five best integer inner products of every fiftieth vector among all vectors."""
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
@@ -106,6 +111,7 @@ QUERIES["op5_token_files"] = op5_token_files
 QUERIES["op6_syncmer_fingerprints"] = op6_syncmer_fingerprints
 QUERIES["op7_url_filter"] = op7_url_filter
 QUERIES["op8_temperature_mixing"] = op8_temperature_mixing
+QUERIES["op9_compact_windows"] = op9_compact_windows
 QUERIES["op10_exact_top_k"] = op10_exact_top_k
 ORACLES["op10_exact_top_k"] = """
 with v as (

@@ -77,9 +77,32 @@ class Words:
         return np.minimum(np.append(begins, self.raw.size)[np.minimum(at, begins.size)], self.end)
 
     def part_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = _powers(self.running.size)
-        value = (self.running[end] - self.running[start]) * down[start]
-        return mix(value + (end - start).astype(np.uint64) * np.uint64(_STEP))
+        return part_hash(self.running, start, end)
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts one after another (nulls are empty), and where each begins (one entry more than texts)."""
+    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset: column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[bounds[0]: bounds[-1]] if data is not None else np.empty(0, np.uint8)
+    return raw, bounds - bounds[0]
+
+
+def running_hash(raw: np.ndarray) -> np.ndarray:
+    """Running sums from which ``part_hash`` takes the hash of any part; one entry more than bytes."""
+    up, _ = _powers(raw.size + 1)
+    running = np.zeros(raw.size + 1, dtype=np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: raw.size], out=running[1:])
+    return running
+
+
+def part_hash(running: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from ``start`` to ``end``, equal for equal bytes wherever they stand."""
+    _, down = _powers(running.size)
+    return mix((running[end] - running[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(_STEP))
 
 
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
@@ -98,13 +121,7 @@ def words(column: pa.Array, split_punctuation: bool = False) -> Words:
 
     With ``split_punctuation`` runs of ASCII punctuation are words of their own.
     """
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    _, offsets, data = column.buffers()
-    bounds = np.frombuffer(offsets, dtype=np.int64)[column.offset: column.offset + len(column) + 1]
-    raw = np.frombuffer(data, dtype=np.uint8)[bounds[0]: bounds[-1]] if data is not None else np.empty(0, np.uint8)
-    bounds = bounds - bounds[0]
+    raw, bounds = text_bytes(column)
     n = raw.size
     raw = raw + (((raw >= 65) & (raw <= 90)).view(np.uint8) << 5)
     kind = _KINDS[raw] if split_punctuation else (_KINDS[raw] > 0).view(np.uint8)
@@ -116,9 +133,7 @@ def words(column: pa.Array, split_punctuation: bool = False) -> Words:
     inside = kind > 0
     start = np.flatnonzero(inside & change[:-1])
     end = np.flatnonzero(inside & change[1:]) + 1
-    up, _ = _powers(n + 1)
-    running = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=running[1:])
+    running = running_hash(raw)
     first = np.searchsorted(start, bounds).astype(np.int64)
     doc = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
     out = Words(raw, start, end, np.empty(0, np.uint64), doc, first, running, bounds)

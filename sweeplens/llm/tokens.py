@@ -1,30 +1,33 @@
-"""Token ids of many texts, exactly as the tokenizers library gives them, with each word encoded once.
-
-Both supported kinds of tokenizer cut a text into pieces that are encoded on
-their own, and a blank between two other characters always ends a piece.  So
-texts are cut at such blanks, equal pieces are encoded once and their ids are
-put together with numpy.  ``gpt`` pieces take the blank before them along;
-where white space touches the blank the pieces stay together.  ``clip``
-pieces drop white space.
+"""Token ids of many texts, exactly as the tokenizers library gives them, with each piece encoded once.
+
+Both supported kinds of tokenizer encode parts of a text on their own.  Texts
+are cut where such a part ends for certain: at ASCII white space, and between a
+letter A-Z and ASCII punctuation.  Equal pieces (found by a 64-bit hash) are
+encoded once, and their ids are put together with numpy.  ``gpt`` pieces keep
+the white space before them; ``clip`` pieces drop it and have letters A-Z
+lower-cased, as that tokenizer does anyway.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import types
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 
+from sweeplens.llm import textarrays
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHED = 700_000  # pieces that a worker remembers; all are forgotten when there are more
+CACHED = 600_000  # pieces that a worker remembers; all are forgotten when there are more
+JOINED = 1000  # pieces that are handed to the tokenizer as one text
 SLICE = 4 << 20  # bytes of texts encoded together
-CACHED_LENGTH = 48  # longer pieces are not remembered
 
 KINDS = {"ByteLevel": "gpt", "Sequence": "clip"}  # by the pre-tokenizer of the file
 
@@ -50,95 +53,147 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(json_text)
-        import json
-
-        self.kind = KINDS[json.loads(json_text)["pre_tokenizer"]["type"]]
+        settings = json.loads(json_text)
+        self.kind = KINDS[settings["pre_tokenizer"]["type"]]
+        self.joint = "\n" if self.kind == "gpt" else " "
+        if self.kind == "gpt":
+            self.line_end = self._run(["\n"])[0][0]
+        else:
+            vocabulary = settings["model"]["vocab"]
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends_word[[i for t, i in vocabulary.items() if t.endswith(settings["model"]["end_of_word_suffix"])]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[int, int] = {}
         self.start = np.zeros(1024, dtype=np.int64)
         self.length = np.zeros(1024, dtype=np.int64)
         self.pool = np.zeros(4096, dtype=np.uint32)
         self.used = self.fill = 0
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
+    def _encode(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """An order of the pieces, all their ids in that order, and how many each has.
+
+        Plain pieces are encoded many at a time, put together so that their ids
+        can be told apart.
+        """
+        plain = [i for i, p in enumerate(pieces) if self._plain(p)]
+        ids, sizes = [], []
+        for at in range(0, len(plain), JOINED):
+            some = plain[at: at + JOINED]
+            found = np.array(self._run([self.joint.join([pieces[i] for i in some])])[0], dtype=np.uint32)
+            if self.kind == "gpt":  # a line end between pieces is one id
+                between = found == self.line_end
+                size = np.diff(np.concatenate(([-1], np.flatnonzero(between), [found.size]))) - 1
+                found = found[~between]
+            else:  # a word's last id ends it
+                size = np.diff(np.append(-1, np.flatnonzero(self.ends_word[found])))
+            if len(size) != len(some):
+                raise ValueError("pieces and ids do not match")
+            ids.append(found)
+            sizes.append(size)
+        taken = np.zeros(len(pieces), dtype=bool)
+        taken[plain] = True
+        rest = np.flatnonzero(~taken).tolist()
+        lists = self._run([pieces[i] for i in rest])
+        sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+        ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes[-1].sum())))
+        return plain + rest, np.concatenate(ids), np.concatenate(sizes)
+
+    def _run(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [e.ids for e in run(pieces, add_special_tokens=False)]
+        return [e.ids for e in run(texts, add_special_tokens=False)] if texts else []
+
+    def _plain(self, piece: str) -> bool:
+        """The piece is tokenised the same between others of its kind: a blank and letters (gpt), or one small word (clip)."""
+        if self.kind == "gpt":
+            return piece[0] == " " and piece[1:].isalpha()
+        return piece.isalpha() and piece.islower()
 
-    def _add(self, pieces: list[str]) -> np.ndarray:
-        """Places of ``pieces`` in the pool, encoding those that are new."""
-        if self.used and (self.used + len(pieces) > CACHED or self.fill > 16 * CACHED):
+    def _places(self, hashes: list[int], text_of) -> np.ndarray:
+        """Places of pieces in the pool; ``text_of(i)`` is asked for the text of those that are new."""
+        if self.used and (self.used + len(hashes) > CACHED or self.fill > 16 * CACHED):
             self._forget()
-        place = self.place
-        found = [place.get(p) for p in pieces]
-        new = list(dict.fromkeys(p for p, i in zip(pieces, found) if i is None))
-        if new:
-            ids = self._encode(new)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(sizes.sum())
+        found = np.array(list(map(self.place.get, hashes, repeat(-1))), dtype=np.int64)
+        new = np.flatnonzero(found < 0)
+        if new.size:
+            order, ids, sizes = self._encode([text_of(i) for i in new.tolist()])
             while self.used + len(new) > self.start.size:
                 self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
-            while self.fill + total > self.pool.size:
+            while self.fill + len(ids) > self.pool.size:
                 self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
             at = slice(self.used, self.used + len(new))
             self.length[at] = sizes
             self.start[at] = self.fill + np.cumsum(sizes) - sizes
-            self.pool[self.fill: self.fill + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            for i, p in enumerate(new, self.used):
-                place[p] = i
+            self.pool[self.fill: self.fill + len(ids)] = ids
+            found[new[order]] = np.arange(self.used, self.used + len(new))
+            self.place.update(zip([hashes[i] for i in new[order].tolist()], range(self.used, self.used + len(new))))
             self.used += len(new)
-            self.fill += total
-            found = [place[p] if i is None else i for p, i in zip(pieces, found)]
-        out = np.array(found, dtype=np.int64)
-        for p in new:
-            if len(p) > CACHED_LENGTH:
-                del place[p]
-        return out
+            self.fill += len(ids)
+        return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the first id of each text (one entry more than texts).
 
         Nulls are empty texts.
         """
-        texts = pc.fill_null(column.cast(pa.large_string()), "")
-        if len(texts) == 0:
-            return np.empty(0, np.uint32), np.zeros(1, np.int64)
-        split = pc.split_pattern(texts, " ")
-        first = np.concatenate(([0], np.cumsum(pc.list_value_length(split).to_numpy())))
-        parts = split.flatten()
-        coded = parts.dictionary_encode()
-        unique = coded.dictionary.to_pylist()
+        raw, bounds = textarrays.text_bytes(column)
+        if self.kind == "clip":
+            # an upper-case letter with a mark after it is left to the tokenizer, whose normal form comes first
+            upper = (raw >= 65) & (raw <= 90)
+            upper[:-1] &= raw[1:] < 128
+            raw = raw + (upper.view(np.uint8) << 5)
+        start, end = self._pieces(raw, bounds)
+        coded = pa.array(textarrays.part_hash(textarrays.running_hash(raw), start, end)).dictionary_encode()
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        if self.kind == "gpt":
-            unique, codes, first = self._joined(parts, unique, codes, first)
-            # texts' first pieces have no blank before them
-            heads, head_place = np.unique(codes[first[:-1]], return_inverse=True)
-            place = self._add([" " + u for u in unique] + [unique[c] for c in heads])
-            at = place[codes]
-            at[first[:-1]] = place[len(unique):][head_place]
-        else:
-            at = self._add(unique)[codes]
+        example = np.empty(len(coded.dictionary), dtype=np.int64)
+        example[codes] = np.arange(len(codes))
+        text, s, e = raw.tobytes(), start[example].tolist(), end[example].tolist()
+        at = self._places(coded.dictionary.to_pylist(), lambda i: text[s[i]: e[i]].decode())[codes]
         sizes, starts = self.length[at], self.start[at]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         where = np.repeat(starts - ends[:-1], sizes)
         where += np.arange(ends[-1])
-        return self.pool[where], ends[first]
-
-    @staticmethod
-    def _joined(parts: pa.Array, unique: list[str], codes: np.ndarray, first: np.ndarray):
-        """Put parts together again where white space touches the blank between them."""
-        open_start = np.fromiter((not u or u[0].isspace() for u in unique), bool, len(unique))
-        open_end = np.fromiter((not u or u[-1].isspace() for u in unique), bool, len(unique))
-        joined = np.zeros(len(codes), dtype=bool)  # belongs to the part before
-        joined[1:] = open_end[codes[:-1]] | open_start[codes[1:]]
-        joined[first[:-1]] = False
-        if not joined.any():
-            return unique, codes, first
-        keep = np.flatnonzero(~joined)
-        size = np.diff(np.append(keep, len(codes)))
-        out = codes[keep]
-        longer = np.flatnonzero(size > 1)
-        out[longer] = np.arange(len(unique), len(unique) + len(longer))
-        unique = unique + [" ".join(parts.slice(keep[i], size[i]).to_pylist()) for i in longer]
-        return unique, out, np.searchsorted(keep, first)
+        return self.pool[where], ends[np.searchsorted(start, bounds)]
+
+    def _pieces(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last byte (exclusive) of each piece, in order."""
+        n = raw.size
+        kind = _KINDS[raw]
+        edge = np.zeros(n + 1, dtype=bool)
+        edge[bounds] = True
+        space = kind == 0
+        cut = edge.copy()  # a piece begins or ends before this byte
+        cut[1:n] |= space[1:] != space[:-1]
+        cut[1:n] |= (kind[1:] + kind[:-1] == 3)  # letter and punctuation, in either order
+        if self.kind == "clip":
+            begins = np.flatnonzero(cut[:n] & ~space)
+            ends = np.flatnonzero(cut[1:] & ~space) + 1
+            return begins, ends
+        begins = np.flatnonzero(cut[:n])
+        ends = np.append(begins[1:], n)
+        blank = space[begins]
+        # white space goes with what follows it in the text, but a single line end or tab stands alone
+        alone = (ends - begins == 1) & (raw[begins] != 32)
+        follows = blank & ~alone
+        follows[:-1] &= ~edge[begins[1:]]
+        if follows.size:
+            follows[-1] = False
+        keep = np.ones(len(begins), dtype=bool)
+        keep[1:] = ~follows[:-1]
+        return begins[keep], np.append(begins[keep][1:], n)
+
+
+def _kinds() -> np.ndarray:
+    """Per byte: 0 for ASCII white space, 1 for letters A-Z, 2 for punctuation that never joins letters, 5 for the rest.
+
+    The apostrophe begins contractions, and ``<|>`` occur in special tokens.
+    """
+    kind = np.full(256, 5, dtype=np.uint8)
+    kind[[9, 10, 11, 12, 13, 32]] = 0
+    kind[65:91] = kind[97:123] = 1
+    kind[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = 2
+    return kind
+
+
+_KINDS = _kinds()
