@@ -6,10 +6,10 @@ both counts; a pair whose sum falls short of the overlap it needs is out.
 
 The bound is used three times.  With fine groups (one a hash value) it says that
 linked sets share one of the groups in which few documents have a count, so
-each document is posted only under its lightest groups and only documents that
-met there, directly or in a chain, form a family.  Inside a family an R-tree
-over coarse counts prunes nodes by the largest counts of their members, then
-pairs by their own.  What survives is verified on the sets.
+each document is posted only under its lightest groups (cells).  In a cell an
+R-tree over coarse counts prunes nodes by the largest counts of their members,
+then pairs by their own; sets connected by the pairs left are a family.  What
+survives the bound inside a family is verified on the sets.
 
 Families are cut into chunks of bounded size.  First each chunk is joined alone,
 then one member of each component found so far, chunk by chunk, and only
@@ -26,12 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sweeplens.llm import textarrays
-from sweeplens.llm.shared import components, contracted, forest, partitions, written
+from sweeplens.llm.shared import IdFilter, components, forest, key_groups, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,6 +39,8 @@ MASSES = 1 << 20  # groups whose counts over all documents order the posting
 _BLOCK = 1 << 14
 GROUPS = 64  # groups of the R-tree's points
 LEAF = 16  # points of a leaf
+FULL = 255  # a posted count at its largest, which may stand for more
+SMALL, LARGEST = 48, 16_384  # rows of a cell: paired outright up to the first, by R-tree up to the second, see _families
 CHUNK = 512  # documents of a chunk
 CHUNK_SHINGLES = 1 << 22  # about as many shingles
 
@@ -80,23 +82,23 @@ def _identity(s: np.ndarray) -> int:
 
 def _survey(words: int):
     """Per document its set's size and identity; per task the counts of all groups, in blocks."""
-    names = ["doc_id", "row", "n", "s", "block", "counts"]
+    names = ["doc_id", "row", "text_hash", "n", "s", "block", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masses = np.zeros(MASSES, dtype=np.uint32)
         for batch in batches:
-            for at, sets in _sets(batch.column(2), words):
+            for at, sets in _sets(batch.column(3), words):
                 everything = np.concatenate([*sets, np.empty(0, np.uint64)])
                 masses += np.bincount((everything % np.uint64(MASSES)).astype(np.int64), minlength=MASSES).astype(np.uint32)
                 k = len(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, k), batch.column(1).slice(at, k), pa.array([s.size for s in sets], pa.int64()), pa.array([_identity(s) for s in sets], pa.int64()),
+                    [*(batch.column(c).slice(at, k) for c in range(3)), pa.array([s.size for s in sets], pa.int64()), pa.array([_identity(s) for s in sets], pa.int64()),
                      pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         for block in range(MASSES // _BLOCK):
             counts = masses[block * _BLOCK: (block + 1) * _BLOCK]
             if counts.any():
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.nulls(1, pa.int64())] * 4, pa.array([block], pa.int32()),
+                    [*[pa.nulls(1, pa.int64())] * 5, pa.array([block], pa.int32()),
                      pa.array([counts.astype("<u4").tobytes()], pa.binary())], names=names)
 
     return run
@@ -120,61 +122,117 @@ def _postings(masses, rule: Rule):
                 for s in sets:
                     if s.size:
                         rows.setdefault(_identity(s), s)
-                lists = []
+                lists, points = [], []
                 for s in rows.values():
                     count = rule.posted(s.size)
                     weight = mass[(s % np.uint64(MASSES)).astype(np.int64)]
                     lists.append(s[np.lexsort((s, weight))[:count]].view(np.int64))
+                    points.append(np.minimum(_point(s), FULL).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(rows), pa.int64()), pa.array([s.size for s in rows.values()], pa.int64()), pa.array(lists, pa.list_(pa.int64()))],
-                    names=["s", "n", "keys"])
+                    [pa.array(list(rows), pa.int64()), pa.array([s.size for s in rows.values()], pa.int64()), pa.array(lists, pa.list_(pa.int64())),
+                     pa.array(points, pa.binary())], names=["s", "n", "keys", "point"])
 
     return run
 
 
-def _meetings(rule: Rule):
-    """Edges between neighbours of rows sorted by (key, n, s), and the first and last row of the partition.
+def _point(s: np.ndarray) -> np.ndarray:
+    """Counts of a set's shingles per coarse group."""
+    return np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
 
-    Neighbours under one key whose sizes allow no link end a chain: as sizes
-    ascend, nobody before can link with anybody after.
-    """
-    names = ["a", "b", "part", "key", "n", "s", "last_key", "last_n", "last_s"]
 
+def _shared(rule: Rule):
+    """Of rows sorted by (key, n, s) those with a neighbour under their key of another set whose size allows a link.
+
+    As sizes ascend, a row without one links with nobody under the key.  The
+    first and the last row of a partition stay, as their neighbours are elsewhere.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, last = TaskContext.get().partitionId(), None, None
+        last, kept = None, True  # the row that awaits its follower
         for batch in batches:
             key, n, s = (batch.column(i).to_numpy() for i in range(3))
             if not len(key):
                 continue
-            first = first or (key[0], n[0], s[0])
             if last is not None:
                 key, n, s = (np.concatenate(([x], y)) for x, y in zip(last, (key, n, s)))
-            last = key[-1], n[-1], s[-1]
-            met = (key[1:] == key[:-1]) & (s[1:] != s[:-1]) & (n[1:] * rule.over <= n[:-1] * rule.under)
-            a, b = forest(s[:-1][met], s[1:][met])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), t) for t in (pa.int32(), *[pa.int64()] * 6)]], names=names)
-        if first:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([part], pa.int32()),
-                                              *[pa.array([int(x)], pa.int64()) for x in (*first, *last)]], names=names)
+            near = (key[1:] == key[:-1]) & (s[1:] != s[:-1]) & (n[1:] * rule.over <= n[:-1] * rule.under)
+            keep = np.append(near, False) | np.insert(near, 0, kept)
+            last, kept = (key[-1], n[-1], s[-1]), bool(keep[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (key, n, s)], names=["key", "n", "s"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in last], names=["key", "n", "s"])
+
+    return run
+
+
+def _bounded(a: np.ndarray, b: np.ndarray, n_a, n_b, rule: Rule) -> np.ndarray:
+    """Pairs of points whose summed coordinate minima allow a link; so do two points with a full count each."""
+    both = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+    return (both >= rule.needed(n_a, n_b)) | ((a == FULL).any(axis=1) & (b == FULL).any(axis=1))
+
+
+def _cell_edges(key: np.ndarray, n: np.ndarray, s: np.ndarray, point: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between sets under one key whose points allow a link, enough of them to connect all that are so connected.
+
+    Rows are sorted by (key, n, s).  Small cells are paired at one distance after
+    the other, all at once; in larger ones an R-tree is asked for each row's
+    partners, and those connected already are left out.
+    """
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(start, len(key)))
+    left = np.repeat(size, size)
+    found_a, found_b = [], []
+    small = left <= SMALL
+    for d in range(1, int(size[size <= SMALL].max(initial=0))):
+        i = np.flatnonzero(small[:-d] & (key[d:] == key[:-d]) & (s[d:] != s[:-d]) & (n[d:] * rule.over <= n[:-d] * rule.under))
+        for at in range(0, len(i), 1 << 16):
+            x = i[at: at + (1 << 16)]
+            x = x[_bounded(point[x], point[x + d], n[x], n[x + d], rule)]
+            found_a.append(s[x])
+            found_b.append(s[x + d])
+    for at, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
+        own = slice(at, at + m)
+        counts, sizes = point[own].astype(np.int32), n[own]
+        tree, label = Tree(counts, sizes), np.arange(m)
+        for i in range(m):
+            points, _ = tree.partners(counts[i], int(sizes[i]), rule, label[i] != label)
+            if (counts[i] == FULL).any():
+                points = np.union1d(points, np.flatnonzero((counts == FULL).any(axis=1) & (label != label[i])))
+            if points.size:
+                found_a.append(np.full(points.size, s[own][i]))
+                found_b.append(s[own][points])
+                label[np.isin(label, label[points])] = label[i]
+    if not found_a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return forest(np.concatenate(found_a), np.concatenate(found_b))
+
+
+def _cells(rule: Rule):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in key_groups(batches, ["key"], 1 << 16):
+            key, n, s = (table[c].to_numpy() for c in ("key", "n", "s"))
+            point = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
+            a, b = _cell_edges(key, n, s, point, rule)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
 def _families(postings: DataFrame, rule: Rule) -> DataFrame:
-    """Sets that meet, directly or in a chain: (node, root) of identities.
+    """Sets connected by pairs under one key whose points allow a link: (node, root) of identities.
 
-    Rows are dealt by ranges of (key, n, s), so the rows of one key may lie in
-    many partitions; the last row of each is joined to the first of the next.
+    Rows are first dealt by ranges of (key, n, s), so that of one key may lie in
+    many partitions, and those that are alone under their key are left out.
     """
-    schema = "a bigint, b bigint, part int, key bigint, n bigint, s bigint, last_key bigint, last_n bigint, last_s bigint"
     rows = postings.select(F.explode("keys").alias("key"), "n", "s")
     dealt = rows.repartitionByRange("key", "n", "s").sortWithinPartitions("key", "n", "s")
-    met = written(dealt.mapInArrow(_meetings(rule), schema), "meetings")
-    order = Window.orderBy("part")  # a row a partition
-    after = met.where("part is not null").select("last_key", "last_n", "last_s", *[F.lead(c).over(order).alias(c) for c in ("key", "n", "s")])
-    border = after.where((F.col("key") == F.col("last_key")) & (F.col("s") != F.col("last_s"))
-                         & (F.col("n") * rule.over <= F.col("last_n") * rule.under)).select(F.col("last_s").alias("a"), F.col("s").alias("b"))
-    return components(met.where("a is not null").select("a", "b").union(border))
+    shared = written(dealt.mapInArrow(_shared(rule), "key bigint, n bigint, s bigint"), "shared")
+    points = postings.groupBy("s").agg(F.min("point").alias("point"))
+    large = shared.groupBy("key").agg(F.count("*").alias("rows"), F.min("s").alias("hub")).where(F.col("rows") > LARGEST)
+    large = written(large.select("key", "hub"), "large")
+    star = shared.join(large, "key").select(F.col("s").alias("a"), F.col("hub").alias("b"))
+    met = (shared.join(large, "key", "left_anti").join(points, "s").select("key", "n", "s", "point").repartition("key").sortWithinPartitions("key", "n", "s")
+           .mapInArrow(_cells(rule), "a bigint, b bigint"))
+    return components(met.union(star))
 
 
 def _set_bytes(words: int):
@@ -206,8 +264,8 @@ class Tree:
         self.low_size = np.array([sizes[p].min() for p in self.leaves])
         self.high_size = np.array([sizes[p].max() for p in self.leaves])
 
-    def partners(self, counts: np.ndarray, size: int, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-        """Points whose summed coordinate minima with ``counts`` allow a link, and those sums."""
+    def partners(self, counts: np.ndarray, size: int, rule: Rule, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Points (of the wanted ones) whose summed coordinate minima with ``counts`` allow a link, and those sums."""
         fits = (self.high_size * rule.under >= size * rule.over) & (self.low_size * rule.over <= size * rule.under)
         near = np.flatnonzero(fits)
         bound = np.minimum(self.high[near], counts).sum(axis=1)
@@ -215,6 +273,8 @@ class Tree:
         if not near.size:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         points = np.concatenate([self.leaves[i] for i in near])
+        if wanted is not None:
+            points = points[wanted[points]]
         bound = np.minimum(self.counts[points], counts).sum(axis=1)
         alive = bound >= rule.needed(self.sizes[points], size)
         return points[alive], bound[alive]
@@ -227,7 +287,7 @@ def links(sets: list[np.ndarray], rule: Rule, label: np.ndarray, side: np.ndarra
     that are connected already are not verified.
     """
     sizes = np.array([s.size for s in sets], dtype=np.int64)
-    counts = np.array([np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+    counts = np.array([_point(s) for s in sets]).astype(np.int32)
     tree = Tree(counts, sizes)
     group = np.unique(label, return_inverse=True)[1].tolist()
     parent = list(range(len(sets)))
@@ -343,25 +403,48 @@ def classes(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     """
     spark = documents.sparkSession
     text = F.col(text_col).cast("string")
-    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("row"), text.alias("text"))
-    survey = written(rows.mapInArrow(_survey(rule.words), "doc_id bigint, row bigint, n bigint, s bigint, block int, counts binary"), "survey")
-    docs = survey.where("block is null").select("doc_id", "row", "n", "s")
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("row"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    survey = written(rows.mapInArrow(_survey(rule.words), "doc_id bigint, row bigint, text_hash bigint, n bigint, s bigint, block int, counts binary"), "survey")
+    docs = survey.where("block is null").select("doc_id", "row", "text_hash", "n", "s")
     masses = np.zeros(MASSES, dtype=np.uint32)
     for r in survey.where("block is not null").select("block", "counts").groupBy("block").applyInArrow(_add, "block int, counts binary").collect():
         masses[r["block"] * _BLOCK: (r["block"] + 1) * _BLOCK] = np.frombuffer(r["counts"], "<u4")
     shared = spark.sparkContext.broadcast(masses)  # MASSES counts, whatever the input
-    postings = written(rows.select("text").mapInArrow(_postings(shared, rule), "s bigint, n bigint, keys array<bigint>"), "postings")
+    postings = written(rows.select("text").mapInArrow(_postings(shared, rule), "s bigint, n bigint, keys array<bigint>, point binary"), "postings")
     families = written(_families(postings, rule), "families").select(F.col("node").alias("s"), "root")
     families = families.union(families.select(F.col("root").alias("s"), "root").distinct())
 
     distinct = docs.where("n > 0").groupBy("s").agg(F.min("n").alias("n"), F.min("doc_id").alias("id"), F.min("row").alias("row"))
     live = families.join(distinct, "s").select("s", "root", "n", "row")
     # one text of each live set
-    bodies = (rows.join(live, "row").select("text", "s", "root", "n")
+    live = written(live, "live")
+    named = IdFilter(live.select(F.col("row").alias("id")))
+    bodies = (rows.where(named.maybe("row")).join(live, "row").select("text", "s", "root", "n")
               .mapInArrow(_set_bytes(rule.words), "s bigint, root bigint, n bigint, set binary"))
     labels = _verified(written(bodies, "sets"), rule).select("s", "label")
     by_set = distinct.join(labels, "s", "left").select("s", "id", F.coalesce("label", "s").alias("label"))
     least = by_set.groupBy("label").agg(F.min("id").alias("component_id"))
     of_set = written(by_set.join(least, "label").select("s", "component_id"), "classes")
     return (docs.join(of_set, "s", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "text_hash"))
+
+
+def one_each(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component: that with the smallest id, then text hash; of equal rows one.
+
+    Texts without words, and components of null ids alone, stay.  Only rows
+    that may go are shuffled.
+    """
+    found = written(classes(documents, rule, id_col, text_col).where("n_shingles > 0"), "found").where("component_id is not null")
+    each = found.groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("rows"))
+    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    first = first.where("first.doc_id is not null").select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.lit(True).alias("stays"))
+    marked = each.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash")), "left")
+    gone = written(marked.where("stays is null or rows > 1").select("doc_id", "text_hash", F.coalesce("stays", F.lit(False)).alias("stays")), "gone")
+    text, doc = F.col(text_col).cast("string"), F.col(id_col).cast("bigint")
+    rows = documents.select(F.struct("*").alias("row"), doc.alias("id"), F.xxhash64(text).alias("hash"))
+    near = IdFilter(gone.select(F.col("doc_id").alias("id"))).maybe("id") | F.col("id").isNull()
+    hit = rows.where(near).join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("hash").eqNullSafe(F.col("text_hash")), "left")
+    kept = hit.where("stays is null").select("row").union(hit.where("stays").dropDuplicates(["id", "hash"]).select("row"))
+    return rows.where(~near).select("row").union(kept).select("row.*")

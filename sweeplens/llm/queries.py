@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -30,7 +30,8 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles overlap by nine tenths of their union."""
-    return jaccard.classes(_table(spark, sf_dir, "documents"), jaccard.Rule(words=3, over=90, under=100))
+    found = jaccard.classes(_table(spark, sf_dir, "documents"), jaccard.Rule(words=3, over=90, under=100))
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,12 +45,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
+    return packing.pack(packing.pieces(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level token ids of all documents, written to frame files and read back."""
-    manifest = tokenfile.write(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    manifest = tokenfile.write(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return tokenfile.read(manifest)
 
 

@@ -40,25 +40,22 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
-def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of consecutive rows with equal keys, from batches sorted by them.
-
-    Whole runs of one batch come together (see ``bounds``); only a run that goes
-    on in the next batch is held back.
-    """
+def key_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal keys, of ``least`` rows or more, from batches sorted by the keys."""
     held: list[pa.Table] = []
+    rows = 0
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if table.num_rows == 0:
+        if batch.num_rows == 0:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        rows += batch.num_rows
+        if rows < least:
             continue
-        if held:
-            table = pa.concat_tables([*held, table]).combine_chunks()
-            held = []
-        starts = bounds(table, keys)
-        last = int(starts[-2])
+        table = pa.concat_tables(held).combine_chunks()
+        last = int(bounds(table, keys)[-2])
         if last:
             yield table.slice(0, last)
-        held = [table.slice(last)]
+        held, rows = [table.slice(last)], table.num_rows - last
     if held:
         yield pa.concat_tables(held).combine_chunks()
 
