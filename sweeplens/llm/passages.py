@@ -39,7 +39,7 @@ class Rule:
     over: int = 80  # per cent of the shingles of both passages that are in both
     functions: int = 3  # hash functions
     beside: int = 12  # shingles beside the smallest that a signature looks at
-    enough: int = 2  # signatures, of two a function, that a pair shares at least
+    enough: int = 1  # signatures, of two a function and each of two smallest hashes, that a pair shares at least
 
     @property
     def stretch(self) -> int:

@@ -185,3 +185,9 @@ def scored(documents: DataFrame, model: bytes | None, text_col: str = "text", ke
     rows = documents.select(F.struct(*keep).alias("_row"), F.col(text_col).cast("string").alias("_text"))
     out = rows.select("_row").withColumn("_score", F.lit(0.0))
     return rows.mapInArrow(_score(shared), out.schema).select("_row.*", F.col("_score").alias(free_name("score", keep)))
+
+
+def accepted(documents: DataFrame, model: bytes | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents whose score stays under ``threshold``, with their own columns."""
+    name = free_name("score", documents.columns)
+    return scored(documents, model, text_col).where(F.col(name) < threshold).select(*documents.columns)
