@@ -333,12 +333,14 @@ def _linked(rule: Rule, paired: bool):
     return run
 
 
-_SIZES = [F.count("*").alias("members"), F.sum("n").alias("shingles"), F.count_distinct("label").alias("labels")]
+def _sizes(live: DataFrame) -> DataFrame:
+    """Members, their shingles and their labels of each family."""
+    return live.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"), F.count_distinct("label").alias("labels"))
 
 
 def _chunked(live: DataFrame, salt: int) -> DataFrame:
     """Rows with ``chunk`` and ``chunks`` of their family (root): chunks of about CHUNK members at most."""
-    per = live.groupBy("root").agg(*_SIZES).where("labels > 1")
+    per = _sizes(live).where("labels > 1")
     chunks = F.greatest(F.ceil(F.col("members") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int")
     per = per.select(F.col("root").alias("_root"), chunks.alias("chunks"))
     return (live.join(per, F.col("root") == F.col("_root")).drop("_root")
@@ -376,7 +378,7 @@ def _verified(sets: DataFrame, rule: Rule) -> DataFrame:
         edges = joined(rows, ["root", "chunk"])
         live = written(_relabelled(live, edges), "labels")
         # families of several chunks that still have several labels
-        left = live.groupBy("root").agg(*_SIZES).where("labels > 1")
+        left = _sizes(live).where("labels > 1")
         left = left.where((F.col("members") > CHUNK) | (F.col("shingles") > CHUNK_SHINGLES))
         open_labels = left.agg(F.coalesce(F.sum("labels"), F.lit(0))).first()[0]
         if open_labels == 0:
@@ -419,7 +421,7 @@ def classes(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", t
     # one text of each live set
     live = written(live, "live")
     named = IdFilter(live.select(F.col("row").alias("id")))
-    bodies = (rows.where(named.maybe("row")).join(live, "row").select("text", "s", "root", "n")
+    bodies = (named.passing(rows, "row").join(live, "row").select("text", "s", "root", "n")
               .mapInArrow(_set_bytes(rule.words), "s bigint, root bigint, n bigint, set binary"))
     labels = _verified(written(bodies, "sets"), rule).select("s", "label")
     by_set = distinct.join(labels, "s", "left").select("s", "id", F.coalesce("label", "s").alias("label"))
@@ -444,7 +446,8 @@ def one_each(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     gone = written(marked.where("stays is null or rows > 1").select("doc_id", "text_hash", F.coalesce("stays", F.lit(False)).alias("stays")), "gone")
     text, doc = F.col(text_col).cast("string"), F.col(id_col).cast("bigint")
     rows = documents.select(F.struct("*").alias("row"), doc.alias("id"), F.xxhash64(text).alias("hash"))
-    near = IdFilter(gone.select(F.col("doc_id").alias("id"))).maybe("id") | F.col("id").isNull()
-    hit = rows.where(near).join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("hash").eqNullSafe(F.col("text_hash")), "left")
+    named, empty = IdFilter(gone.select(F.col("doc_id").alias("id"))), F.col("id").isNull()
+    near = named.passing(rows, "id").union(rows.where(empty))
+    hit = near.join(gone, F.col("id").eqNullSafe(F.col("doc_id")) & F.col("hash").eqNullSafe(F.col("text_hash")), "left")
     kept = hit.where("stays is null").select("row").union(hit.where("stays").dropDuplicates(["id", "hash"]).select("row"))
-    return rows.where(~near).select("row").union(kept).select("row.*")
+    return named.failing(rows.where(~empty), "id").select("row").union(kept).select("row.*")

@@ -266,7 +266,7 @@ def repeated(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     pairs = written(dealt.mapInArrow(_gathered, "key bigint, a bigint, b bigint, mask int").groupBy("a", "b").agg(F.bit_or("mask").alias("mask"))
                     .where(F.bit_count("mask") >= rule.enough).select("a", "b"), "pairs")
     named = IdFilter(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-    texts = rows.where(named.maybe("id"))
+    texts = named.passing(rows, "id")
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
             .select("a", "b", F.xxhash64("text_b").alias("hash_b"), "text_a", "text_b"))
@@ -314,9 +314,9 @@ def removed(documents: DataFrame, spans: DataFrame, id_col: str = "doc_id", text
     rows = documents.select(F.struct("*").alias("row"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("doc_id"), text.alias("text"))
     cuts = written(merged(spans).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("cuts")), "cuts")
     named = IdFilter(cuts.select(F.col("doc_id").alias("id")))
-    hit = rows.where(named.maybe("doc_id")).withColumn("text_hash", F.xxhash64("text"))
+    hit = named.passing(rows, "doc_id").withColumn("text_hash", F.xxhash64("text"))
     joined = hit.join(cuts, ["doc_id", "text_hash"], "left").select("row", F.coalesce("text", F.lit("")).alias("text"), "cuts")
-    whole = rows.where(~named.maybe("doc_id")).select("row").union(joined.where("cuts is null").select("row"))
+    whole = named.failing(rows, "doc_id").select("row").union(joined.where("cuts is null").select("row"))
     cut = joined.where("cuts is not null").mapInArrow(_without, joined.select("row", "text").schema)
     renewed = [F.col("text").alias(c) if c == text_col else F.length("text").cast(documents.schema[c].dataType).alias(c) if c == length_col
                else F.col("row").getField(c).alias(c) for c in columns]

@@ -6,7 +6,6 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,27 +156,30 @@ class IdFilter:
     """A Bloom filter of ids with a fixed number of bits, for leaving rows out before a shuffle.
 
     It lets every id of the set pass, and others by chance: more of them as the
-    set outgrows the bits, so a join must follow.  What the driver and the tasks
-    hold is bounded by ``bits``.
+    set outgrows the bits, so a join must follow.  The bits are a table of at most
+    ``bits / 64`` rows that is broadcast, whatever the number of ids.
     """
 
     def __init__(self, ids: DataFrame, bits: int = 1 << 23):
         """``ids`` has a column id (bigint)."""
-        spark = ids.sparkSession
-        bit = F.pmod(F.xxhash64("id"), F.lit(bits))
-        words = (ids.where("id is not null").select(F.floor(bit / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int")).alias("mask"))
-                 .groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow())
-        table = np.zeros(bits // 64, dtype=np.int64)
-        table[words["word"].to_numpy()] = words["mask"].to_numpy()
-        shared = spark.sparkContext.broadcast(table)
-
-        @F.pandas_udf("boolean")
-        def maybe(place):
-            at = place.to_numpy()
-            return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
-
-        self._bits, self._maybe = bits, maybe
-
-    def maybe(self, column: str) -> Column:
-        """True for every id of the set; false for a null."""
-        return self._maybe(F.coalesce(F.pmod(F.xxhash64(column), F.lit(self._bits)), F.lit(0))) & F.col(column).isNotNull()
+        self.bits = bits
+        word, mask = self._at(F.col("id"))
+        self.words = written(ids.where("id is not null").select(word.alias("_word"), mask.alias("mask"))
+                             .groupBy("_word").agg(F.bit_or("mask").alias("_mask")), "idbits")
+
+    def _at(self, column: Column) -> tuple[Column, Column]:
+        bit = F.pmod(F.xxhash64(column), F.lit(self.bits))
+        return F.floor(bit / 64), F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 64).cast("int"))
+
+    def _split(self, df: DataFrame, column: str, how: str) -> DataFrame:
+        word, mask = self._at(F.col(column))
+        hit = F.col(column).isNotNull() & (word == F.col("_word")) & (F.col("_mask").bitwiseAND(mask) != 0)
+        return df.join(F.broadcast(self.words), hit, how)
+
+    def passing(self, df: DataFrame, column: str) -> DataFrame:
+        """Rows whose id may be in the set; without those whose id is null."""
+        return self._split(df, column, "left_semi")
+
+    def failing(self, df: DataFrame, column: str) -> DataFrame:
+        """Rows whose id is not in the set, or null."""
+        return self._split(df, column, "left_anti")

@@ -1,7 +1,7 @@
 """Token ids of many texts, exactly as the tokenizers library gives them, with each piece encoded once.
 
 Both supported kinds of tokenizer encode parts of a text on their own.  Texts
-are cut where such a part ends for certain: at ASCII white space, and between a
+are cut where such a part ends for certain: at white space, and between a
 letter A-Z and ASCII punctuation.  Equal pieces (found by a 64-bit hash) are
 encoded once, and their ids are put together with numpy.  ``gpt`` pieces keep
 the white space before them; ``clip`` pieces drop it and have letters A-Z
@@ -160,6 +160,13 @@ class Encoder:
         """First and last byte (exclusive) of each piece, in order."""
         n = raw.size
         kind = _KINDS[raw]
+        for lead, rest in _WIDE_SPACES:
+            at = np.flatnonzero(raw == lead)
+            at = at[at + len(rest) < n]
+            for j, (low, high) in enumerate(rest, 1):
+                at = at[(raw[at + j] >= low) & (raw[at + j] <= high)]
+            for j in range(len(rest) + 1):
+                kind[at + j] = 0
         edge = np.zeros(n + 1, dtype=bool)
         edge[bounds] = True
         space = kind == 0
@@ -185,7 +192,7 @@ class Encoder:
 
 
 def _kinds() -> np.ndarray:
-    """Per byte: 0 for ASCII white space, 1 for letters A-Z, 2 for punctuation that never joins letters, 5 for the rest.
+    """Per byte: 0 for ASCII white space (other is found by its bytes), 1 for letters A-Z, 2 for punctuation that never joins letters, 5 for the rest.
 
     The apostrophe begins contractions, and ``<|>`` occur in special tokens.
     """
@@ -197,3 +204,8 @@ def _kinds() -> np.ndarray:
 
 
 _KINDS = _kinds()
+# white space beyond ASCII, in UTF-8: first byte, then ranges of the next ones
+_WIDE_SPACES = [
+    (0xC2, [(0x85, 0x85)]), (0xC2, [(0xA0, 0xA0)]), (0xE1, [(0x9A, 0x9A), (0x80, 0x80)]), (0xE2, [(0x80, 0x80), (0x80, 0x8A)]),
+    (0xE2, [(0x80, 0x80), (0xA8, 0xA9)]), (0xE2, [(0x80, 0x80), (0xAF, 0xAF)]), (0xE2, [(0x81, 0x81), (0x9F, 0x9F)]), (0xE3, [(0x80, 0x80), (0x80, 0x80)]),
+]
