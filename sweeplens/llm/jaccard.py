@@ -361,7 +361,7 @@ def _verified(sets: DataFrame, rule: Rule) -> DataFrame:
     """Labels of live sets (s, root, n, set): members of a family with the same label are linked by chains of links."""
     group = lambda df, keys, paired: written(
         df.groupBy(*keys).applyInArrow(_linked(rule, paired), "a bigint, b bigint"), "links")
-    live = sets.select("s", "root", "n").withColumn("label", F.col("s"))
+    live = sets.select("s", "root", "n").distinct().withColumn("label", F.col("s"))  # equal rows gave equal sets
     body = sets.select("s", "set")
 
     def joined(rows: DataFrame, keys: list[str], paired: bool = False) -> DataFrame:
@@ -440,8 +440,8 @@ def one_each(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     """
     found = written(classes(documents, rule, id_col, text_col).where("n_shingles > 0"), "found").where("component_id is not null")
     each = found.groupBy("doc_id", "text_hash", "component_id").agg(F.count("*").alias("rows"))
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    first = first.where("first.doc_id is not null").select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.lit(True).alias("stays"))
+    first = found.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"), F.lit(True).alias("stays"))
     marked = each.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_hash")), "left")
     gone = written(marked.where("stays is null or rows > 1").select("doc_id", "text_hash", F.coalesce("stays", F.lit(False)).alias("stays")), "gone")
     text, doc = F.col(text_col).cast("string"), F.col(id_col).cast("bigint")

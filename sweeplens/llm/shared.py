@@ -136,15 +136,15 @@ def kth_smallest(df: DataFrame, key: Column, k: int) -> int | None:
     Counts values by their upper bits, 12 at a time; each count is combined
     before the shuffle.  None if there are fewer than ``k`` rows.
     """
-    low, width, left = -(2**63), 64, k
+    low, high, width, left = -(2**63), 2**63 - 1, 64, k
     rows = df.select(key.alias("v")).where("v is not null")
     while width:
         width = max(0, width - 12)
-        piece = rows.where(F.col("v").between(low, low + (1 << min(64, width + 12)) - 1) if width + 12 < 64 else F.lit(True))
+        piece = rows.where(F.col("v").between(low, high))
         found = piece.groupBy(F.shiftright(F.col("v"), width).alias("bin")).count().orderBy("bin").collect()
         for row in found:
             if left <= row["count"]:
-                low = row["bin"] << width
+                low, high = row["bin"] << width, (row["bin"] << width) + (1 << width) - 1
                 break
             left -= row["count"]
         else:

@@ -143,29 +143,27 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
 
 def _score(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         data = np.load(io.BytesIO(model.value)) if model.value else None
         if data is not None:
             bias, w, v, terms = float(data["bias"]), data["w"].astype(float), data["v"].astype(float), data["terms"]
             place = np.full(BUCKETS, -1, dtype=np.int32)
             place[terms] = np.arange(len(terms))
-        for batch in batches:
-            for a, b in textarrays.slices(batch.column(batch.num_columns - 1)):
+        for column in texts:
+            score = np.zeros(len(column))
+            for a, b in textarrays.slices(column) if data is not None else ():
                 n = b - a
-                score = np.zeros(n)
-                if data is not None:
-                    doc, term = _buckets(textarrays.words(batch.column(batch.num_columns - 1).slice(a, n), True))
-                    at = place[term]
-                    doc, at = _distinct(doc[at >= 0], at[at >= 0].astype(np.int64), max(len(terms), 1))
-                    z = bias + np.bincount(doc, weights=w[at], minlength=n)
-                    for f in range(v.shape[1]):
-                        inner = np.bincount(doc, weights=v[at, f], minlength=n)
-                        z += 0.5 * (inner**2 - np.bincount(doc, weights=v[at, f] ** 2, minlength=n))
-                    score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                columns = [c.slice(a, n) for c in batch.columns[:-1]]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(score)], names=[*batch.schema.names[:-1], "_score"])
+                doc, term = _buckets(textarrays.words(column.slice(a, n), True))
+                at = place[term]
+                doc, at = _distinct(doc[at >= 0], at[at >= 0].astype(np.int64), max(len(terms), 1))
+                z = bias + np.bincount(doc, weights=w[at], minlength=n)
+                for f in range(v.shape[1]):
+                    inner = np.bincount(doc, weights=v[at, f], minlength=n)
+                    z += 0.5 * (inner**2 - np.bincount(doc, weights=v[at, f] ** 2, minlength=n))
+                score[a:b] = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            yield pa.array(score)
 
-    return run
+    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -182,9 +180,8 @@ def scored(documents: DataFrame, model: bytes | None, text_col: str = "text", ke
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
     keep = documents.columns if keep is None else keep
-    rows = documents.select(F.struct(*keep).alias("_row"), F.col(text_col).cast("string").alias("_text"))
-    out = rows.select("_row").withColumn("_score", F.lit(0.0))
-    return rows.mapInArrow(_score(shared), out.schema).select("_row.*", F.col("_score").alias(free_name("score", keep)))
+    score = _score(shared)(F.col(text_col).cast("string"))
+    return documents.select(*[F.col(c) for c in keep], score.alias(free_name("score", keep)))
 
 
 def accepted(documents: DataFrame, model: bytes | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
