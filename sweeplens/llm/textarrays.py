@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SLICE_BYTES = 1 << 21  # texts are hashed in slices of about this size; a longer text is a slice of its own
+SLICE_BYTES = 1 << 19  # texts are hashed in slices of about this size; a longer text is a slice of its own
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xD1B54A32D192ED03
 _CACHE: dict[str, np.ndarray] = {}

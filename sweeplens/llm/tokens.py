@@ -27,7 +27,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CACHED = 400_000  # pieces that a worker remembers; all are forgotten when there are more
 JOINED = 1000  # pieces that are handed to the tokenizer as one text
-SLICE = 2 << 20  # bytes of texts encoded together
+SLICE = 1 << 20  # bytes of texts encoded together
 
 KINDS = {"ByteLevel": "gpt", "Sequence": "clip"}  # by the pre-tokenizer of the file
 
