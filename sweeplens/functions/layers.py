@@ -109,7 +109,7 @@ def block_spec(blocks: Column) -> Column:
 
 # Whole-text patterns decide whether a spec is usable; the numbers are then cut
 # out and cast in bulk, which stays in generated code.
-_INT = r"[+-]?\d{1,9}"
+_INT = r"[+-]?\d+"
 _LIST = rf"\s*(?:{_INT}\s*)?(?:,\s*(?:{_INT}\s*)?)*$"
 _PAIR = rf"(?:\(\s*{_INT}\s*,\s*{_INT}\s*\)|{_INT}\s*,\s*{_INT})"
 _BLOCKS = rf"[\s;]*{_PAIR}\s*(?:;\s*(?:{_PAIR}\s*)?)*$"
@@ -119,7 +119,11 @@ _BLOCK_SPEC = rf"(?i)^(?:blocks:)?{_BLOCKS}"
 
 
 def _numbers(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_INT), F.lit(0)).cast(INT_ARRAY)
+    """All integers of a text, whatever their length; NULL when one does not fit."""
+    def whole(found: Column) -> Column:
+        return F.when(~F.exists(found, lambda x: x.isNull()), found)
+
+    return let(F.regexp_extract_all(text, F.lit(_INT), F.lit(0)).try_cast(INT_ARRAY), whole)
 
 
 def _paired(numbers: Column) -> Column:

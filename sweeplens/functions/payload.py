@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sweeplens.functions.layers import squeeze
+
 
 def payload_score(payload: Column) -> Column:
     """Score of a VARIANT payload: ``score``, ``math_score``, ``eq_score``, or itself.
@@ -97,7 +99,7 @@ def required_fields(action: Column) -> Column:
 
 
 def action_name(obj: Column) -> Column:
-    return F.trim(F.try_variant_get(F.try_parse_json(obj), "$.action", "string"))
+    return squeeze(F.try_variant_get(F.try_parse_json(obj), "$.action", "string"))
 
 
 def action_status(obj: Column) -> Column:

@@ -295,14 +295,14 @@ def clip_bounds(diffs: DataFrame, keys: list[str], value: str = "value", k_pos:
     """Asymmetric colour bounds per run from tail quantiles and positive spread.
 
     A run is one grid of at most (layers x repeats) cells, so the exact
-    percentile aggregate is bounded per group.
+    percentile aggregate is bounded per group.  A run without any cell gets (-1, 1).
     """
     eps = 1e-9
     d = F.col(value)
     pos, nonneg, neg = F.when(d > 0, d), F.when(d >= 0, d), F.when(d < 0, -d)
     q = min(1.0, max(0.0, tail_q))
-    s = diffs.filter(d.isNotNull()).groupBy(*keys).agg(
-        F.max(d).alias("best"), F.count(pos).alias("np"), F.stddev_pop(pos).alias("sp"),
+    s = diffs.groupBy(*keys).agg(
+        F.count(d).alias("cells"), F.max(d).alias("best"), F.count(pos).alias("np"), F.stddev_pop(pos).alias("sp"),
         F.count(nonneg).alias("nn"), F.stddev_pop(nonneg).alias("sn"), F.stddev_pop(d).alias("sa"),
         F.percentile(pos, q).alias("qp"), F.percentile(neg, q).alias("qn"))
     sigma = (
@@ -315,7 +315,9 @@ def clip_bounds(diffs: DataFrame, keys: list[str], value: str = "value", k_pos:
     s = s.withColumn("ratio", F.least(F.greatest(raw, F.lit(a_min)), F.lit(a_max)))
     s = s.withColumn("vmax", F.greatest(F.col("sigma") * k_pos, F.col("q_pos"), F.col("best") + eps, F.lit(eps)))
     span = F.greatest(F.col("sigma") * k_neg * F.col("ratio"), F.col("q_neg"), F.lit(eps))
-    return s.select(*keys, (-F.least(span, F.greatest(F.col("vmax") * a_max, F.lit(eps)))).alias("vmin"), "vmax")
+    low = -F.least(span, F.greatest(F.col("vmax") * a_max, F.lit(eps)))
+    some = F.col("cells") > 0
+    return s.select(*keys, F.when(some, low).otherwise(-1.0).alias("vmin"), F.when(some, F.col("vmax")).otherwise(1.0).alias("vmax"))
 
 
 def centered_range(vmin: Column, vmax: Column, center: float = 0.0) -> Column:

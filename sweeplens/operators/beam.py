@@ -56,10 +56,11 @@ def _stats(rows: DataFrame, baseline: dict) -> FrozenStats:
 
 
 def seed_entries(pairs: DataFrame, n: int, penalty: float = 0.0) -> tuple[DataFrame, FrozenStats]:
-    """Baseline and single blocks from pair scores; a missing (0,0) is an error."""
+    """Baseline and single blocks that have both scores; a missing (0,0) is an error."""
     block = F.struct(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
     base = (F.col("i") == 0) & (F.col("j") == 0)
-    rows = pairs.select(
+    both = F.col("math_score").isNotNull() & F.col("eq_score").isNotNull()
+    rows = pairs.filter(both).select(
         F.when(base, F.array().cast(L.BLOCK_ARRAY)).otherwise(F.array(block)).alias("blocks"),
         L.expand_block(n, F.col("i"), F.col("j")).alias(KEY), F.when(base, 0).otherwise(1).alias("depth"),
         "math_score", "eq_score")

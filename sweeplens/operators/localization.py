@@ -240,7 +240,7 @@ def parse_rankings(answers: DataFrame, text: str = "raw_answer", candidates: str
 
     has_main = F.try_variant_get("_v", "$.ranked_files", "variant").isNotNull()
     from_json = F.when(has_main, listed("ranked_files")).otherwise(listed("ranking"))
-    from_json = F.transform(F.coalesce(from_json, F.array().cast("array<string>")), lambda x: F.trim(x))
+    from_json = F.transform(F.coalesce(from_json, F.array().cast("array<string>")), lambda x: L.squeeze(x))
 
     def mention(path: Column) -> Column:
         if not whole_paths:
@@ -297,7 +297,7 @@ def pending_pairs(examples: DataFrame, conditions: DataFrame, done: DataFrame,
 
 
 def search_text(files: DataFrame, queries: list[str], limit: int = 20, keys: list[str] = ["repo"]) -> DataFrame:
-    """First ``limit`` literal hits per query in (path, line) order, Python files only.
+    """First ``limit`` literal hits per query in order of path parts and line, Python files only.
 
     Files without a match are dropped before their lines are exploded, and each
     task keeps only ``limit`` rows per query before the shuffle.
@@ -308,5 +308,5 @@ def search_text(files: DataFrame, queries: list[str], limit: int = 20, keys: lis
     rows = files.filter(visible).select(*keys, "path", "text", F.explode(hit).alias("query"))
     lines = rows.select(*keys, "path", "query", F.posexplode(X.lines_of(F.col("text"))).alias("_k", "line_text"))
     found = lines.filter(F.contains("line_text", F.col("query"))).withColumn("line", F.col("_k") + 1)
-    w = Window.partitionBy(*keys, "query").orderBy("path", "line")
+    w = Window.partitionBy(*keys, "query").orderBy(F.split("path", "/"), "line")
     return found.withColumn("hit", F.row_number().over(w)).filter(F.col("hit") <= limit).drop("_k")

@@ -66,6 +66,11 @@ def combine_metrics(math: DataFrame, eq: DataFrame, keys: list[str]) -> DataFram
     return m.join(q, keys).withColumn("score_sum", total).withColumn("score_mean", total * 0.5)
 
 
+def first_responses(responses: DataFrame, order: list[str], samples: int) -> DataFrame:
+    """The responses a preflight looks at; taken before they are scored, the others need no scoring."""
+    return responses.orderBy(*order).limit(samples)
+
+
 def preflight(scored: DataFrame, order: list[str], samples: int, min_rate: float, math: bool = True,
               strict: bool = False) -> DataFrame:
     """Extraction-quality verdict over the first ``samples`` responses."""

@@ -205,7 +205,7 @@ ORACLES = {
     "shuffle_positions": f"""with f as ({fx.LOC_BODY}) select issue_id, file_path, row_number() over (partition by issue_id order by md5('7:' || file_path), file_path) as position from f""",
     "text_search": f"""with {CLASSES_SQL}, {LINED_SQL}, q as (select unnest(['the ', 'ion', 'e.', 'qq']) as query),
         l as (select repo, path, unnest(ls) as t, unnest(range(1, len(ls) + 1)) as line from lined where path like '%.py'),
-        h as (select repo, query, path, line, t, row_number() over (partition by repo, query order by path, line) as hit from l join q on contains(t, query))
+        h as (select repo, query, path, line, t, row_number() over (partition by repo, query order by string_split(path, '/'), line) as hit from l join q on contains(t, query))
         select repo, query, cast(hit as int) as hit, path, cast(line as int) as line, md5(t) as text_md5 from h where hit <= 20""",
     "ranked_parse": f"""with {ANSWER_SQL} select issue_id, ranked,
         case when issue_id % 4 in (0, 1) then 'json' else 'path_order_fallback' end as parser, cast(valid as int) as valid_ranked_count,

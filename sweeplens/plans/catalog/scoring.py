@@ -42,13 +42,16 @@ def extraction_rates(spark, d):
 
 
 def math_preflight(spark, d):
-    out = S.preflight(S.score_math(fx.math_responses(spark, d)), ["qid", "raw_output", "answer"], 40, 0.9)
+    order = ["qid", "raw_output", "answer"]
+    first = S.first_responses(fx.math_responses(spark, d), order, 40)
+    out = S.preflight(S.score_math(first), order, 40, 0.9)
     return out.select("samples", F.round("score", 9).alias("score"), F.round("rate", 9).alias("rate"), "verdict")
 
 
 def eq_preflight(spark, d):
     order = ["qid", "raw_output", "ref1", "ref3", "ref4"]
-    out = S.preflight(S.score_emotions(fx.eq_responses(spark, d)), order, 40, 0.5, math=False)
+    first = S.first_responses(fx.eq_responses(spark, d), order, 40)
+    out = S.preflight(S.score_emotions(first), order, 40, 0.5, math=False)
     return out.select("samples", F.round("score", 9).alias("score"), F.round("rate", 9).alias("rate"), "verdict")
 
 

@@ -187,8 +187,8 @@ PATCHES_BODY = """
 
 FILES_KEYS_BODY = """
  select 'repo' || (doc_id % 4) as repo,
-  case when doc_id % 9 = 0 then 'tests/test_d' else 'src/m' || (doc_id % 7) || '/f' end || (doc_id % 50) || case when doc_id % 11 = 0 then '.js' else '.py' end as path,
-  min(doc_id) as doc_id from documents group by 1, 2
+  case when doc_id % 9 = 0 then 'tests/test_d' else 'src/m' || (doc_id % 7) || '/f' end || case when doc_id < 350 then doc_id % 50 else doc_id end || case when doc_id % 11 = 0 then '.js' else '.py' end as path,
+  doc_id from documents
 """
 
 
@@ -201,7 +201,7 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text per (repo, path); ``documents`` is unique on doc_id."""
+    """Every document as one file; the first 350 have the names that patches use."""
     keys = from_body(spark, sf_dir, FILES_KEYS_BODY, "documents")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return keys.join(docs, "doc_id")
