@@ -42,7 +42,7 @@ LEAF = 16  # points of a leaf
 FULL = 255  # a posted count at its largest, which may stand for more
 SMALL, LARGEST = 48, 16_384  # rows of a cell: paired outright up to the first, by R-tree up to the second, see _families
 CHUNK = 512  # documents of a chunk
-CHUNK_SHINGLES = 1 << 22  # about as many shingles
+CHUNK_SHINGLES = 1 << 20  # about as many shingles
 
 
 @dataclass(frozen=True)

@@ -16,12 +16,23 @@ from sweeplens.session import scratch_path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+BATCH_BYTES = 4 << 20  # of an Arrow batch, where the session leaves it unbounded
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what a task hands to Python at once: a batch of long texts counts by bytes, not by rows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, str(2**63 - 1)).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared scratch folder and read it back.
 
     Cuts the lineage with files every executor can reach, keeps column pruning,
     and makes later steps see the same rows whatever is recomputed.
     """
+    bounded_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

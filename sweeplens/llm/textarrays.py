@@ -114,6 +114,7 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield at, to
         at = to
+    pa.default_memory_pool().release_unused()  # a worker that waits for its next task keeps little
 
 
 def words(column: pa.Array, split_punctuation: bool = False) -> Words:

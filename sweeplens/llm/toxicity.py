@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplens.llm import textarrays
-from sweeplens.llm.shared import free_name
+from sweeplens.llm.shared import bounded_batches, free_name
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -126,6 +126,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     of their id, so the bound also bounds the one task that learns.  Rows
     without id or label are left out; an id with several labels has the largest.
     """
+    bounded_batches(documents.sparkSession)
     each = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
             .groupBy(F.col(id_col).cast("bigint").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("label")))
     n = {r["label"]: r["n"] for r in each.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -178,6 +179,7 @@ def scored(documents: DataFrame, model: bytes | None, text_col: str = "text", ke
     is 0.  A new column whose name is taken gets underscores at its end.  The
     whole text counts, however long; repeated rows have equal scores.
     """
+    bounded_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most TERMS terms
     keep = documents.columns if keep is None else keep
     score = _score(shared)(F.col(text_col).cast("string"))
