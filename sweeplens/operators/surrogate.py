@@ -156,7 +156,7 @@ def predict(df: DataFrame, models: dict[str, GBTRegressionModel]) -> DataFrame:
     return df
 
 
-def train(split: DataFrame, retries: int = 3, rounds_scale: float = 0.12, seed: int = 42,
+def train(split: DataFrame, retries: int = 3, rounds_scale: float = 1.0, seed: int = 42,
           gate: float = GATE_SPEARMAN) -> Surrogate:
     """Three regressors per preset; the trial with the best hold-out rank wins."""
     data = pin(split.select(KEY, "counts", "split", *TARGETS.values()))
