@@ -22,7 +22,7 @@ BATCH_BYTES = 4 << 20  # of an Arrow batch, where the session leaves it unbounde
 def bounded_batches(spark: SparkSession) -> None:
     """Bound what a task hands to Python at once: a batch of long texts counts by bytes, not by rows."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, str(2**63 - 1)).rstrip("bB")) > BATCH_BYTES:
+    if int(spark.conf.get(name, "67108864").rstrip("bB")) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
