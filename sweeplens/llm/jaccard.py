@@ -37,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MASSES = 1 << 20  # groups whose counts over all documents order the posting
 _BLOCK = 1 << 14
-GROUPS = 64  # groups of the R-tree's points
+GROUPS = 256  # groups of the R-tree's points
 LEAF = 16  # points of a leaf
 FULL = 255  # a posted count at its largest, which may stand for more
 SMALL, LARGEST = 48, 16_384  # rows of a cell: paired outright up to the first, by R-tree up to the second, see _families
@@ -364,11 +364,15 @@ def _verified(sets: DataFrame, rule: Rule) -> DataFrame:
     live = sets.select("s", "root", "n").distinct().withColumn("label", F.col("s"))  # equal rows gave equal sets
     body = sets.select("s", "set")
 
+    left = None
+
     def joined(rows: DataFrame, keys: list[str], paired: bool = False) -> DataFrame:
         wanted = rows.select("s", "label", *keys, *(["side"] if paired else []))
+        if left is not None:  # only sets of open families are moved again
+            return group(wanted.join(IdFilter(rows.select(F.col("s").alias("id"))).passing(body, "s"), "s"), keys, paired)
         return group(wanted.join(body, "s"), keys, paired)
 
-    rounds, before, left = 0, None, None
+    rounds, before = 0, None
     while True:
         if left is None:
             rows = _chunked(live, rounds)
@@ -383,8 +387,8 @@ def _verified(sets: DataFrame, rule: Rule) -> DataFrame:
         open_labels = left.agg(F.coalesce(F.sum("labels"), F.lit(0))).first()[0]
         if open_labels == 0:
             return live
-        if open_labels == before:
-            break
+        if before is not None and open_labels > before / 2:
+            break  # representatives join too little
         before, rounds = open_labels, rounds + 1
     # what no representative joined: every pair of chunks of these families, labels that differ only
     rows = _chunked(live.join(left.select("root"), "root", "left_semi"), 0)
