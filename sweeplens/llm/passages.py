@@ -167,49 +167,118 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _merged(x, y, bits.astype(np.int32))
 
 
+def _stretch_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` values, equal for equal runs wherever they stand."""
+    up, _ = textarrays._powers(h.size + 1)
+    running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up[: h.size], dtype=np.uint64)))
+    at = np.arange(max(0, h.size - size + 1))
+    return textarrays.part_hash(running, at, at + size)
+
+
+def _length(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sequences have in common from their first on."""
+    n, at, step = min(a.size, b.size), 0, 64
+    while at < n:
+        differ = np.flatnonzero(a[at: min(n, at + step)] != b[at: min(n, at + step)])
+        if differ.size:
+            return at + int(differ[0])
+        at, step = at + step, 2 * step
+    return n
+
+
+def _maximal(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int, int]:
+    """The longest run through a place: where it begins in ``a`` and ``b``, and its size."""
+    back = _length(a[:i][::-1], b[:j][::-1])
+    return i - back, j - back, back + _length(a[i:], b[j:])
+
+
+def _runs(a: np.ndarray, b: np.ndarray, rule: Rule) -> np.ndarray:
+    """Maximal runs of equal values on all diagonals: rows (begin in ``a``, begin in ``b``, size), by place in ``b``.
+
+    Where values repeat so often that their places pair up beyond a multiple of
+    both lengths, the most frequent ones no longer begin runs at each place, but
+    runs still go on through them, and every stretch that ``a`` has begins one.
+    """
+    order = np.argsort(a, kind="stable")
+    ranked = a[order]
+    left, right = (np.searchsorted(ranked, b, side) for side in ("left", "right"))
+    count = right - left
+    hits = np.flatnonzero(count)
+    if 100 * hits.size < rule.over * rule.stretch:
+        return np.empty((0, 3), np.int64)
+    rare = hits[np.argsort(count[hits], kind="stable")]
+    taken = int(np.searchsorted(np.cumsum(count[rare]), 2 * (a.size + b.size) + 1024, side="right"))
+    whole = taken == hits.size
+    often, rare = rare[taken:], rare[:taken]
+    each = count[rare]
+    j = np.repeat(rare, each)
+    i = order[np.repeat(left[rare], each) + np.arange(j.size) - np.repeat(np.cumsum(each) - each, each)]
+    sort = np.lexsort((j, i - j))
+    i, j = i[sort], j[sort]
+    new = np.flatnonzero(np.append(True, (np.diff(i - j) != 0) | (np.diff(j) != 1)))
+    runs = np.column_stack((i[new], j[new], np.diff(np.append(new, i.size))))
+    if not whole:
+        found, last = [], None
+        for x, y, _ in runs.tolist():
+            if last is None or x - y != last[0] - last[1] or y >= last[1] + last[2]:
+                last = _maximal(a, b, x, y)
+                found.append(last)
+        to = 0
+        often.sort()
+        while (k := np.searchsorted(often, to)) < often.size:
+            y = int(often[k])
+            found.append(_maximal(a, b, int(order[left[y]]), y))
+            to = found[-1][1] + found[-1][2]
+        own, other = _stretch_hashes(a, rule.stretch), _stretch_hashes(b, rule.stretch)
+        values, first = np.unique(own, return_index=True)
+        at = np.minimum(np.searchsorted(values, other), max(values.size - 1, 0))
+        here = np.flatnonzero(values[at] == other) if values.size else np.empty(0, np.int64)
+        to = 0
+        while (k := np.searchsorted(here, to)) < here.size:
+            y = int(here[k])
+            last = _maximal(a, b, int(first[at[y]]), y)
+            found.append(last)
+            to = max(y + 1, last[1] + last[2] - rule.stretch + 1)
+        runs = np.unique(np.array(found, dtype=np.int64), axis=0)
+    return runs[np.lexsort((runs[:, 0], runs[:, 1]))]
+
+
 def matches(a: np.ndarray, b: np.ndarray, rule: Rule) -> list[tuple[int, int, int, int]]:
     """Repeated stretches of two shingle sequences: first and end place in ``a``, then in ``b``.
 
-    Runs of equal shingles along one diagonal are put together, in order, while
-    what is in both stays ``over`` per cent of what is in either.
+    Runs of equal shingles are put together in order, each with the one before
+    that gives the most in both, while what is in both stays ``over`` per cent of
+    what is in either.  A run on another diagonal, such as an earlier place of a
+    common line, takes nothing from the others.  Stretches of ``b`` inside another
+    one are left out.
     """
     if not a.size or not b.size:
         return []
-    order = np.argsort(a, kind="stable")
-    ranked = a[order]
-    at = np.searchsorted(ranked, b)
-    at[at == a.size] = 0
-    hit = ranked[at] == b
-    runs, place = [], order[at]
-    j, n = 0, len(b)
-    hits = np.flatnonzero(hit)
-    while True:
-        k = np.searchsorted(hits, j)
-        if k == len(hits):
-            break
-        j = int(hits[k])
-        i = int(place[j])
-        if runs:  # a shingle that ``a`` repeats goes on with the run before, where that is possible
-            _, i_end, _, j_end = runs[-1]
-            on = i_end + j - j_end
-            if 0 <= on < len(a) and a[on] == b[j]:
-                i = on
-        m = min(len(a) - i, n - j)
-        differ = np.flatnonzero(a[i: i + m] != b[j: j + m])
-        m = int(differ[0]) if differ.size else m
-        runs.append((i, i + m, j, j + m))
-        j += m
-    out: list[list[int]] = []
-    for i, i_end, j, j_end in runs:
-        size = j_end - j
-        if out:
-            last = out[-1]
-            both = last[4] + size
-            if i >= last[1] and 100 * both >= rule.over * ((i_end - last[0]) + (j_end - last[2]) - both):
-                last[1], last[3], last[4] = i_end, j_end, both
-                continue
-        out.append([i, i_end, j, j_end, size])
-    return [tuple(x[:4]) for x in out if min(x[1] - x[0], x[3] - x[2]) >= rule.stretch]
+    runs = _runs(a, b, rule)
+    n = len(runs)
+    i_end, j_end = runs[:, 0] + runs[:, 2], runs[:, 1] + runs[:, 2]
+    reach = np.maximum.accumulate(j_end) if n else j_end
+    first_i, first_j, both = runs[:, 0].copy(), runs[:, 1].copy(), runs[:, 2].copy()
+    most = 0
+    for r, (i, j, size) in enumerate(runs.tolist()):
+        # what lies between is at most this part of what is in both
+        low = int(np.searchsorted(reach[:r], j - (most + size) * (100 / max(rule.over, 1) - 1)))
+        if low < r:
+            before = slice(low, r)
+            added = size - np.maximum(np.maximum(i_end[before] - i, j_end[before] - j), 0)
+            total = both[before] + added
+            fits = (added > 0) & (100 * total >= rule.over * ((i + size - first_i[before]) + (j + size - first_j[before]) - total))
+            k = int(np.where(fits, total, -1).argmax())
+            if fits[k] and total[k] > size:
+                first_i[r], first_j[r], both[r] = first_i[low + k], first_j[low + k], total[k]
+        most = max(most, int(both[r]))
+    long = np.flatnonzero(np.minimum(i_end - first_i, j_end - first_j) >= rule.stretch)
+    out, to = [], -1
+    for r in long[np.lexsort((-j_end[long], first_j[long]))].tolist():
+        if j_end[r] > to:
+            to = int(j_end[r])
+            out.append((int(first_i[r]), int(i_end[r]), int(first_j[r]), to))
+    return out
 
 
 _SPAN = ["a", "b", "hash_b", "begin", "end", "words", "begin_a", "end_a"]

@@ -142,3 +142,22 @@ def test_matches_of_repetitive_texts():
     found = passages.matches(a, a, passages.Rule(words=1, shortest=20))
     assert found == [(0, 91, 0, 91)]
     assert passages.matches(a, a[:0], passages.Rule()) == []
+
+
+def test_matches_go_by_the_longest_run_through_a_place():
+    import numpy as np
+
+    rule = passages.Rule()
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(0, 2**60, n).astype(np.uint64)
+    passage = new(51)
+    a = np.concatenate((new(20), passage[:6], new(60), passage, new(20)))  # the opening line stands alone early on
+    b = np.concatenate((new(15), passage, new(9)))
+    assert passages.matches(a, b, rule) == [(86, 137, 15, 66)]
+    assert passages.matches(b, a, rule) == [(15, 66, 86, 137)]
+    near = passage.copy()
+    near[25] = a[2]  # a stray hit between two parts
+    assert passages.matches(a, np.concatenate((new(15), near, new(9))), rule) == [(86, 137, 15, 66)]
+    noisy = np.concatenate([np.append(np.repeat(passage[:1], 30), x) for x in new(200)])  # one shingle nearly everywhere
+    found = passages.matches(np.concatenate((noisy[:3000], passage)), np.concatenate((noisy[3100:], passage, noisy[4000:4100])), rule)
+    assert any(y <= len(noisy) - 3100 and y_end >= len(noisy) - 3100 + 51 for _, _, y, y_end in found)
