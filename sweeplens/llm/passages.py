@@ -10,8 +10,11 @@ same smallest hash, for every function when the passages are equal.
 A window's signatures are its smallest hash joined to the smallest hash of the
 few shingles right, and left, of it, so that short common lines alone do not
 bring texts together.  Texts under one signature are paired with the first of
-them, never with each other; pairs that share enough signatures are verified
-on their texts, which also finds where the passages begin and end.
+them, never with each other.  The first may share the signature's few shingles
+only, so where three texts or more meet, each also gives all its stretches of
+the window, whole, and is paired with the first text of each: no equal passage is
+lost, and rows stay in proportion to the texts.  Pairs that share enough signatures
+are verified on their texts, which also finds where the passages begin and end.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sweeplens.llm import textarrays
-from sweeplens.llm.shared import IdFilter, written
+from sweeplens.llm.shared import IdFilter, key_groups, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -73,15 +76,29 @@ def _least_beside(h: np.ndarray, doc: np.ndarray, reach: int, step: int) -> np.n
     return out
 
 
-def _signatures(column: pa.Array, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of a slice of texts: hash, place of the text, number of the function and side."""
+@dataclass
+class Signatures:
+    """Signatures of a slice of texts; places count the shingles of the slice."""
+
+    key: np.ndarray
+    doc: np.ndarray  # place of the text in the slice
+    number: np.ndarray  # of the function and side
+    begin: np.ndarray
+    middle: np.ndarray
+    end: np.ndarray
+    shingles: np.ndarray
+    of: np.ndarray  # per shingle: its text
+    sides: list[np.ndarray]  # per shingle: the smallest hash right, and left, of it
+
+
+def _signatures(column: pa.Array, rule: Rule) -> Signatures:
     w = textarrays.words(column)
     h, first, _ = textarrays.shingles(w.hash, w.first, rule.words)
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     beside = textarrays.mix(h ^ np.uint64(0xA0761D6478BD642F))
     sides = [_least_beside(beside, doc, rule.beside, step) for step in (1, -1)]
     long = np.flatnonzero(np.diff(first) >= rule.stretch)
-    keys, docs, numbers = [], [], []
+    keys, docs, numbers, places = [], [], [], []
     for j in range(rule.functions):
         value = textarrays.mix(h + np.uint64(0xE7037ED1A0B428DB * (j + 1) & (2**64 - 1)))
         begin, middle, end = [], [], []
@@ -94,23 +111,85 @@ def _signatures(column: pa.Array, rule: Rule) -> tuple[np.ndarray, np.ndarray, n
         begin, middle, end = (np.array(x, dtype=np.int64) for x in (begin, middle, end))
         for side, room in enumerate((end - 1 - middle, middle - begin)):
             # the half of a passage that is at least half as long holds all of the neighbours
-            own = middle[room >= rule.beside]
+            wide = room >= rule.beside
+            own = middle[wide]
             number = 2 * j + side
             keys.append(textarrays.mix(value[own] + textarrays.mix(sides[side][own] + np.uint64(number + 1))))
             docs.append(doc[own])
             numbers.append(np.full(len(own), number))
-    return np.concatenate(keys), np.concatenate(docs), np.concatenate(numbers)
+            places.append(np.stack((begin[wide], own, end[wide])))
+    return Signatures(*(np.concatenate(x) for x in (keys, docs, numbers)), *np.concatenate(places, axis=1), h, doc, sides)
 
 
-_PAIR = ["key", "a", "b", "mask"]
+def _packed(key: np.ndarray, doc: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
+    """One row a key: all its documents, and its signature's bit."""
+    order = np.lexsort((doc, key))
+    key, doc, mask = key[order], doc[order], mask[order]
+    if key.size:
+        own = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+        key, doc, mask = key[own], doc[own], mask[own]
+    head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if key.size else np.empty(0, np.int64)
+    docs = pa.ListArray.from_arrays(pa.array(np.append(head, key.size), pa.int32()), pa.array(doc, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(mask[head], pa.int32()), docs], names=["key", "mask", "docs"])
 
 
-def _paired(key: np.ndarray, doc: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by (key, doc): the first of each key, and pairs of it with the others and their signature's bit."""
-    head = np.append(True, key[1:] != key[:-1]) if key.size else np.empty(0, bool)
-    lead = doc[head][np.cumsum(head) - 1]
-    other = ~head & (lead != doc)
-    return head, lead[other], doc[other], np.left_shift(1, number[other])
+_PACKED_TYPE = "key bigint, mask int, docs array<bigint>"
+
+
+def _spread(rule: Rule):
+    """Signatures of a batch of texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            found = []
+            for a, b in textarrays.slices(batch.column(1)):
+                s = _signatures(batch.column(1).slice(a, b - a), rule)
+                found.append((s.key, ids[a + s.doc], np.left_shift(1, s.number)))
+            if found:
+                yield _packed(*(np.concatenate(x) for x in zip(*found)))
+
+    return run
+
+
+def _stretches(rule: Rule):
+    """Of texts with ``keys``: all stretches of the windows that have these signatures, by their hash.
+
+    A signature joined to a smallest hash farther off is a key too, for passages that are alike and not equal.
+    """
+    everything = (1 << 2 * rule.functions) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch["id"].to_numpy()
+            found = []
+            for a, b in textarrays.slices(batch["text"]):
+                s = _signatures(batch["text"].slice(a, b - a), rule)
+                lists = batch["keys"].slice(a, b - a)
+                owner = np.repeat(np.arange(b - a), lists.value_lengths().to_numpy())
+                wanted = lists.flatten().to_numpy().view(np.uint64) + textarrays.mix(owner.astype(np.uint64))
+                at = np.flatnonzero(np.isin(s.key + textarrays.mix(s.doc.astype(np.uint64)), wanted))
+                key, doc, middle = s.key[at], s.doc[at], s.middle[at]
+                change = np.zeros(s.shingles.size + 1, dtype=np.int64)
+                np.add.at(change, np.maximum(s.begin[at], middle - rule.stretch + 1), 1)
+                np.add.at(change, np.minimum(middle, s.end[at] - rule.stretch) + 1, -1)
+                start = np.flatnonzero(np.cumsum(change)[:-1])
+                found.append((_stretch_hashes(s.shingles, rule.stretch)[start], ids[a + s.of[start]], np.full(start.size, everything)))
+                for zone, step in enumerate((1, 2, -1, -2)):
+                    far = middle + step * rule.beside
+                    inside = (far >= 0) & (far < s.of.size)
+                    inside[inside] = s.of[far[inside]] == doc[inside]
+                    least = s.sides[step < 0][far[inside]]
+                    joined = textarrays.mix(key[inside] + textarrays.mix(least + np.uint64(zone + 101)))
+                    some = least != np.uint64(2**64 - 1)
+                    found.append((joined[some], ids[a + doc[inside][some]], np.left_shift(1, s.number[at][inside][some])))
+            if found:
+                yield _packed(*(np.concatenate(x) for x in zip(*found)))
+
+    return run
+
+
+_PAIR = ["key", "a", "b", "mask"]
+_PAIR_TYPE = "key bigint, a bigint, b bigint, mask int"
 
 
 def _merged(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
@@ -123,50 +202,32 @@ def _merged(a: np.ndarray, b: np.ndarray, mask: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64()), pa.array(mask, pa.int32())], names=_PAIR)
 
 
-def _spread(rule: Rule):
-    """Signature rows (key, a = document, mask = number) of a batch, one a key: repeats become pairs right here."""
+def _gathered(open_too: bool):
+    """Pairs (a, b) of rows sorted by key: each later document of a key with the first.
+
+    With ``open_too`` also (key, a) for every document of a key that three or more have.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            found = []
-            for a, b in textarrays.slices(batch.column(1)):
-                key, doc, number = _signatures(batch.column(1).slice(a, b - a), rule)
-                found.append((key, ids[a + doc], number))
-            if not found:
-                continue
-            key, doc, number = (np.concatenate(x) for x in zip(*found))
+        for table in key_groups(batches, ["key"]):
+            lists = table["docs"].combine_chunks()
+            size = lists.value_lengths().to_numpy()
+            key, mask = (np.repeat(table[c].to_numpy(), size) for c in ("key", "mask"))
+            doc = lists.flatten().to_numpy()
             order = np.lexsort((doc, key))
-            key, doc, number = key[order], doc[order], number[order]
-            head, a, b, mask = _paired(key, doc, number)
-            yield pa.RecordBatch.from_arrays([pa.array(key[head].view(np.int64)), pa.array(doc[head]), pa.nulls(int(head.sum()), pa.int64()),
-                                              pa.array(number[head].astype(np.int32))], names=_PAIR)
-            yield _merged(a, b, mask.astype(np.int32))
+            key, doc, mask = key[order], doc[order], mask[order]
+            own = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))
+            key, doc, mask = key[own], doc[own], mask[own]
+            head = np.append(True, key[1:] != key[:-1])
+            group = np.cumsum(head) - 1
+            yield _merged(doc[head][group][~head], doc[~head], mask[~head])
+            if open_too:
+                many = np.bincount(group)[group] > 2
+                n = int(many.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(doc[many]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], names=_PAIR)
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows sorted by (key, a): each later document of a key with the first; ready pairs pass."""
-    last = None
-    for batch in batches:
-        key, a, b, mask = batch.columns
-        ready = b.is_valid().to_numpy(zero_copy_only=False)
-        if ready.any():
-            yield batch.filter(pa.array(ready))
-        rows = ~ready
-        key, doc, number = (x.filter(pa.array(rows)).to_numpy() for x in (key, a, mask))
-        if not key.size:
-            continue
-        key = key.view(np.uint64)
-        added = last is not None
-        if added:
-            key, doc, number = (np.concatenate(([x], y)) for x, y in zip(last, (key, doc, number)))
-        head, x, y, bits = _paired(key, doc, number)
-        start = np.flatnonzero(head)[-1]
-        last = key[start], doc[start], number[start]
-        yield _merged(x, y, bits.astype(np.int32))
-
-
 def _stretch_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """Hashes of all runs of ``size`` values, equal for equal runs wherever they stand."""
     up, _ = textarrays._powers(h.size + 1)
@@ -322,18 +383,22 @@ def repeated(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     least ``shortest`` words; ``over`` per cent of the shingles of both are in
     both.  Equal passages share every signature; similar ones share enough with a
     probability that grows with likeness, functions and length.  Texts are paired
-    with the first text under a signature (of a batch, then of all), so a passage
-    that a third of all texts share makes as many pairs as texts.  Null and short
+    with the first text under a signature, and where three or more share it with the
+    first that has each whole stretch, so a passage that a third of all texts share
+    makes about as many pairs as texts.  Null and short
     texts have no passages.  Rows without an id go by a hash of their text; rows
     that repeat an id are not compared with each other.
     """
     text = F.col(text_col).cast("string")
     rows = documents.where(text.isNotNull()).select(F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("id"), text.alias("text"))
-    spread = rows.mapInArrow(_spread(rule), "key bigint, a bigint, b bigint, mask int")
-    by = F.coalesce("key", F.xxhash64("a", "b"))
-    dealt = spread.repartition(by).sortWithinPartitions("key", "a")
-    pairs = written(dealt.mapInArrow(_gathered, "key bigint, a bigint, b bigint, mask int").groupBy("a", "b").agg(F.bit_or("mask").alias("mask"))
-                    .where(F.bit_count("mask") >= rule.enough).select("a", "b"), "pairs")
+    def dealt(packed: DataFrame, open_too: bool) -> DataFrame:
+        return packed.repartition("key").sortWithinPartitions("key").mapInArrow(_gathered(open_too), _PAIR_TYPE)
+
+    stars = written(dealt(rows.mapInArrow(_spread(rule), _PACKED_TYPE), True), "stars")
+    opened = written(stars.where("b is null").groupBy(F.col("a").alias("id")).agg(F.collect_set("key").alias("keys")), "open")
+    again = IdFilter(opened.select("id")).passing(rows, "id").join(opened, "id").select("id", "text", "keys")
+    both = stars.where("b is not null").union(dealt(again.mapInArrow(_stretches(rule), _PACKED_TYPE), False))
+    pairs = written(both.groupBy("a", "b").agg(F.bit_or("mask").alias("mask")).where(F.bit_count("mask") >= rule.enough).select("a", "b"), "pairs")
     named = IdFilter(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     texts = named.passing(rows, "id")
     both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")

@@ -161,3 +161,19 @@ def test_matches_go_by_the_longest_run_through_a_place():
     noisy = np.concatenate([np.append(np.repeat(passage[:1], 30), x) for x in new(200)])  # one shingle nearly everywhere
     found = passages.matches(np.concatenate((noisy[:3000], passage)), np.concatenate((noisy[3100:], passage, noisy[4000:4100])), rule)
     assert any(y <= len(noisy) - 3100 and y_end >= len(noisy) - 3100 + 51 for _, _, y, y_end in found)
+
+
+def test_passages_behind_a_first_text_that_has_a_part(spark):
+    rng = random.Random(9)
+    rows, line = [], planted(rng, 20)  # the line holds whole signatures
+    for n in range(12):
+        passage = planted(rng, 51)
+        part = " ".join(passage.split()[:49] if n % 2 else passage.split()[2:])
+        rows += [(n, f"{planted(rng, 40)} {part} {planted(rng, 40)}")]
+        rows += [(i + n, f"{planted(rng, 40)} {passage} {planted(rng, 40)}") for i in (100, 200)]
+        common = f"{planted(rng, 18)} {line} {planted(rng, 18)}"
+        rows += [(i + n, f"{planted(rng, 40)} {text} {planted(rng, 40)}") for i, text in ((300, line), (400, common), (500, common))]
+    for parts in (1, 5):
+        got = {r["doc_id"]: r for r in passages.merged(passages.repeated(frame(spark, rows).repartition(parts))).collect()}
+        assert set(got) == {i + n for n in range(12) for i in (200, 500)}
+        assert all(got[i]["first_doc_id"] == i - 100 and got[i]["words"] == (51 if i < 300 else 56) for i in got)
