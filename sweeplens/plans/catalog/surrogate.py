@@ -94,24 +94,24 @@ def training_table(spark, d):
 
 
 def surrogate_train(spark, d):
-    """Two presets with few rounds, three targets each."""
-    result = S.train(_split(spark, d), retries=1, rounds_scale=0.01)
+    """All presets with their own rounds, three targets each."""
+    result = S.train(_split(spark, d))
     cols = ["trial", "rounds", "depth", "spearman_method", "mae_method", "spearman_math", "mae_math", "spearman_eq", "mae_eq", "is_best", "gate_passed"]
     return S.trial_table(spark, result).select(*cols)
 
 
-def _one_model(spark, d):
+def _best_models(spark, d):
     split = pin(_split(spark, d))
-    return split, S.train(split, retries=0, rounds_scale=0.006)
+    return split, S.train(split)
 
 
 def feature_importance(spark, d):
-    _, result = _one_model(spark, d)
+    _, result = _best_models(spark, d)
     return S.feature_importance(spark, result.models["method"], N)
 
 
 def pred_vs_true(spark, d):
-    split, result = _one_model(spark, d)
+    split, result = _best_models(spark, d)
     return S.predicted_vs_true(split, result.models).select(
         F.array_join("layer_key", ",").alias("layers"), "split", "balanced_score", "pred_method", "pred_math", "pred_eq")
 

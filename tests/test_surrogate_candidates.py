@@ -126,3 +126,22 @@ def test_single_block_flag(spark, one):
     cases = [([0, 1, 2, 3], False), ([0, 1, 0, 1, 2, 3], True), ([0, 1, 2, 3, 2, 3], True), ([0, 0, 0, 1, 2, 3], False), ([0, 1, 1, 2, 2, 3], False)]
     for key, want in cases:
         assert one(x=S.is_single_block(F.array(*[F.lit(k) for k in key]), 4))["x"] is want
+
+
+def test_queries_train_all_presets_with_their_own_rounds(spark, monkeypatch):
+    from sweeplens.plans.catalog import surrogate as catalog
+
+    fit, seen = S._fit, []
+
+    def short(train, label, preset, rounds, seed):
+        seen.append((label, preset["depth"], rounds))
+        return fit(train, label, {**preset, "depth": 1}, 1, seed)
+
+    monkeypatch.setattr(S, "_fit", short)
+    want = sorted((label, p["depth"], p["rounds"]) for p in S.PRESETS for label in S.TARGETS.values())
+    for query in (catalog.surrogate_train, catalog.feature_importance, catalog.pred_vs_true):
+        seen.clear()
+        out = query(spark, "/root/testdata/sf0.001")
+        assert sorted(seen) == want
+        if query is catalog.surrogate_train:
+            assert [r["rounds"] for r in out.orderBy("trial").collect()] == [500, 700, 900, 350]
