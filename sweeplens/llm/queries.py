@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweeplens.llm import jaccard, mixing, packing, passages, quality, syncmers, tokenfile, topk, toxicity, urlfilter
+from sweeplens.llm import bpe, jaccard, lexical, mixing, packing, passages, periods, quality, syncmers, tokenfile, topk, toxicity, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +87,44 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("id % 50 = 0"), k=5)
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all documents, and of the bytes those ids decode to."""
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
+    found = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_bytes=True)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten best documents of every benchmark item."""
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Word numbers of a text of ``n`` words whose tail repeats one period, for a tenth of the ids."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    return np.concatenate((np.arange(a), a + np.arange(n - a) % (1 + (n - a) // (3 + g % 8))))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, a tenth of them with a repeated tail."""
+    found = periods.runs(_table(spark, sf_dir, "documents"), order=repeated_tail, digest=True)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    length = -F.col("best.less")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * length / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
 QUERIES["op1_importance_resampling"] = op1_importance_resampling
 QUERIES["op2_jaccard_join"] = op2_jaccard_join
 ORACLES["op2_jaccard_join"] = r"""
@@ -129,3 +169,36 @@ with v as (
 )
 select query_id, cast(r as integer) as rank, vec_id, score from ranked where r <= 5
 """
+QUERIES["op11_byte_bpe"] = op11_byte_bpe
+QUERIES["op12_ranked_search"] = op12_ranked_search
+ORACLES["op12_ranked_search"] = r"""
+with d as (
+  select row_number() over () as row, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+  from documents
+), i as (
+  select row_number() over () as item, item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+  from benchmark
+), totals as (
+  select count(*) as n_docs, sum(len(t))::bigint as n_terms from d where len(t) > 0
+), asked as (
+  select item, term, count(*) as times from (select item, unnest(t) as term from i) group by 1, 2
+), p as (
+  select row, term, count(*) as tf from (select row, unnest(t) as term from d) where term in (select term from asked) group by 1, 2
+), w as (
+  select term, cast(floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1))) as bigint) as w from p, totals group by term, n_docs
+), m as (
+  select row, 100 - 75 + ((75 * len(t)::bigint * n_docs) // n_terms) as m from d, totals where len(t) > 0
+), s as (
+  select a.item, p.row, sum(a.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * m.m)))::bigint as score
+  from asked a join p using (term) join w using (term) join m using (row) group by 1, 2
+), ranked as (
+  select item_id, row_number() over (partition by item order by score desc, doc_id) as rank, doc_id, score
+  from s join d using (row) join i using (item) where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+"""
+QUERIES["op13_periodic_runs"] = op13_periodic_runs
