@@ -2,11 +2,11 @@
 
 A run is a stretch of consecutive words with smallest period q, at least
 max(6, 4 q) long, that no neighbouring word extends keeping q.  Periods are
-sought by octaves [S, 2 S).  In an octave a text has a boundary every 2 S words,
+sought by octaves [S, 2 S).  In an octave a text has a boundary every S words,
 and a tile reaches from 4 S words before its boundary to 6 S behind it.  A run
-holds at least one boundary c with the words at c and at c + q alike, so a tile
-whose boundary words do not return at any distance of the octave holds nothing
-and is never made.  Tiles that remain, overlapping ones in pieces of bounded
+holds at least one boundary c with the 2 S words from c and from c + q alike, so
+a tile whose boundary words do not return at any distance of the octave holds
+nothing and is never made.  Tiles that remain, overlapping ones in pieces of bounded
 size, are dealt over the tasks whatever document they come from.  A tile is
 solved by two Z-functions at its boundary: words matched forwards at every lag,
 and backwards.  Fragments go to their (document, period), where those that
@@ -39,7 +39,6 @@ from sweeplens.llm.shared import bounded_batches, partitions, written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LEAST, TIMES = 6, 4  # a run has so many words, and so many periods
-GRAM = 8  # words that must return behind a boundary, or as many as the octave's smallest period
 BOUNDARIES = 64  # of the tiles that travel in one row
 CELLS = 1 << 20  # comparisons made at a time
 _WHITE = np.zeros(256, dtype=bool)
@@ -67,25 +66,20 @@ def taken(values: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarr
     return values[np.repeat(shift, length) + np.arange(int(length.sum()))]
 
 
-def grams(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of ``n`` (a power of two) words from each place; those that reach over the end mean nothing."""
-    out, size = hashes, 1
-    while size < n:
-        out = textarrays.mix(out * _TURN + np.concatenate((out[size:], np.zeros(min(size, out.size), np.uint64))))
-        size *= 2
-    return out
+def doubled(grams: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of 2 ``size`` words from each place, from those of ``size``; those that reach over the end mean nothing."""
+    return textarrays.mix(grams * _TURN + np.concatenate((grams[size:], np.zeros(min(size, grams.size), np.uint64))))
 
 
 def boundaries(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(octave's smallest period, text, its boundaries whose words return at a distance of the octave)."""
     n = np.diff(first)
-    small = 1
+    small, value = 1, hashes
     while n.size and n.max() >= max(LEAST, TIMES * small):
-        gram = min(small, GRAM)
-        value = grams(hashes, gram)
-        count = np.where(n >= max(LEAST, TIMES * small), (n - small - gram) // (2 * small) + 1, 0)
+        value, gram = doubled(value, small), 2 * small
+        count = np.where(n >= max(LEAST, TIMES * small), (n - small - gram) // small + 1, 0)
         text = np.repeat(np.arange(n.size), count)
-        place = 2 * small * (np.arange(text.size) - np.repeat(np.cumsum(count) - count, count))
+        place = small * (np.arange(text.size) - np.repeat(np.cumsum(count) - count, count))
         lags = np.arange(small, 2 * small)
         hit = np.zeros(text.size, dtype=bool)
         step = max(1, CELLS // small)
@@ -95,9 +89,11 @@ def boundaries(hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int
             there = here[:, None] + lags
             equal = value[np.minimum(there, value.size - 1)] == value[here][:, None]
             hit[at: at + step] = (equal & (there + gram <= first[t + 1][:, None])).any(axis=1)
-        for t in np.unique(text[hit]).tolist():
-            yield small, t, place[hit & (text == t)] if hit.size < 4096 else place[np.flatnonzero(hit)[text[hit] == t]]
-        small *= 2
+        found = np.flatnonzero(hit)
+        ends = np.flatnonzero(np.append(np.diff(text[found]) > 0, True)) + 1 if found.size else []
+        for part in np.split(found, ends[:-1]) if found.size else []:
+            yield small, int(text[part[0]]), place[part]
+        small = gram
 
 
 def spans(small: int, n: int, cuts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:

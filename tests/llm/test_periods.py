@@ -117,4 +117,13 @@ def test_runs_by_start_then_period(spark):
     frame = spark.createDataFrame(pieces, "id bigint, key bigint, period bigint, begin bigint, end bigint")
     found = periods.runs_of(frame).select("start", "length", "period").collect()
     assert sorted(map(tuple, found)) == [(0, 12, 3), (0, 30, 2)]
-    assert np.array_equal(periods.grams(np.arange(4, dtype=np.uint64), 1), np.arange(4))
+
+
+def test_texts_without_repeats_make_no_tiles():
+    words = np.arange(5000, dtype=np.uint64)
+    words[1:4000:7] = 3  # one word again and again, but never beside itself
+    hashes = periods.textarrays.mix(words)
+    assert not list(periods.boundaries(hashes, np.array([0, 2500, 5000])))
+    twice = np.concatenate((hashes[:40], hashes[:40], hashes[40:]))  # a repeat of two is no run
+    found = list(periods.boundaries(twice, np.array([0, twice.size])))
+    assert not found or all(not periods.fragments(twice.tolist(), int(c), small) for small, _, cuts in found for c in cuts)
