@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 
 from sweeplens.functions import layers as L
 from sweeplens.operators.analysis import one_row
-from sweeplens.operators.ordering import top_n
+from sweeplens.operators.boosting import Ensemble, predicted
+from sweeplens.operators.ordering import global_rank, top_n
+from sweeplens.session import pin
 
 POOL_SCHEMA = "candidate_id bigint, source string, counts array<int>, extra_layers int"
 ADD_SHARE = 0.65  # fixed value: share of mutation steps that add a repeat
-MAX_ANCHORS = 100_000
+BROADCAST_ANCHORS = 10_000  # up to so many are sent to all tasks, more are joined by their number
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -55,12 +57,8 @@ def _shift(counts: np.ndarray, rows: np.ndarray, u: np.ndarray, add: bool, cap:
     counts[rows[ok], layer[ok]] += 1 if add else -1
 
 
-def _make(ids: np.ndarray, n: int, max_extra: int, cap: int, anchors: np.ndarray, share: float,
-          steps: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    size = ids.size
-    mutate = _uniform(seed, ids, 0) < share
-    base = np.minimum((_uniform(seed, ids, 1) * len(anchors)).astype(np.int64), len(anchors) - 1)
-    counts = np.where(mutate[:, None], anchors[base], 1).astype(np.int32)
+def _make(ids: np.ndarray, counts: np.ndarray, mutate: np.ndarray, n: int, max_extra: int, cap: int, steps: int, seed: int) -> np.ndarray:
+    """Count vectors of candidates from their first vectors, changed in place."""
     u = _uniform(seed, ids, 2)
     grown = np.minimum((u * (max_extra + 1)).astype(np.int64), n * (cap - 1))
     moves = np.where(mutate, 1 + (u * steps).astype(np.int64), grown)
@@ -74,11 +72,16 @@ def _make(ids: np.ndarray, n: int, max_extra: int, cap: int, anchors: np.ndarray
     while True:  # trim to the extra-layer limit
         over = np.flatnonzero((counts.sum(axis=1) - n > max_extra) & (counts > 1).any(axis=1))
         if over.size == 0:
-            return counts, mutate
+            return counts
         _shift(counts, over, _uniform(seed, ids, draw), False, cap)
         draw += 1
 
 
+def _drawn(seed: int, draw: int) -> Column:
+    """Uniform [0, 1) per candidate id."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("candidate_id"), F.lit(seed).cast("long"), F.lit(draw).cast("long")), 11) * (1.0 / (1 << 53))
+
+
 def anchor_table(rows: DataFrame, n: int, column: str = "counts_csv") -> DataFrame:
     """Usable anchors; rows with a bad vector are skipped."""
     counts = L.counts_from_csv(F.col(column), n)
@@ -89,33 +92,43 @@ def generate(ids: DataFrame, n: int, max_extra: int = 24, max_repeat: int = 8, a
              anchor_share: float = 0.45, mutation_steps: int = 8, seed: int = 42, rows_per_batch: int = 8192) -> DataFrame:
     """One candidate per ``candidate_id``.
 
-    The all-ones anchor is always present.  Anchors are a short list; more than
-    ``MAX_ANCHORS`` is an error, not a silent cut.
+    A share of the candidates begins at an anchor, which it draws by its number in
+    the anchors' order; the all-ones vector is number 0.  Anchors may be any
+    number: only a table counted to be small is sent to all tasks.
     """
     if not 0 <= anchor_share <= 1 or max_extra < 0 or max_repeat < 0:
         raise ValueError("anchor_share must be in [0, 1], limits must not be negative")
-    listed = [] if anchors is None else [r[0] for r in anchors.limit(MAX_ANCHORS + 1).select("counts").collect()]
-    if len(listed) > MAX_ANCHORS:
-        raise ValueError(f"more than {MAX_ANCHORS} anchors")
-    matrix = np.array([[1] * n, *sorted(listed)], dtype=np.int32)
     cap, steps = 1 + max_repeat, max(1, mutation_steps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(["random", "anchor_mutation"])
         for batch in batches:
-            everything = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, everything.size, rows_per_batch):
-                part = everything[at: at + rows_per_batch]
-                counts, mutated = _make(part, n, max_extra, cap, matrix, anchor_share, steps, seed)
-                offsets = pa.array(np.arange(part.size + 1, dtype=np.int32) * n)
+            for at in range(0, batch.num_rows, rows_per_batch):
+                part = batch.slice(at, rows_per_batch)
+                ids, mutated = part["candidate_id"].to_numpy(), part["mutate"].to_numpy(zero_copy_only=False)
+                counts = np.ones((ids.size, n), dtype=np.int32)
+                given = part["base"].is_valid().to_numpy(zero_copy_only=False)
+                if given.any():
+                    counts[given] = part["base"].flatten().to_numpy().reshape(-1, n)
+                _make(ids, counts, mutated, n, max_extra, cap, steps, seed)
+                offsets = pa.array(np.arange(ids.size + 1, dtype=np.int32) * n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part, pa.int64()), names.take(pa.array(mutated.astype(np.int8))),
+                    [part["candidate_id"], names.take(pa.array(mutated.astype(np.int8))),
                      pa.ListArray.from_arrays(offsets, pa.array(counts.ravel())),
                      pa.array((counts.sum(axis=1) - n).astype(np.int32))],
                     names=["candidate_id", "source", "counts", "extra_layers"])
 
-    made = ids.select(F.col("candidate_id").cast("long")).mapInArrow(run, POOL_SCHEMA)
-    return describe(made, n)
+    drawn = ids.select(F.col("candidate_id").cast("long")).withColumn("mutate", _drawn(seed, 0) < anchor_share)
+    if anchors is None:
+        begun = drawn.withColumn("base", F.lit(None).cast("array<int>"))
+    else:
+        numbered = pin(global_rank(anchors.select(F.col("counts").cast("array<int>").alias("base")), ["base"], "_number"))
+        size = numbered.count()
+        table = F.broadcast(numbered) if size <= BROADCAST_ANCHORS else numbered
+        number = F.when(F.col("mutate"), F.floor(_drawn(seed, 1) * (size + 1)))
+        wanted = F.when(number > 0, number).otherwise(-F.col("candidate_id") - 1)  # others match nothing, and do not meet at one key
+        begun = drawn.withColumn("_wanted", wanted).join(table, F.col("_wanted") == F.col("_number"), "left").select("candidate_id", "mutate", "base")
+    return describe(begun.mapInArrow(run, POOL_SCHEMA), n)
 
 
 def describe(candidates: DataFrame, n: int) -> DataFrame:
@@ -144,11 +157,9 @@ def linear_predictor(weights: dict[str, list[float]]) -> Callable[[DataFrame], D
     return lambda df: df.select("*", *[total(w).alias(f"pred_{name}") for name, w in weights.items()])
 
 
-def model_predictor(models: dict) -> Callable[[DataFrame], DataFrame]:
-    """Trained regressors as predictions; each model is broadcast by the library."""
-    from sweeplens.operators.surrogate import predict, with_features
-
-    return lambda df: predict(with_features(df), models).drop("features")
+def model_predictor(models: dict[str, Ensemble]) -> Callable[[DataFrame], DataFrame]:
+    """Trained tree ensembles (``boosting.Ensemble`` by target) as predictions."""
+    return lambda df: predicted(df, models)
 
 
 def score(candidates: DataFrame, predictor: Callable[[DataFrame], DataFrame], penalty: float = 0.5,

@@ -39,21 +39,19 @@ def sorted_copy(df: DataFrame, order, partitions: int | None = None) -> DataFram
     return pin(placed).withColumn(_PID, F.shiftright(_SEQ, _INDEX_BITS))
 
 
-SMALL_TABLE = 200_000
+def running_offsets(sizes: DataFrame, name: str = "_off") -> DataFrame:
+    """Rows before each partition, from (partition, ``_n``): one row a partition, put together in one array."""
+    listed = sizes.agg(F.sort_array(F.collect_list(F.struct(F.col(_PID).alias("p"), F.col("_n").alias("n")))).alias("_l"))
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<p:bigint,before:bigint>>").alias("out"))
+    folded = F.aggregate("_l", start, lambda at, x: F.struct(
+        (at["sum"] + x["n"]).alias("sum"), F.concat(at["out"], F.array(F.struct(x["p"].cast("long").alias("p"), at["sum"].alias("before")))).alias("out")))
+    return listed.select(F.inline(folded["out"])).select(F.col("p").alias(_PID), F.col("before").alias(name))
 
 
-def global_rank(df: DataFrame, order, name: str = "rank", start: int = 1, rows: int | None = None) -> DataFrame:
-    """Row number over the whole table: one range shuffle, no single-task sort.
-
-    ``rows`` is the counted size, if the caller knows it; a table counted to be
-    small is ranked by a plain window.
-    """
-    if rows is not None and rows <= SMALL_TABLE:
-        return df.withColumn(name, (F.row_number().over(Window.orderBy(*_cols(order))) + (start - 1)).cast("long"))
+def global_rank(df: DataFrame, order, name: str = "rank", start: int = 1) -> DataFrame:
+    """Row number over the whole table: one range shuffle, no single-task sort."""
     placed = sorted_copy(df, order)
-    sizes = placed.groupBy(_PID).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.select(_PID, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = running_offsets(placed.groupBy(_PID).agg(F.count("*").alias("_n")))
     index = F.col(_SEQ).bitwiseAND(F.lit((1 << _INDEX_BITS) - 1))
     return (
         placed.join(F.broadcast(offsets), _PID)
@@ -101,14 +99,8 @@ def with_carry(placed: DataFrame, groups: list[str], carried: DataFrame) -> Data
     return placed.join(F.broadcast(renamed), on, "left").drop("_cp", *[f"_c_{g}" for g in groups])
 
 
-def grouped_rank(df: DataFrame, groups: list[str], order, name: str = "rank", rows: int | None = None) -> DataFrame:
-    """Row number inside each group, safe for a group that holds most rows.
-
-    ``rows`` as in :func:`global_rank`.
-    """
-    if rows is not None and rows <= SMALL_TABLE:
-        w = Window.partitionBy(*groups).orderBy(*_cols(order))
-        return df.withColumn(name, F.row_number().over(w).cast("long"))
+def grouped_rank(df: DataFrame, groups: list[str], order, name: str = "rank") -> DataFrame:
+    """Row number inside each group, safe for a group that holds most rows."""
     placed = grouped_copy(df, groups, order)
     carried = carry_over(placed, groups, _before=(F.count("*"), "sum"))
     local = F.row_number().over(local_window(groups))
@@ -156,11 +148,5 @@ def exact_quantile(df: DataFrame, value: str, q: float, groups: list[str] | None
 
 
 def quantile_value(df: DataFrame, value: str, q: float) -> Column:
-    """Exact quantile as a scalar; ``df`` should be pinned, it is counted first.
-
-    The built-in aggregate gathers all distinct values in one task, so it only
-    serves tables counted to be small; larger ones take the range-sorted path.
-    """
-    if df.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
-        return df.agg(F.percentile(value, q)).scalar()
+    """Exact quantile as a scalar, by ranks: the built-in aggregate would gather all distinct values in one task."""
     return exact_quantile(df, value, q).select("quantile").scalar()

@@ -6,16 +6,16 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplens.functions import layers as L
 from sweeplens.functions.text import path_stamp, stable_hash
+from sweeplens.operators import boosting
 from sweeplens.operators.analysis import KEY, Balanced, one_row, with_baseline
+from sweeplens.operators.boosting import Ensemble, Spec
 from sweeplens.operators.ordering import global_rank, grouped_rank, latest
-from sweeplens.session import pin, scratch_path
+from sweeplens.session import pin
 
 # Source ranks, boosting presets (rounds are scaled by the caller), bin limits.
 SOURCE_RANKS = {"beam": 3, "single_block": 2}
@@ -27,7 +27,6 @@ PRESETS = (
 )
 TARGETS = {"method": "balanced_score", "math": "math_delta", "eq": "eq_delta"}
 GATE_SPEARMAN = 0.60
-ROWS_PER_TASK = 50_000
 
 
 def source_rank(source: Column) -> Column:
@@ -53,10 +52,6 @@ def feature_table(result: Balanced) -> DataFrame:
     return with_baseline(result).withColumn("counts", counts)
 
 
-def with_features(df: DataFrame) -> DataFrame:
-    return df.withColumn("features", array_to_vector(F.col("counts").cast("array<double>")))
-
-
 def label_summary(features: DataFrame) -> DataFrame:
     aggs = [F.count("*").alias("n_rows")]
     for name, column in TARGETS.items():
@@ -70,28 +65,30 @@ def quantile_bins(df: DataFrame, value: str, bins: int, tie: list, name: str = "
     """Equal-count bins by rank: ``floor((rank + 0.5) / n * bins)``, rank from 0."""
     if bins < 1:
         raise ValueError("bins must be >= 1")
-    ranked = global_rank(df, [F.col(value), *tie], "_rk", start=0, rows=total)
+    ranked = global_rank(df, [F.col(value), *tie], "_rk", start=0)
     n = F.lit(float(total if total is not None else df.count()))
     raw = F.floor((F.col("_rk") + 0.5) / n * bins)
     return ranked.withColumn(name, F.least(F.lit(bins - 1), raw).cast("int")).drop("_rk")
 
 
-def spearman(df: DataFrame, a: str, b: str, tie: list, rows: int | None = None) -> DataFrame:
-    """Rank correlation with ordinal ranks, ties in ``tie`` order.
+def spearman(df: DataFrame, a: str, b: str, tie: list, groups: list[str] | None = None) -> DataFrame:
+    """Rank correlation with ordinal ranks, ties in ``tie`` order, over the table or inside groups.
 
     Ordinal ranks are a permutation, so the closed form in rank differences is
     exact and no variance can vanish; fewer than two rows give 0.
     """
-    ranked = global_rank(df, [F.col(a), *tie], "_ra", rows=rows)
-    ranked = global_rank(ranked, [F.col(b), *tie], "_rb", rows=rows)
+    groups = groups or []
+    for column, name in ((a, "_ra"), (b, "_rb")):
+        order = [F.col(column), *tie]
+        df = grouped_rank(df, groups, order, name) if groups else global_rank(df, order, name)
     gap = (F.col("_ra") - F.col("_rb")).cast("double")
-    s = ranked.agg(F.count("*").alias("n"), F.sum(gap * gap).alias("d2"))
+    s = df.groupBy(*groups).agg(F.count("*").alias("n"), F.sum(gap * gap).alias("d2"))
     n = F.col("n").cast("double")
-    return s.select("n", F.when(F.col("n") >= 2, 1.0 - 6.0 * F.col("d2") / (n * (n * n - 1.0))).otherwise(0.0).alias("spearman"))
+    return s.select(*groups, "n", F.when(F.col("n") >= 2, 1.0 - 6.0 * F.col("d2") / (n * (n * n - 1.0))).otherwise(0.0).alias("spearman"))
 
 
-def mae(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.agg(F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"))
+def mae(df: DataFrame, a: str, b: str, groups: list[str] | None = None) -> DataFrame:
+    return df.groupBy(*(groups or [])).agg(F.avg(F.abs(F.col(a) - F.col(b))).alias("mae"))
 
 
 # --- hold-out --------------------------------------------------------------
@@ -124,14 +121,14 @@ def holdout_split(df: DataFrame, value: str, key: str, frac: float, seed: int, t
     df = pin(df)
     n = df.count()
     if n < 3:
-        ranked = global_rank(df, [F.col(key)], "_rk", rows=n)
+        ranked = global_rank(df, [F.col(key)], "_rk")
         return ranked.withColumn("split", F.when(F.col("_rk") == n, "holdout").otherwise("train")).drop("_rk") if n > 1 else \
             df.withColumn("split", F.lit("train"))
     binned = pin(quantile_bins(df, value, min(10, max(2, n // 20)), [F.col(key)], total=n))
     sizes = {r["bin"]: r["n"] for r in binned.groupBy("bin").agg(F.count("*").alias("n")).collect()}  # at most 10 rows
     plan = F.create_map(*[F.lit(x) for kv in allocate(sizes, frac).items() for x in kv])
     hashed = stable_hash(seed, text if text is not None else F.array_join(key, ","))
-    ranked = grouped_rank(binned, ["bin"], [hashed, F.col(key)], "_rk", rows=n)
+    ranked = grouped_rank(binned, ["bin"], [hashed, F.col(key)], "_rk")
     return ranked.withColumn("split", F.when(F.col("_rk") <= plan[F.col("bin")], "holdout").otherwise("train")).drop("_rk")
 
 
@@ -139,58 +136,48 @@ def holdout_split(df: DataFrame, value: str, key: str, frac: float, seed: int, t
 
 @dataclass
 class Surrogate:
-    models: dict[str, GBTRegressionModel]
+    """The best trial's models, their node table, and the report of every trial."""
+
+    models: dict[str, Ensemble]
+    nodes: DataFrame
     trials: list[dict]
     best: int
     gate_passed: bool
 
 
-def _fit(train: DataFrame, label: str, preset: dict, rounds: int, seed: int) -> GBTRegressionModel:
-    return GBTRegressor(
-        featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=preset["depth"], stepSize=preset["eta"],
-        subsamplingRate=preset["subsample"], featureSubsetStrategy=str(preset["colsample"]), seed=seed,
-        cacheNodeIds=False).fit(train)
-
-
-def predict(df: DataFrame, models: dict[str, GBTRegressionModel]) -> DataFrame:
-    for name, model in models.items():
-        df = model.setPredictionCol(f"pred_{name}").transform(df)
-    return df
+def predict(df: DataFrame, models: dict[str, Ensemble]) -> DataFrame:
+    return boosting.predicted(df, models)
 
 
 def train(split: DataFrame, retries: int = 3, rounds_scale: float = 1.0, seed: int = 42,
           gate: float = GATE_SPEARMAN) -> Surrogate:
     """Three regressors per preset; the trial with the best hold-out rank wins.
 
-    The regressors do not depend on each other and are fitted side by side.
+    A preset is one barrier job that grows its three regressors in step; presets
+    run side by side as far as the cluster has slots.
     """
     data = pin(split.select(KEY, "counts", "split", *TARGETS.values()))
-    # Boosting runs many small jobs: a few rows per task would only cost scheduling.
-    data = with_features(data.coalesce(1 + data.count() // ROWS_PER_TASK))
-    fit_rows, hold = data.filter("split = 'train'").persist(), data.filter("split = 'holdout'")
-    fit_rows.count()
+    fit_rows, hold = data.filter("split = 'train'"), data.filter("split = 'holdout'")
     spark = split.sparkSession
-    chosen = [(index, preset, max(1, round(preset["rounds"] * rounds_scale)))
-              for index, preset in enumerate(PRESETS[: 1 + max(0, retries)], start=1)]
-    with ThreadPoolExecutor(spark.sparkContext.defaultParallelism) as pool:
-        fit = inheritable_thread_target(spark)(_fit)
-        fits = {(index, t): pool.submit(fit, fit_rows, label, preset, rounds, seed + index - 1)
-                for index, preset, rounds in sorted(chosen, key=lambda x: -x[2]) for t, label in TARGETS.items()}
-    trials, best = [], None
-    for index, preset, rounds in chosen:
-        models = {t: fits[index, t].result() for t in TARGETS}
-        scored = pin(predict(hold, models).select(KEY, *TARGETS.values(), *[f"pred_{t}" for t in TARGETS]))
-        held = scored.count()
-        report = {"trial": index, "rounds": rounds, **{k: v for k, v in preset.items() if k != "rounds"}}
-        for t, label in TARGETS.items():
-            report[f"spearman_{t}"] = one_row(spearman(scored, label, f"pred_{t}", [F.col(KEY)], held))["spearman"]
-            report[f"mae_{t}"] = one_row(mae(scored, label, f"pred_{t}"))["mae"]
+    specs = [Spec(max(1, round(p["rounds"] * rounds_scale)), p["depth"], p["eta"], p["subsample"], p["colsample"], seed + index)
+             for index, p in enumerate(PRESETS[: 1 + max(0, retries)])]
+    with ThreadPoolExecutor(len(specs)) as pool:
+        fit = inheritable_thread_target(spark)(boosting.fit)
+        tables = list(pool.map(lambda spec: fit(fit_rows, "counts", TARGETS, KEY, spec), specs))
+    found = [{t: Ensemble.of(nodes, t, spec) for t in TARGETS} for spec, nodes in zip(specs, tables)]
+    everything = {f"{index}_{t}": model for index, models in enumerate(found) for t, model in models.items()}
+    pair = [F.struct(F.lit(name).alias("model"), F.col(TARGETS[name.split("_")[1]]).alias("label"), F.col(f"pred_{name}").alias("pred")) for name in everything]
+    scored = pin(predict(hold, everything).select(KEY, F.inline(F.array(*pair))))
+    ranks = {r["model"]: r["spearman"] for r in spearman(scored, "label", "pred", [F.col(KEY)], ["model"]).collect()}  # a row for each model
+    errors = {r["model"]: r["mae"] for r in mae(scored, "label", "pred", ["model"]).collect()}
+    trials = []
+    for index, spec in enumerate(specs):
+        report = {"trial": index + 1, "rounds": spec.rounds, "depth": spec.depth, "eta": spec.eta, "subsample": spec.subsample, "colsample": spec.colsample}
+        for t in TARGETS:
+            report[f"spearman_{t}"], report[f"mae_{t}"] = ranks.get(f"{index}_{t}", 0.0), errors.get(f"{index}_{t}")
         trials.append(report)
-        if best is None or report["spearman_method"] > best[0]["spearman_method"]:
-            best = (report, models)
-    fit_rows.unpersist()
-    report, models = best
-    return Surrogate(models, trials, report["trial"], report["spearman_method"] >= gate)
+    best = max(range(len(trials)), key=lambda k: (trials[k]["spearman_method"], -k))
+    return Surrogate(found[best], tables[best], trials, best + 1, trials[best]["spearman_method"] >= gate)
 
 
 def trial_table(spark, result: Surrogate, gate: float = GATE_SPEARMAN) -> DataFrame:
@@ -199,21 +186,13 @@ def trial_table(spark, result: Surrogate, gate: float = GATE_SPEARMAN) -> DataFr
         "gate_passed", F.col("spearman_method") >= gate)
 
 
-def feature_importance(spark, model: GBTRegressionModel, n: int, path: str | None = None) -> DataFrame:
-    """Mean gain, mean cover and split count per layer, from the saved trees."""
-    path = path or scratch_path(spark, "model")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").filter("split.featureIndex >= 0")
-    used = nodes.groupBy(F.col("split.featureIndex").alias("layer_idx")).agg(
-        F.avg("gain").alias("gain"), F.avg("rawCount").alias("cover"), F.count("*").cast("double").alias("weight"))
-    zero = F.lit(0.0)
-    return spark.range(n).select(F.col("id").cast("int").alias("layer_idx")).join(used, "layer_idx", "left").select(
-        "layer_idx", *[F.coalesce(c, zero).alias(c) for c in ("gain", "cover", "weight")])
+def feature_importance(result: Surrogate, n: int, target: str = "method") -> DataFrame:
+    """Mean gain, mean cover and split count per layer."""
+    return boosting.importance(result.nodes, target, n)
 
 
-def predicted_vs_true(split: DataFrame, models: dict[str, GBTRegressionModel]) -> DataFrame:
-    scored = predict(with_features(split), models)
-    return scored.select(KEY, "split", *TARGETS.values(), *[f"pred_{t}" for t in TARGETS])
+def predicted_vs_true(split: DataFrame, models: dict[str, Ensemble]) -> DataFrame:
+    return predict(split, models).select(KEY, "split", *TARGETS.values(), *[f"pred_{t}" for t in TARGETS])
 
 
 def training_table(features: DataFrame, math: DataFrame, eq: DataFrame, n: int) -> DataFrame:

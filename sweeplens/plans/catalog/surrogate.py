@@ -107,7 +107,7 @@ def _best_models(spark, d):
 
 def feature_importance(spark, d):
     _, result = _best_models(spark, d)
-    return S.feature_importance(spark, result.models["method"], N)
+    return S.feature_importance(result, N)
 
 
 def pred_vs_true(spark, d):
@@ -142,6 +142,15 @@ def candidate_search(spark, d):
     return top.select("rank", "candidate_id", "counts_csv", *_r("pred_final", "pred_method"))
 
 
+def candidate_model_search(spark, d):
+    """Generated pool scored by the best trained regressors, distinct top 100."""
+    ids, anchors = _pool(spark, d)
+    result = S.train(_split(spark, d))
+    top = K.search(ids, N, K.model_predictor(result.models), 100, min_math=-9.0, min_eq=-9.0,
+                   max_extra=12, max_repeat=3, anchors=anchors)
+    return top.select("rank", "candidate_id", "counts_csv", *_r("pred_final", "pred_method", "pred_math", "pred_eq"))
+
+
 def _vectors(spark, d):
     """Count vectors of the orders' two-block sequences as candidates; many repeat."""
     key = L.expand_blocks(N, F.col("blocks"))
@@ -171,7 +180,7 @@ QUERIES = {
     f.__name__: f for f in (
         source_merge, path_stamps, feature_table, label_summary, quantile_bins, holdout_split, spearman_ordinal, mae,
         training_table, surrogate_train, feature_importance, pred_vs_true, candidate_pool, candidate_search,
-        candidate_topk, score_stats, topk_config)
+        candidate_model_search, candidate_topk, score_stats, topk_config)
 }
 
 _STAMP = """cast(coalesce(nullif(replace(regexp_extract(source_path, '(20[0-9]{6}_[0-9]{6})', 1), '_', ''), ''),

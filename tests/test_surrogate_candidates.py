@@ -1,9 +1,11 @@
 """Splits, bins, rank correlation, candidate pools and top-k."""
 
 import random
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from sweeplens.operators import candidates as K
@@ -23,8 +25,9 @@ def test_spearman_is_ordinal(spark):
     rows = spark.createDataFrame(data, "id int, a double, b double")
     rank = lambda c: np.argsort(np.argsort([d[c] for d in data], kind="stable"), kind="stable")
     want = np.corrcoef(rank(1), rank(2))[0, 1]
-    for known in (None, 60):
-        assert S.spearman(rows, "a", "b", [F.col("id")], known).first()["spearman"] == pytest.approx(want)
+    assert S.spearman(rows, "a", "b", [F.col("id")]).first()["spearman"] == pytest.approx(want)
+    twice = rows.withColumn("g", F.explode(F.array(F.lit("x"), F.lit("y")))).withColumn("b", F.when(F.col("g") == "y", F.col("a")).otherwise(F.col("b")))
+    assert {r["g"]: r["spearman"] for r in S.spearman(twice, "a", "b", [F.col("id")], ["g"]).collect()} == {"x": pytest.approx(want), "y": 1.0}
     assert S.spearman(rows.limit(1), "a", "b", [F.col("id")]).first()["spearman"] == 0.0
 
 
@@ -79,6 +82,50 @@ def test_pool_invariants(spark, ids):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def plain_uniform(seed, k, draw):
+    """The draws inside a candidate, in Python integers."""
+    x = (k * 0x9E3779B97F4A7C15 + seed * 0xD1B54A32D192ED03 + draw * 0x8CB92BA72F3D8DD7) % 2**64
+    for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * mul % 2**64
+    return ((x ^ (x >> 31)) >> 11) / 2**53
+
+
+def plain_candidate(k, n, max_extra, max_repeat, anchors, share=0.45, steps=8, seed=42):
+    def drawn(draw):
+        value = 42
+        for part in (k, seed, draw):
+            value = xxhash.xxh64(struct.pack("<q", part), seed=value).intdigest()
+        return (value >> 11) / 2**53
+
+    def shift(add, u):
+        open_layers = [i for i in range(n) if (counts[i] < 1 + max_repeat if add else counts[i] > 1)]
+        if open_layers:
+            counts[open_layers[min(int(u * len(open_layers)), len(open_layers) - 1)]] += 1 if add else -1
+
+    mutate = drawn(0) < share
+    listed = [[1] * n, *sorted(anchors)]
+    counts = list(listed[int(drawn(1) * len(listed))]) if mutate else [1] * n
+    u = plain_uniform(seed, k, 2)
+    for step in range(1 + int(u * steps) if mutate else min(int(u * (max_extra + 1)), n * max_repeat)):
+        shift(not mutate or plain_uniform(seed, k, 4 + 2 * step) < 0.65, plain_uniform(seed, k, 3 + 2 * step))
+    draw = 1 << 20
+    while sum(counts) - n > max_extra and max(counts) > 1:
+        shift(False, plain_uniform(seed, k, draw))
+        draw += 1
+    return counts
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 0])
+def test_pool_equals_a_plain_draw(spark, ids, monkeypatch, broadcast):
+    monkeypatch.setattr(K, "BROADCAST_ANCHORS", broadcast)
+    rng = random.Random(6)
+    listed = [[rng.randrange(1, 5) for _ in range(6)] for _ in range(40)]
+    anchors = spark.createDataFrame([(a,) for a in listed], "counts array<int>")
+    for given, table in ((listed, anchors), ([], anchors.limit(0)), ([], None)):
+        for r in K.generate(ids.limit(600), 6, max_extra=7, max_repeat=3, anchors=table).collect():
+            assert r["counts"] == plain_candidate(r["candidate_id"], 6, 7, 3, given)
+
+
 def test_full_layers_are_not_picked(ids):
     rows = K.generate(ids.limit(300), 3, max_extra=50, max_repeat=1, anchor_share=0.0).collect()
     assert max(r["extra_layers"] for r in rows) == 3 and all(max(r["counts"]) <= 2 for r in rows)
@@ -116,7 +163,7 @@ def test_training_finds_a_linear_target(spark):
     split = S.holdout_split(rows, "balanced_score", "layer_key", 0.2, 1)
     result = S.train(split, retries=0, rounds_scale=0.012)
     assert result.gate_passed and result.trials[0]["spearman_method"] > 0.8
-    imp = {r["layer_idx"]: r["weight"] for r in S.feature_importance(spark, result.models["method"], 4).collect()}
+    imp = {r["layer_idx"]: r["weight"] for r in S.feature_importance(result, 4).collect()}
     assert set(imp) == {0, 1, 2, 3} and imp[0] > 0
     assert S.predicted_vs_true(split, result.models).count() == 120
 
@@ -128,20 +175,28 @@ def test_single_block_flag(spark, one):
         assert one(x=S.is_single_block(F.array(*[F.lit(k) for k in key]), 4))["x"] is want
 
 
-def test_queries_train_all_presets_with_their_own_rounds(spark, monkeypatch):
+def test_queries_train_all_presets_with_their_own_rounds(spark):
     from sweeplens.plans.catalog import surrogate as catalog
 
-    fit, seen = S._fit, []
+    out = {r["trial"]: r for r in catalog.surrogate_train(spark, "/root/testdata/sf0.001").collect()}
+    assert [(out[t]["rounds"], out[t]["depth"]) for t in (1, 2, 3, 4)] == [(500, 6), (700, 4), (900, 8), (350, 6)]
+    assert sum(r["is_best"] for r in out.values()) == 1
 
-    def short(train, label, preset, rounds, seed):
-        seen.append((label, preset["depth"], rounds))
-        return fit(train, label, {**preset, "depth": 1}, 1, seed)
 
-    monkeypatch.setattr(S, "_fit", short)
-    want = sorted((label, p["depth"], p["rounds"]) for p in S.PRESETS for label in S.TARGETS.values())
-    for query in (catalog.surrogate_train, catalog.feature_importance, catalog.pred_vs_true):
-        seen.clear()
-        out = query(spark, "/root/testdata/sf0.001")
-        assert sorted(seen) == want
-        if query is catalog.surrogate_train:
-            assert [r["rounds"] for r in out.orderBy("trial").collect()] == [500, 700, 900, 350]
+def test_search_with_trained_models_scores_as_the_models_do(spark, ids):
+    rng = random.Random(2)
+    data = [([k], [rng.randrange(1, 4) for _ in range(5)]) for k in range(150)]
+    rows = spark.createDataFrame([(k, c, float(c[0] - c[1]), float(c[0]), float(c[1])) for k, c in data],
+                                 "layer_key array<int>, counts array<int>, balanced_score double, math_delta double, eq_delta double")
+    result = S.train(S.holdout_split(rows, "balanced_score", "layer_key", 0.2, 1), retries=1, rounds_scale=0.02)
+    options = {"max_extra": 4, "max_repeat": 3}
+    found = K.search(ids, 5, K.model_predictor(result.models), 20, 0.5, -9.0, -9.0, **options).orderBy("rank").collect()
+    best = {}
+    for r in K.generate(ids, 5, **options).collect():
+        x = np.array([r["counts"]], dtype=float)
+        score = float(result.models["method"].predict(x)[0]) - 0.5 * r["relative_overhead"]
+        key = (-score, r["candidate_id"])
+        best[r["counts_csv"]] = min(best.get(r["counts_csv"], key), key)
+    want = sorted(best.items(), key=lambda kv: kv[1])[:20]
+    assert [(r["counts_csv"], r["candidate_id"]) for r in found] == [(c, key[1]) for c, key in want]
+    assert [r["pred_final"] for r in found] == pytest.approx([-key[0] for _, key in want])
