@@ -220,40 +220,44 @@ def run_summary(result: Balanced) -> DataFrame:
 
 # --- grids -----------------------------------------------------------------
 
-def _runs(scores: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Per run: baseline (0,0) or the mean, and best cell (first by j, i on ties)."""
-    base = F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col(score)))
-    return scores.groupBy(*keys).agg(
-        F.coalesce(base, F.avg(score)).alias("baseline"), base.isNotNull().alias("has_baseline"),
-        F.max_by(F.struct("i", "j", F.col(score).alias("score")), F.struct(score, -F.col("j"), -F.col("i"))).alias("best"))
+def _baseline(score: str) -> Column:
+    return F.max(F.when((F.col("i") == 0) & (F.col("j") == 0), F.col(score)))
 
 
 def score_grid(scores: DataFrame, n: int, keys: list[str], score: str = "score", mask_missing: bool = False,
                diff: bool = False) -> DataFrame:
     """Dense ``(i, j)`` grid per run as a long table.
 
-    Missing cells are 0.8 of the baseline, or NULL when masked; in a difference
-    grid they are always NULL.
+    Missing cells are 0.8 of the baseline, (0,0) or else the mean, or NULL when
+    masked; in a difference grid they are always NULL.  One aggregate: a run's
+    cells, at most ``(n + 1)^2`` places, are put together and filled up there.
     """
-    runs = _runs(scores, keys, score)
-    side = F.sequence(F.lit(0), F.lit(n))
-    cells = runs.withColumn("i", F.explode(side)).withColumn("j", F.explode(side))
-    value = scores.select(*keys, "i", "j", F.col(score).alias("_v"))
-    out = cells.join(value, [*keys, "i", "j"], "left")
+    side = n + 1
+    place = (F.col("i") * side + F.col("j")).cast("int")
+    inside = F.col("i").between(0, n) & F.col("j").between(0, n)
+    cell = F.struct(place.alias("place"), F.col(score).cast("double").alias("v"))
+    runs = scores.groupBy(*keys).agg(
+        F.coalesce(_baseline(score), F.avg(score)).alias("baseline"), F.collect_list(F.when(inside, cell)).alias("_cells"))
+    every = F.sequence(F.lit(0), F.lit(side * side - 1))
+    missing = F.transform(F.array_except(every, F.transform("_cells", lambda c: c["place"])), lambda p: F.struct(
+        p.alias("place"), F.lit(None).cast("double").alias("v")))
+    out = runs.select(*keys, "baseline", F.inline(F.concat("_cells", missing)))
     if diff:
-        shown = F.col("_v") - F.col("baseline")
+        shown = F.col("v") - F.col("baseline")
     else:
-        shown = F.col("_v") if mask_missing else F.coalesce("_v", F.col("baseline") * 0.8)
-    return out.select(*keys, "i", "j", shown.alias("value"))
+        shown = F.col("v") if mask_missing else F.coalesce("v", F.col("baseline") * 0.8)
+    return out.select(*keys, F.floor(F.col("place") / side).cast("int").alias("i"), (F.col("place") % side).alias("j"), shown.alias("value"))
 
 
 def diff_summary(scores: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """Best cell, its gain and the symmetric colour bound per run."""
-    runs = _runs(scores, keys, score)
-    gaps = scores.join(runs, keys).groupBy(*keys).agg(F.max(F.abs(F.col(score) - F.col("baseline"))).alias("bound"))
-    return runs.join(gaps, keys).select(
+    """Best cell (first by j, i on ties), its gain and the symmetric colour bound per run, in one aggregate."""
+    best = F.max_by(F.struct("i", "j", F.col(score).alias("score")), F.struct(score, -F.col("j"), -F.col("i")))
+    runs = scores.groupBy(*keys).agg(
+        F.coalesce(_baseline(score), F.avg(score)).alias("baseline"), best.alias("best"), F.max(score).alias("_high"), F.min(score).alias("_low"))
+    bound = F.greatest(F.col("_high") - F.col("baseline"), F.col("baseline") - F.col("_low"))
+    return runs.select(
         *keys, "baseline", F.col("best.i").alias("best_i"), F.col("best.j").alias("best_j"),
-        F.col("best.score").alias("best_score"), (F.col("best.score") - F.col("baseline")).alias("best_gain"), "bound")
+        F.col("best.score").alias("best_score"), (F.col("best.score") - F.col("baseline")).alias("best_gain"), bound.alias("bound"))
 
 
 def score_summary(scores: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
@@ -272,15 +276,18 @@ def wide_grid(grid: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def repeat_grid(manifest: DataFrame, scores: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
-    """Repeat-sweep cells (extra, layer) with the run's baseline or grid mean."""
+    """Repeat-sweep cells (extra, layer) with the run's baseline or grid mean.
+
+    One aggregate per run holds its cells, as many as its manifest has, beside
+    the baseline.
+    """
     hit = manifest.join(scores, [*keys, "layer_indices_key"], "left")
-    cells = hit.filter((F.col("extra_repeats") > 0) & F.col("layer").isNotNull())
-    stats = hit.groupBy(*keys).agg(
+    is_cell = (F.col("extra_repeats") > 0) & F.col("layer").isNotNull()
+    cell = F.struct(F.col("extra_repeats").alias("extra"), "layer", F.col(score).alias("value"))
+    runs = hit.groupBy(*keys).agg(
         F.max(F.when((F.col("extra_repeats") == 0) | F.col("layer").isNull(), F.col(score))).alias("_base"),
-        F.avg(F.when((F.col("extra_repeats") > 0) & F.col("layer").isNotNull(), F.col(score))).alias("_mean"))
-    return cells.join(stats, keys).select(
-        *keys, F.col("extra_repeats").alias("extra"), "layer", F.col(score).alias("value"),
-        F.coalesce("_base", "_mean").alias("baseline"))
+        F.avg(F.when(is_cell, F.col(score))).alias("_mean"), F.collect_list(F.when(is_cell, cell)).alias("_cells"))
+    return runs.select(*keys, F.coalesce("_base", "_mean").alias("baseline"), F.inline("_cells")).select(*keys, "extra", "layer", "value", "baseline")
 
 
 def best_cell(grid: DataFrame, keys: list[str], row: str = "extra", col: str = "layer") -> DataFrame:

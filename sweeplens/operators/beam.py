@@ -3,11 +3,14 @@
 Entries have ``blocks, block_spec, layer_key, depth, math_score, eq_score,
 math_delta, eq_delta, method_score, source, extra_layers, relative_overhead,
 final_score``.  Every depth is written to its own Parquet folder, so a lost
-executor or a restarted driver re-reads it instead of replaying the search.
+executor re-reads it; measured scores outlive the search, so a restarted driver
+plans again but measures nothing twice.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -18,7 +21,7 @@ from pyspark.sql import types as T
 
 from sweeplens.functions import layers as L
 from sweeplens.operators.analysis import KEY, balanced_score, delta_stats, key_literal, one_row, with_deltas
-from sweeplens.operators.grid import short_list
+from sweeplens.operators.grid import grid
 from sweeplens.operators.ordering import latest, top_n
 
 
@@ -112,16 +115,13 @@ def frontier_of(entries: DataFrame, depth: int, width: int) -> DataFrame:
     return top_n(entries.filter(F.col("depth") == depth), method_order(), width, "parent_rank")
 
 
-def expand(frontier: DataFrame, pool: DataFrame, n: int, max_extra: int | None = None,
-           pool_limit: int = 1000) -> DataFrame:
+def expand(frontier: DataFrame, pool: DataFrame, n: int, max_extra: int | None = None) -> DataFrame:
     """Append every pool block to every frontier entry.
 
     Both sides are top-k lists, so the pairs are bounded by the beam settings.
     """
-    pairs = frontier.select(
-        F.col("blocks").alias("_parent"), "parent_rank", F.col("method_score").alias("parent_score"),
-        F.inline(short_list(pool, pool_limit)))
-    out = pairs.select(
+    parents = frontier.select(F.col("blocks").alias("_parent"), "parent_rank", F.col("method_score").alias("parent_score"))
+    out = grid(parents, pool.select("pool_rank", "block", "block_score")).select(
         F.concat("_parent", F.array("block")).alias("blocks"), "parent_rank", "pool_rank",
         (F.col("parent_score") + F.col("block_score")).alias("heuristic"))
     out = out.withColumn(KEY, L.expand_blocks(n, F.col("blocks")))
@@ -153,11 +153,11 @@ def attach_scores(candidates: DataFrame, math: DataFrame, eq: DataFrame, stats:
     return done, joined.filter(~both).select("blocks", KEY, "depth", "heuristic", F.lit("missing_scores").alias("status"))
 
 
-def rescore(saved: DataFrame, seeds: DataFrame, stats: FrozenStats, n: int, penalty: float) -> DataFrame:
-    """Saved entries over seeds, all under the current statistics."""
+def rescore(saved: DataFrame, present: DataFrame, stats: FrozenStats, n: int, penalty: float) -> DataFrame:
+    """Saved entries with the present ones over them, all under the current statistics."""
     cols = ["blocks", KEY, "depth", "math_score", "eq_score", "source"]
-    both = saved.select(*cols, F.lit(1).alias("_p")).unionByName(seeds.select(*cols, F.lit(0).alias("_p")))
-    rows = latest(both, [KEY], ["_p"]).drop("_p")
+    both = saved.select(*cols, F.lit(0).alias("_p")).unionByName(present.select(*cols, F.lit(1).alias("_p")))
+    rows = latest(both, [KEY], ["_p", "source", "math_score", "eq_score"]).drop("_p")
     return with_efficiency(stats.score(rows), n, penalty).withColumn("block_spec", L.block_spec(F.col("blocks")))
 
 
@@ -231,23 +231,76 @@ Scorer = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 @dataclass
 class BeamResult:
+    """What a search found.
+
+    ``entries`` are those of this search, ``saved`` all entries of it and of
+    earlier ones in the same folder, scored under the present statistics;
+    ``events`` is the log of all of them.
+    """
+
     entries: DataFrame
     events: DataFrame
     stop_reason: str
     depths: list[int]
+    saved: DataFrame
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+_SCORES = T.StructType([
+    T.StructField(KEY, T.ArrayType(T.IntegerType())), T.StructField("math_score", T.DoubleType()),
+    T.StructField("eq_score", T.DoubleType()), T.StructField("turn", T.LongType()),
+])
 
 
-def _write_once(df: DataFrame, path: str) -> DataFrame:
-    """Write a folder unless a finished copy is there, and read it back."""
-    spark = df.sparkSession
-    if not _exists(spark, path):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+class SearchState:
+    """The folder of a search, one subfolder for each set of parameters that shape it.
+
+    A call works in a new folder ``run=<turn>`` below it and never writes into
+    another's.  Measured scores belong to the number of layers alone and are
+    shared by all parameters.  Only folders that were finished are read.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, n: int, **parameters):
+        text = ",".join(f"{k}={v}" for k, v in sorted({"n": n, **parameters}.items()))
+        self.spark, self.folder, self.scores = spark, f"{root}/{hashlib.sha256(text.encode()).hexdigest()[:16]}", f"{root}/scores-{n}"
+        self.turn = 1 + max(self._turns(self.folder) + self._turns(self.scores), default=0)
+        self.number = 0
+
+    def _names(self, folder: str, only: str | None = None) -> list[str]:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in system.listStatus(path)] if system.exists(path) else []
+        return [name for name in names if only in (None, name)]
+
+    def _turns(self, folder: str) -> list[int]:
+        return sorted(int(name[4:]) for name in self._names(folder) if name.startswith("run="))
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/run={self.turn}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def known(self) -> DataFrame:
+        """The latest score of each layer key and metric."""
+        turns = self._turns(self.scores)
+        if not turns:
+            return self.spark.createDataFrame([], _SCORES).drop("turn")
+        rows = self.spark.read.schema(_SCORES).option("recursiveFileLookup", True).parquet(*[f"{self.scores}/run={t}" for t in turns])
+        newest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("turn"))).alias(c)
+        return rows.groupBy(KEY).agg(newest("math_score"), newest("eq_score"))
+
+    def remember(self, scores: DataFrame) -> None:
+        self.number += 1
+        scores.select(KEY, "math_score", "eq_score", F.lit(self.turn).cast("long").alias("turn")).write.parquet(
+            f"{self.scores}/run={self.turn}/part{self.number}")
+
+    def earlier(self, name: str, columns: list[str]) -> list[DataFrame]:
+        """The finished tables of earlier runs whose name begins so, the seeds left out."""
+        out = []
+        for turn in self._turns(self.folder):
+            names = [f for f in self._names(f"{self.folder}/run={turn}") if f.startswith(name) and f != "depth=1"]
+            paths = [f"{self.folder}/run={turn}/{f}" for f in names if turn < self.turn]
+            out += [self.spark.read.parquet(path).select(*columns) for path in paths if self._names(path, "_SUCCESS")]
+        return out
 
 
 _EVENT = T.StructType([
@@ -273,14 +326,18 @@ def beam_search(pairs: DataFrame, score: Scorer, n: int, work_dir: str, max_dept
     """Search from single blocks to deeper sequences.
 
     ``score`` returns the two metric tables for a candidate frame: a lookup of
-    measured results or a surrogate.  Folders that are already complete are
-    reused, so the same call resumes an interrupted search.
+    measured results or a surrogate.  What it has measured is kept in
+    ``work_dir`` and stands in where a later call finds no score.  A call plans
+    every depth anew under the statistics of its own seeds, so a search resumed
+    after an interruption, after scores came late or after seeds changed gives
+    what a fresh one would; candidates without scores are tried again.
     """
     spark = pairs.sparkSession
     rule = rule or StopRule()
+    state = SearchState(spark, work_dir, n, seed_top=seed_top, pool_size=pool_size, width=width, max_candidates=max_candidates, max_extra=max_extra)
     seeds, stats = seed_entries(pairs, n, penalty)
-    entries = _write_once(seeds.select(*ENTRY_COLUMNS), f"{work_dir}/depth=1")
-    events = _event(entries, "evaluated", "seed", 1, False, "method_score", None)
+    entries = state.write(seeds.select(*ENTRY_COLUMNS), "depth=1")
+    logged = [_event(entries, "evaluated", "seed", 1, False, "method_score", None)]
     pool = pool_of(entries, pool_size)
     best = entries.orderBy(*method_order()).first()
     rule.start(best["method_score"], best["block_spec"])
@@ -290,19 +347,20 @@ def beam_search(pairs: DataFrame, score: Scorer, n: int, work_dir: str, max_dept
         if frontier.isEmpty():
             reason = "frontier_empty"
             break
-        picked = select_candidates(expand(frontier, pool, n, max_extra, pool_size), entries, max_candidates)
-        picked = _write_once(picked.withColumn("depth", F.lit(depth)), f"{work_dir}/candidates/depth={depth}")
+        picked = select_candidates(expand(frontier, pool, n, max_extra), entries, max_candidates)
+        picked = state.write(picked.withColumn("depth", F.lit(depth)), f"candidates/depth={depth}")
         if picked.isEmpty():
             reason = f"candidate_exhausted_depth_{depth}"
             break
-        math, eq = score(picked)
-        done, missing = attach_scores(picked, math, eq, stats, n, penalty, depth)
-        done = _write_once(done.select(*ENTRY_COLUMNS), f"{work_dir}/depth={depth}")
-        missing = _write_once(missing, f"{work_dir}/missing/depth={depth}")
-        events = (
-            events.unionByName(_event(picked, "planned", "beam_candidate", 2 * depth, True, None, "heuristic"))
-            .unionByName(_event(done, "evaluated", "beam_eval", 2 * depth + 1, True, "method_score", None))
-            .unionByName(_event(missing, "missing_scores", "beam_eval", 2 * depth + 1, True, None, "heuristic")))
+        measured = state.write(_measured(picked, *score(picked), state.known()), f"scores/depth={depth}")
+        state.remember(measured)
+        done, missing = attach_scores(picked, *[measured.select(KEY, F.col(m).alias("score")) for m in ("math_score", "eq_score")],
+                                      stats, n, penalty, depth)
+        done = state.write(done.select(*ENTRY_COLUMNS), f"depth={depth}")
+        missing = state.write(missing, f"missing/depth={depth}")
+        logged += [_event(picked, "planned", "beam_candidate", 2 * depth, True, None, "heuristic"),
+                   _event(done, "evaluated", "beam_eval", 2 * depth + 1, True, "method_score", None),
+                   _event(missing, "missing_scores", "beam_eval", 2 * depth + 1, True, None, "heuristic")]
         entries = entries.unionByName(done)
         depths.append(depth)
         frontier = frontier_of(done, depth, width)
@@ -311,4 +369,18 @@ def beam_search(pairs: DataFrame, score: Scorer, n: int, work_dir: str, max_dept
         if stop:
             reason = stop
             break
-    return BeamResult(entries, events, reason, depths)
+    step = F.col("seq") + F.lit(state.turn * 1_000_000)  # events of a later call come later
+    events = state.write(functools.reduce(DataFrame.unionByName, logged).withColumn("seq", step), "events")
+    saved = functools.reduce(DataFrame.unionByName, state.earlier("depth=", ENTRY_COLUMNS), entries.limit(0))
+    return BeamResult(entries, functools.reduce(DataFrame.unionByName, state.earlier("events", events.columns), events), reason, depths,
+                      rescore(saved, entries, stats, n, penalty))
+
+
+def _measured(picked: DataFrame, math: DataFrame, eq: DataFrame, known: DataFrame) -> DataFrame:
+    """Both scores of the candidates; a score not found now may be known from before."""
+    out = picked.select(KEY)
+    for name, table in (("math_score", math), ("eq_score", eq)):
+        out = out.join(table.select(KEY, F.col("score").cast("double").alias(name)), KEY, "left")
+    before = known.select(KEY, F.col("math_score").alias("_math"), F.col("eq_score").alias("_eq"))
+    return out.join(before, KEY, "left").select(KEY, F.coalesce("math_score", "_math").alias("math_score"),
+                                                F.coalesce("eq_score", "_eq").alias("eq_score"))

@@ -165,11 +165,19 @@ def clip_bounds(spark, d):
     return A.clip_bounds(diffs, ["model_id"]).select("model_id", *_r("vmin", "vmax"))
 
 
+def centered_ranges(spark, d):
+    """The clip bounds moved up and down, so that zero lies inside, above or below."""
+    diffs = _repeat(spark, d).withColumn("value", F.col("value") - F.col("baseline"))
+    bounds = A.clip_bounds(diffs, ["model_id"]).withColumn("shift", F.explode(F.array(F.lit(-1000.0), F.lit(0.0), F.lit(1000.0))))
+    inside = A.centered_range(F.col("vmin") + F.col("shift"), F.col("vmax") + F.col("shift"))
+    return bounds.select("model_id", "shift", F.round(inside["vmin"], 7).alias("low"), F.round(inside["vmax"], 7).alias("high"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         balanced_topn, metric_join, balanced_rank, balanced_summary, baseline_choice, scale_inference, infer_layers, payload_scores,
         payload_rejects, score_grid, diff_grid, grid_wide, diff_summary, score_summary, repeat_grid, repeat_best,
-        clip_bounds)
+        clip_bounds, centered_ranges)
 }
 
 BALANCED_SQL = f"""
@@ -253,3 +261,5 @@ ORACLES = {
          greatest(3e0 * sigma, q_pos, best + 1e-9, 1e-9) as vmax from a)
         select model_id, round(-least(greatest(2e0 * sigma * ratio, q_neg, 1e-9), greatest(6e0 * vmax, 1e-9)), 9) as vmin, round(vmax, 9) as vmax from b""",
 }
+ORACLES["centered_ranges"] = f"""with c as ({ORACLES["clip_bounds"]}), s as (select model_id, vmin + shift as a, vmax + shift as b, shift from c cross join (values (-1000e0), (0e0), (1000e0)) v(shift))
+    select model_id, shift, round(case when a >= 0 then -1e-6 else a end, 7) as low, round(case when b <= 0 then 1e-6 else b end, 7) as high from s"""
