@@ -183,6 +183,36 @@ def parse_sequence_key(n: int | Column, key: Column) -> Column:
     return valid_or_null(n, F.when(F.size(key) == 2, pair).otherwise(key.cast(INT_ARRAY)))
 
 
+def parse_document(n: int | Column, doc: Column) -> Column:
+    """A VARIANT spec to layers: text, an integer array, or an object.
+
+    Of an object's ``layers``, ``layer_indices``, ``blocks``, ``key`` and
+    ``spec`` the first that is present decides, even when it is unusable.
+    """
+    def within(path: str, kind: str) -> Column:
+        return F.try_variant_get(doc, path, kind)
+
+    def is_text(path: str) -> Column:
+        return F.schema_of_variant(within(path, "variant")) == "STRING"
+
+    def either(path: str) -> Column:
+        return F.when(is_text(path), parse_spec(n, within(path, "string"))).otherwise(parse_sequence_key(n, within(path, INT_ARRAY)))
+
+    def pair(path: str) -> Column:
+        numbers = within(path, INT_ARRAY)
+        listed = F.when(F.size(numbers) == 2, F.struct(F.get(numbers, F.lit(0)).alias("i"), F.get(numbers, F.lit(1)).alias("j")))
+        block = F.when(is_text(path), parse_pair(within(path, "string"))).otherwise(listed)
+        return let(block, lambda b: expand_block(n, b["i"], b["j"]))
+
+    options = [("layers", within("$.layers", INT_ARRAY)), ("layer_indices", within("$.layer_indices", INT_ARRAY)),
+               ("blocks", expand_blocks(n, parse_blocks(within("$.blocks", "string")))), ("key", pair("$.key")), ("spec", either("$.spec"))]
+    chosen = None
+    for name, value in options:
+        present = within(f"$.{name}", "variant").isNotNull()
+        chosen = F.when(present, value) if chosen is None else chosen.when(present, value)
+    return valid_or_null(n, F.when(F.schema_of_variant(doc).startswith("OBJECT<"), chosen).otherwise(either("$")))
+
+
 # --- count vectors ---------------------------------------------------------
 
 def encode_counts(layers: Column, n: int | Column) -> Column:

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import re
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from sweeplens.functions.layers import squeeze
+from sweeplens.functions.layers import let, squeeze
 
 
 def payload_score(payload: Column) -> Column:
@@ -35,47 +28,40 @@ def payload_score(payload: Column) -> Column:
     )
 
 
-# A whole quoted string, a lone quote (an unterminated string) or a brace.
-_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|["{}]', re.DOTALL)
-
-
-def _leading_object(text: str | None) -> str | None:
-    """JSON object that ``text`` starts with, if balanced and valid."""
-    depth = 0
-    for token in _TOKEN.finditer(text or ""):
-        mark = token.group()
-        if mark == "{":
-            depth += 1
-        elif mark == "}":
-            depth -= 1
-        elif mark == '"':
-            return None
-        if depth == 0:
-            body = text[: token.end()]
-            try:
-                return body if isinstance(json.loads(body), dict) else None
-            except ValueError:
-                return None
-    return None
+# Pieces of a text whose concatenation is the text: an escaped character, a quote, a brace, or anything between.
+_PIECES = r"(?s)\\.|[\"{}]|[^\"{}\\]+|\\"
+_OBJECT = "map<string, variant>"
 
 
-def _leading_objects(texts: pd.Series) -> pd.Series:
-    return texts.map(_leading_object)
+def _object_length(text: Column) -> Column:
+    """Characters of the balanced object that ``text`` starts with; NULL when it does not end."""
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("read"), F.lit(None).cast("int").alias("end"))
 
+    def step(at: Column, piece: Column) -> Column:
+        depth = F.when(at["quoted"], at["depth"]).when(piece == "{", at["depth"] + 1).when(piece == "}", at["depth"] - 1).otherwise(at["depth"])
+        read = at["read"] + F.length(piece)
+        closed = (depth == 0) & ~at["quoted"] & (piece == "}")
+        return F.struct(depth.alias("depth"), (at["quoted"] != (piece == '"')).alias("quoted"), read.alias("read"),
+                        F.coalesce(at["end"], F.when(closed, read)).alias("end"))
 
-# Executors need no installed copy of this package: the functions travel by value.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return F.aggregate(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), start, step, lambda at: at["end"])
 
 
 def first_json_object(text: Column) -> Column:
-    """First balanced JSON object in free text, as JSON text.
+    """First balanced JSON object in free text as ``map<string, variant>``; NULL when there is none or it is no JSON.
 
-    Only the first ``{`` is tried.  Brace matching has no regular expression, so
-    it runs on Arrow batches; Python only receives texts with a brace, and those
-    from the brace on.
+    Only the first ``{`` is tried.  The map keeps the textual order and repeated
+    keys; ``member`` takes the last of them.  NaN and infinite numbers are read.
     """
     from_brace = F.when(text.contains("{"), F.substr(text, F.position(F.lit("{"), text)))
-    return F.pandas_udf(_leading_objects, T.StringType())(from_brace)
+    body = let(from_brace, lambda t: F.substr(t, F.lit(1), _object_length(t)))
+    return F.from_json(body, _OBJECT, {"allowSingleQuotes": "false", "allowNonNumericNumbers": "true"})
+
+
+def member(obj: Column, name: str) -> Column:
+    """Value of a key as VARIANT, the last one given; NULL when it is absent."""
+    found = F.filter(F.map_entries(obj), lambda e: e["key"] == name)
+    return F.when(F.size(found) > 0, F.element_at(found, -1)["value"])
 
 
 # Fields every agent action must carry.
@@ -99,12 +85,12 @@ def required_fields(action: Column) -> Column:
 
 
 def action_name(obj: Column) -> Column:
-    return squeeze(F.try_variant_get(F.try_parse_json(obj), "$.action", "string"))
+    return squeeze(F.try_variant_get(member(obj, "action"), "$", "string"))
 
 
 def action_status(obj: Column) -> Column:
     """``ok``, ``parse_error``, ``unsupported`` or ``missing_fields``."""
-    keys = F.json_object_keys(obj)
+    keys = F.map_keys(obj)
     required = required_fields(action_name(obj))
     return (
         F.when(obj.isNull() | ~F.array_contains(keys, "action"), "parse_error")

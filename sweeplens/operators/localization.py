@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sweeplens.functions import layers as L
 from sweeplens.functions import payload as P
 from sweeplens.functions import text as X
-from sweeplens.operators.grid import grid
-from sweeplens.operators.ordering import grouped_rank, top_n
+from sweeplens.operators.grid import unfinished
+from sweeplens.operators.ordering import global_rank, grouped_rank, top_n
 from sweeplens.operators.stage import computed
 from sweeplens.session import pin
 
@@ -149,7 +149,7 @@ def build_examples(issues: DataFrame, files: DataFrame, distractors: int = 6, sn
     base = changed_files(issues, include_tests=include_tests).select(
         "*", F.size("changed").alias("n_changed"), first["path"].alias("truth"),
         F.get(first["starts"], F.lit(0)).alias("center"))
-    base = base.withColumn("true_edit", file_patch(F.col("patch"), F.col("truth")))
+    base = pin(base.withColumn("true_edit", file_patch(F.col("patch"), F.col("truth"))))  # each patch is parsed once
 
     own = base.join(_own_snippets(base, files, snippet_lines, keys), [*keys, "truth", "center"], "left")
     reason = (
@@ -194,20 +194,20 @@ def scan_order(issues: DataFrame, seed: int, limit: int) -> DataFrame:
 def keep_report(examples: DataFrame, max_examples: int) -> DataFrame:
     """Scanned issues up to the ``max_examples``-th kept one, kept and skipped.
 
-    The scan limit bounds the rows of the running count.
+    That one's place is found by a top-k list of the kept places.
     """
-    before = Window.orderBy("scan_pos").rowsBetween(Window.unboundedPreceding, -1)
-    kept = F.coalesce(F.count_if(F.col("skip_reason").isNull()).over(before), F.lit(0))
-    rows = examples.select("scan_pos", "issue_id", "skip_reason", "ground_truth").withColumn("_kept", kept)
-    return rows.filter(F.col("_kept") < max_examples).drop("_kept").withColumn(
+    rows = examples.select("scan_pos", "issue_id", "skip_reason", "ground_truth").withColumn(
         "decision", F.when(F.col("skip_reason").isNull(), "keep").otherwise("skip"))
+    if max_examples < 1:
+        return rows.limit(0)
+    kept = examples.filter("skip_reason is null").select("scan_pos").orderBy("scan_pos").limit(max_examples)
+    last = kept.agg(F.when(F.count("*") >= max_examples, F.max("scan_pos")).alias("last")).scalar()
+    return rows.filter(F.coalesce(F.col("scan_pos") <= last, F.lit(True)))
 
 
 def shuffled(df: DataFrame, seed: int | str, keys: list[str], per: list[str] | None = None,
              name: str = "position") -> DataFrame:
     """Seeded shuffle as a position column, over the table or inside groups."""
-    from sweeplens.operators.ordering import global_rank
-
     order = [X.stable_hash(seed, *[F.col(k) for k in keys]), *[F.col(k) for k in keys]]
     return grouped_rank(df, per, order, name) if per else global_rank(df, order, name)
 
@@ -233,13 +233,13 @@ def parse_rankings(answers: DataFrame, text: str = "raw_answer", candidates: str
     """
     cands = F.col(candidates)
     staged = answers.withColumn("_obj", P.first_json_object(F.col(text)))
-    staged = staged.withColumn("_v", F.try_parse_json("_obj"))
+    keys = F.map_keys("_obj")
 
     def listed(key: str) -> Column:
-        return F.try_variant_get("_v", f"$.{key}", "array<string>")
+        return F.try_variant_get(P.member(F.col("_obj"), key), "$", "array<string>")
 
-    has_main = F.try_variant_get("_v", "$.ranked_files", "variant").isNotNull()
-    from_json = F.when(has_main, listed("ranked_files")).otherwise(listed("ranking"))
+    main = F.coalesce(F.array_contains(keys, "ranked_files"), F.lit(False))
+    from_json = F.when(main, listed("ranked_files")).otherwise(listed("ranking"))
     from_json = F.transform(F.coalesce(from_json, F.array().cast("array<string>")), lambda x: L.squeeze(x))
 
     def mention(path: Column) -> Column:
@@ -261,7 +261,7 @@ def parse_rankings(answers: DataFrame, text: str = "raw_answer", candidates: str
         .withColumn("parser", F.when(is_json, "json").otherwise("path_order_fallback"))
         .withColumn("valid_ranked_count", F.size("_valid"))
         .withColumn("completed_missing_candidates", F.size(cands) - F.size("_valid"))
-        .drop("_obj", "_v", "_json", "_ranked", "_valid")
+        .drop("_obj", "_json", "_ranked", "_valid")
     )
 
 
@@ -286,14 +286,12 @@ def summarize(records: DataFrame, by: str = "condition") -> DataFrame:
 def pending_pairs(examples: DataFrame, conditions: DataFrame, done: DataFrame,
                   keys: tuple[str, str] = ("condition", "issue_id"),
                   start: int = 0, count: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """(condition, example) pairs without a record, over a window of the examples."""
+    """(condition, example) pairs without a record, over a window of the examples by rank in ``order``."""
     if start or count is not None:
-        ranked = top_n(examples, order, start + count, "_pos") if count is not None else None
-        if ranked is None:
-            from sweeplens.operators.ordering import global_rank
-            ranked = global_rank(examples, order, "_pos")
-        examples = ranked.filter(F.col("_pos") > start).drop("_pos")
-    return grid(examples, conditions).join(done.select(*keys).dropDuplicates(), list(keys), "left_anti")
+        place = F.col("_pos")
+        wanted = place > start if count is None else place.between(start + 1, start + count)
+        examples = global_rank(examples, order, "_pos").filter(wanted).drop("_pos")
+    return unfinished(examples, conditions, done, keys[1], keys[0])
 
 
 def search_text(files: DataFrame, queries: list[str], limit: int = 20, keys: list[str] = ["repo"]) -> DataFrame:

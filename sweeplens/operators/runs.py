@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplens.functions.text import stable_hash
-from sweeplens.operators.grid import grid, short_list
+from sweeplens.operators.grid import grid, only_row, unfinished
 from sweeplens.operators.ordering import global_rank, latest
 from sweeplens.session import pin
 
@@ -118,7 +120,7 @@ def compare_to_baseline(summary: DataFrame, baseline: str, by: str = "condition"
     measures = ("success_rate", "avg_steps", "avg_execution_errors", "avg_runtime_seconds")
     summary = pin(summary.select(by, *measures))  # one row per condition, used twice
     base = summary.filter(F.col(by) == baseline).select(*[F.col(m).alias(f"_{m}") for m in measures])
-    packed = short_list(base, 1)
+    packed = only_row(base)
     guarded = F.when(F.size(packed) > 0, packed).otherwise(
         F.raise_error(F.lit(f"baseline condition not found: {baseline}")).cast(f"array<{base.schema.simpleString()}>"))
     return summary.select(by, *measures, F.inline(guarded)).select(
@@ -137,9 +139,7 @@ def attach_attributes(runs: DataFrame, attributes: DataFrame, key: str = "condit
 
 def pending_runs(tasks: DataFrame, conditions: DataFrame, done: DataFrame) -> DataFrame:
     """(condition, task) pairs without a finished trajectory."""
-    keys = ["condition", "task_id"]
-    return grid(tasks.select("task_id"), conditions.select("condition")).join(
-        done.select(*keys).dropDuplicates(), keys, "left_anti")
+    return unfinished(tasks.select("task_id"), conditions.select("condition"), done, "task_id", "condition")
 
 
 def trajectory_totals(trajectories: DataFrame, doc: str = "doc", keys: tuple[str, ...] = ("task_id",)) -> DataFrame:
@@ -157,25 +157,33 @@ def trajectory_totals(trajectories: DataFrame, doc: str = "doc", keys: tuple[str
         (submission == "").alias("submission_empty"))
 
 
-def flatten_json(df: DataFrame, keys: list[str], doc: str = "doc", max_depth: int = 12) -> DataFrame:
-    """Nested documents (VARIANT) to one row per leaf path.
+LEVELS = 6  # levels opened in one pass
+
+
+def flatten_json(df: DataFrame, keys: list[str], doc: str = "doc") -> DataFrame:
+    """Nested documents (VARIANT) to one row per leaf path, however deep; arrays are leaves.
 
-    One lateral explode per level; arrays stay leaves.  A document deeper than
-    ``max_depth`` fails the job, so no leaf is lost.
+    A pass opens several levels in one chain of generators: objects become
+    their members, leaves go through unchanged.  The input is read once; only
+    documents with objects left after a pass need another, on its pinned result.
+    A document that is not an object has no leaves.
     """
     spark = df.sparkSession
-    level = df.select(*keys, F.lit("").alias("_path"), F.col(doc).alias("_v"))
-    leaves = None
-    for depth in range(max_depth + 1):
-        items = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-        name = F.when(F.col("_path") == "", F.col("key")).otherwise(F.concat_ws(".", "_path", "key"))
-        items = items.select(*keys, name.alias("_path"), F.col("value").alias("_v"))
-        nested = F.schema_of_variant("_v").startswith("OBJECT<")
-        if depth == max_depth:
-            items = items.withColumn("_path", F.when(~nested, F.col("_path")).otherwise(
-                F.raise_error(F.lit(f"document nested deeper than {max_depth}")).cast("string")))
-            nested = F.lit(False)
-        part = items.filter(~nested).select(*keys, F.col("_path").alias("path"), F.to_json("_v").alias("value"))
-        leaves = part if leaves is None else leaves.unionByName(part)
-        level = items.filter(nested)
-    return leaves.withColumn("spec", F.concat_ws("=", "path", "value"))
+    is_object = F.schema_of_variant("_v").startswith("OBJECT<")
+    rows = df.select(*keys, F.lit(None).cast("string").alias("_path"), F.col(doc).alias("_v")).where(is_object)
+    done = []
+    while True:
+        for _ in range(LEVELS):
+            staged = rows.withColumn("_open", is_object)
+            inner = F.when(F.col("_open"), F.col("_v"))
+            items = staged.lateralJoin(spark.tvf.variant_explode_outer(inner.outer()))
+            items = items.where("not _open or key is not null")  # an empty object has no leaves
+            rows = items.select(*keys, F.when(F.col("_open"), F.concat_ws(".", "_path", "key")).otherwise(F.col("_path")).alias("_path"),
+                                F.when(F.col("_open"), F.col("value")).otherwise(F.col("_v")).alias("_v"))
+        rows = pin(rows.withColumn("_deeper", is_object))
+        done.append(rows.where("not _deeper"))
+        rows = rows.where("_deeper").drop("_deeper")
+        if rows.isEmpty():
+            break
+    leaves = functools.reduce(DataFrame.unionByName, done)
+    return leaves.select(*keys, F.col("_path").alias("path"), F.to_json("_v").alias("value")).withColumn("spec", F.concat_ws("=", "path", "value"))

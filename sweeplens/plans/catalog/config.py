@@ -142,11 +142,32 @@ def condition_table(spark, d):
         "name", "layer_spec", "extra_layers", F.round("overhead_fraction", 9).alias("overhead_fraction"))
 
 
+def named_conditions(spark, d):
+    """``NAME=SPEC`` lines of every order's spec text."""
+    raw = fx.from_body(spark, d, SPEC_TEXTS, "orders").select(F.concat(F.lit(" c"), F.col("id"), F.lit(" = "), F.col("raw")).alias("line"))
+    return C.parse_conditions(raw, N).select("name", F.array_join("layer_key", ",").alias("layers"), "extra_layers")
+
+
+def spec_documents(spark, d):
+    """Specs as JSON documents: objects with each field, arrays and bare text."""
+    raw = fx.from_body(spark, d, SPEC_TEXTS, "orders").selectExpr("id", """case id % 8
+      when 0 then '{"layers":[' || i || ',' || j || ',3],"blocks":"1,2"}'
+      when 1 then '{"layer_indices":["' || i || '",' || j || ']}'
+      when 2 then '{"blocks":"' || i || ',' || j || ';0,2"}'
+      when 3 then '{"key":"(' || i || ', ' || j || ')","spec":"layers:1"}'
+      when 4 then '{"key":[' || i || ',' || j || ']}'
+      when 5 then '{"spec":"layers:' || i || ',' || j || '"}'
+      when 6 then '[' || i || ',' || j || ',2]'
+      else '"' || i || ',' || j || '"' end as doc""")
+    layers = L.parse_document(N, F.try_parse_json("doc"))
+    return raw.select("id", F.array_join(layers, ",").alias("layers"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         sweep_space, sweep_strategic, span_filter, index_slice, expand_single, expand_multi, validate_configs,
         spec_parse, queue_parse, pending_configs, repeat_sweep, count_encode, count_decode, counts_csv, overhead,
-        duplication_counts, condition_table)
+        duplication_counts, condition_table, named_conditions, spec_documents)
 }
 
 _SPACE = f"with {fx.MODELS_SQL}, {fx.SPACE_SQL}"
@@ -241,3 +262,10 @@ ORACLES = {
         union all select 'block_' || i || '_' || j, 'layers:' || array_to_string(list_concat(range(0, j), range(i, 24)), ','),
          cast(j - i as int), round((j - i) / 24e0, 9) from b""",
 }
+ORACLES["named_conditions"] = f"""with s as ({ORACLES["spec_parse"]})
+    select 'c' || id as name, layers, cast(len(string_split(layers, ',')) - 24 as int) as extra_layers from s"""
+ORACLES["spec_documents"] = f"""with t as ({SPEC_TEXTS}),
+    o as (select *, list_concat(range(0, j), range(i, 24)) as once from t),
+    w as (select *, list_concat(once[1 : len(once) - list_position(list_reverse(once), 1) + 1], [0, 1], once[len(once) - list_position(list_reverse(once), 1) + 2 :]) as two from o)
+    select id, case id % 8 when 0 then i || ',' || j || ',3' when 1 then i || ',' || j when 2 then array_to_string(two, ',') when 5 then i || ',' || j when 6 then i || ',' || j || ',2'
+     else array_to_string(once, ',') end as layers from w"""

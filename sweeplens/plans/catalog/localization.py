@@ -79,7 +79,7 @@ def _answers(spark, d):
     quoted = F.concat(F.lit('["'), F.array_join(named, '","'), F.lit('"]'))
     text = (
         F.when(F.col("issue_id") % 4 == 0, F.concat(F.lit('Sure: {"ranked_files": '), quoted, F.lit(', "rationale": "a {b} \\" c"} done')))
-        .when(F.col("issue_id") % 4 == 1, F.concat(F.lit('{"ranking": '), quoted, F.lit("}")))
+        .when(F.col("issue_id") % 4 == 1, F.concat(F.lit('{"ranking": ["x"], "ranking": '), quoted, F.lit(', "score": NaN}')))
         .when(F.col("issue_id") % 4 == 2, F.concat(F.lit("First "), F.array_join(named, " then ")))
         .otherwise(F.lit("no clue {")))
     return grouped.select(
@@ -114,13 +114,24 @@ def localization_pending(spark, d):
     return Z.pending_pairs(issues, conditions, done)
 
 
+def localization_window(spark, d):
+    """Pending pairs of the two hundred orders from the hundredth on, by order date."""
+    orders = fx.table(spark, d, "orders")
+    issues = orders.select(F.col("o_orderkey").alias("issue_id"), "o_orderdate")
+    conditions = orders.select(F.col("o_orderpriority").alias("condition")).distinct()
+    done = orders.select(F.col("o_orderpriority").alias("condition"), F.col("o_orderkey").alias("issue_id"))
+    return Z.pending_pairs(issues, conditions, done, start=100, count=200, order=["o_orderdate", "issue_id"]).select("issue_id", "condition")
+
+
 QUERIES = {
     f.__name__: f for f in (
         patch_files, file_patch, path_classes, distractors, snippets, examples, skip_report, shuffle_positions,
-        text_search, ranked_parse, rank_scores, localization_summary, localization_pending)
+        text_search, ranked_parse, rank_scores, localization_summary, localization_pending,
+        localization_window)
 }
 
-_P = "'src/m' || (o_orderkey % 7) || '/f' || (o_orderkey % 50) || '.py'"
+_DOC = "(o_orderkey % (select count(*) from documents))"
+_P = f"'src/m' || ({_DOC} % 7) || '/f' || {_DOC} || '.py'"
 
 FILES_SQL = f"fk as ({fx.FILES_KEYS_BODY}), files as (select fk.repo, fk.path, fk.doc_id, d.text from fk join documents d using (doc_id))"
 CLASSES_SQL = f"""{FILES_SQL}, cls as (select repo, path, text, path like 'tests/%' as test,
@@ -160,7 +171,7 @@ def _count_lines(body: str) -> str:
 
 
 EXAMPLES_SQL = f"""{SNIPPET_SQL}, {CHOSEN_SQL.format(k=3)},
- p as (select o_orderkey as issue_id, 'repo' || (o_custkey % 4) as repo, {_P} as truth, 1 + o_custkey % 40 as center,
+ p as (select o_orderkey as issue_id, 'repo' || ({_DOC} % 4) as repo, {_P} as truth, 1 + o_custkey % 40 as center,
    case when o_orderkey % 3 <> 0 and o_orderkey % 5 = 0 then 2 else 1 end as n_changed from orders),
  own as (select p.*, ls, {_snip('ls', 'center', 12)} from p left join lined l on l.repo = p.repo and l.path = p.truth),
  ok as (select c.repo, c.truth, count(*) as found, count(*) filter (where n_lines >= 4 and {_count_lines('body')} >= 4) as usable,
@@ -190,7 +201,7 @@ ORACLES = {
     "patch_files": f"""select o_orderkey as issue_id, 0 as pos, {_P} as path, cast(1 + o_custkey % 40 as varchar) as starts from orders
         union all select o_orderkey, 1, 'src/z.js', '9' from orders where o_orderkey % 3 <> 0 and o_orderkey % 5 = 0""",
     "file_patch": f"""with p as ({fx.PATCHES_BODY}) select issue_id,
-        case when issue_id % 3 = 0 then 'tests/test_a.py' when issue_id % 5 = 0 then 'src/z.js' else 'src/m' || (issue_id % 7) || '/f' || (issue_id % 50) || '.py' end as path,
+        case when issue_id % 3 = 0 then 'tests/test_a.py' when issue_id % 5 = 0 then 'src/z.js' else {_P.replace('o_orderkey', 'issue_id')} end as path,
         case when issue_id % 3 = 0 or issue_id % 5 = 0 then 2 else 1 end as files,
         md5(case when issue_id % 3 = 0 then 'diff --git a/tests/test_a.py b/tests/test_a.py' || chr(10) || '@@ -5 +5 @@' || chr(10) || '-y'
          when issue_id % 5 = 0 then 'diff --git a/src/z.js b/src/z.js' || chr(10) || '@@ -9,2 +9,2 @@' || chr(10) || '-z' else patch end) as block_md5 from p""",
@@ -216,3 +227,6 @@ ORACLES = {
     "localization_pending": """select c.condition, o.o_orderkey as issue_id from orders o cross join (select distinct o_orderpriority as condition from orders) c
         where c.condition <> o.o_orderpriority""",
 }
+ORACLES["localization_window"] = """with r as (select *, row_number() over (order by o_orderdate, o_orderkey) as pos from orders),
+    c as (select distinct o_orderpriority as condition from orders)
+    select o_orderkey as issue_id, condition from r cross join c where pos between 101 and 300 and condition <> o_orderpriority"""

@@ -58,7 +58,7 @@ def route_join(spark, d):
 
 def json_flatten(spark, d):
     docs = fx.nested(spark, d).withColumn("doc", F.parse_json("doc"))
-    return R.flatten_json(docs, ["event_id"], max_depth=3).select("event_id", "path", "value")
+    return R.flatten_json(docs, ["event_id"]).select("event_id", "path", "value")
 
 
 def pending_runs(spark, d):
@@ -136,7 +136,9 @@ ORACLES = {
         count(*) as runs, cast(sum(k) as bigint) as steps from ev group by 1, 2, 3""",
     "json_flatten": f"""with {fx.EV_SQL} select event_id, 'model.name' as path, '"' || event_type || '"' as value from ev
         union all select event_id, 'model.args.k', cast(k as varchar) from ev
-        union all select event_id, 'limit', cast(user_id as varchar) from ev""",
+        union all select event_id, 'limit', cast(user_id as varchar) from ev
+        union all select event_id, 'list', '[{{"a":1}},2]' from ev union all select event_id, 'null', 'null' from ev
+        union all select event_id, 'deep' || repeat('.d', 14), cast(k as varchar) from ev""",
     "pending_runs": f"""with {fx.EV_SQL}, r as ({fx.RUNS_BODY}), t as (select distinct task_id from r), c as (select distinct condition from r)
         select condition, task_id from t cross join c where not exists (select 1 from r where r.condition = c.condition and r.task_id = t.task_id and steps < 50)""",
     "alias_names": f"""with n as (select case o_orderkey % 4 when 0 then 'full' when 1 then 'lite' when 2 then 'smith' else 'own/' || (o_custkey % 10) end as name from orders)

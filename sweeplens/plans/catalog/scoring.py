@@ -76,6 +76,11 @@ def math_prompts(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", F.md5(text).alias("prompt_md5"))
 
 
+def emotion_prompts(spark, d):
+    text = S.render_messages(S.emotion_messages(F.col("text")))
+    return fx.table(spark, d, "documents").select("doc_id", F.md5(text).alias("prompt_md5"))
+
+
 def agent_step_status(spark, d):
     out = S.classify_steps(fx.steps(spark, d))
     return out.groupBy("condition", F.coalesce("action", F.lit("-")).alias("action"), "status").agg(
@@ -90,7 +95,7 @@ def agent_step_runs(spark, d):
 QUERIES = {
     f.__name__: f for f in (
         math_scores_by_config, math_best_answer, eq_scores_by_config, eq_first_pass, extraction_rates, math_preflight,
-        eq_preflight, combined_scores, prompt_table, math_prompts, agent_step_status, agent_step_runs)
+        eq_preflight, combined_scores, prompt_table, math_prompts, emotion_prompts, agent_step_status, agent_step_runs)
 }
 
 _A, _E = "cast(answer as varchar)", "cast(cast(t as bigint) as varchar)"
@@ -175,12 +180,13 @@ ORACLES = {
     "prompt_table": PROMPT_SQL,
     "math_prompts": f"""select doc_id, md5('<s>SYSTEM: {S.MATH_SYSTEM_PROMPT}' || chr(10) || chr(10) || 'USER: /no_think '
         || regexp_replace(text, '\\s+$', '') || chr(10) || chr(10) || 'ASSISTANT:') as prompt_md5 from documents""",
+    "emotion_prompts": """select doc_id, md5('USER: ' || regexp_replace('/no_think ' || text, '\\s+$', '') || chr(10) || chr(10) || 'ASSISTANT:') as prompt_md5 from documents""",
     "agent_step_status": f"""with s as ({fx.STEPS_BODY}) select condition,
-        case (task_id + step) % 5 when 0 then 'run_tests' when 1 then 'search' when 2 then 'fly' when 3 then '-' else 'finish' end as action,
-        case (task_id + step) % 5 when 0 then 'ok' when 1 then 'missing_fields' when 2 then 'unsupported' when 3 then 'parse_error' else 'ok' end as status,
+        case (task_id + step) % 8 when 0 then 'run_tests' when 1 then 'search' when 2 then 'fly' when 4 then 'search' when 5 then 'read_file' when 7 then 'finish' else '-' end as action,
+        case (task_id + step) % 8 when 1 then 'missing_fields' when 2 then 'unsupported' when 3 then 'parse_error' when 6 then 'parse_error' else 'ok' end as status,
         count(*) as n from s group by 1, 2, 3""",
     "agent_step_runs": f"""with s as ({fx.STEPS_BODY}) select condition, task_id, count(*) as steps,
-        count(*) filter (where (task_id + step) % 5 in (1, 2, 3)) as parse_errors,
-        case when count(*) filter (where (task_id + step) % 5 = 4) > 0 then 'finished' else 'step_limit' end as exit_status
+        count(*) filter (where (task_id + step) % 8 in (1, 2, 3, 6)) as parse_errors,
+        case when count(*) filter (where (task_id + step) % 8 = 7) > 0 then 'finished' else 'step_limit' end as exit_status
         from s group by 1, 2""",
 }

@@ -179,15 +179,16 @@ LOC_BODY = """
 """
 
 PATCHES_BODY = """
- select o_orderkey as issue_id, 'repo' || (o_custkey % 4) as repo,
-  'diff --git a/src/m' || (o_orderkey % 7) || '/f' || (o_orderkey % 50) || '.py b/src/m' || (o_orderkey % 7) || '/f' || (o_orderkey % 50) || '.py' || chr(10) || '@@ -' || (1 + o_custkey % 40) || ',3 +' || (1 + o_custkey % 40) || ',4 @@' || chr(10) || '+x' ||
+ select o_orderkey as issue_id, 'repo' || (doc % 4) as repo,
+  'diff --git a/src/m' || (doc % 7) || '/f' || doc || '.py b/src/m' || (doc % 7) || '/f' || doc || '.py' || chr(10) || '@@ -' || (1 + o_custkey % 40) || ',3 +' || (1 + o_custkey % 40) || ',4 @@' || chr(10) || '+x' ||
   case when o_orderkey % 3 = 0 then chr(10) || 'diff --git a/tests/test_a.py b/tests/test_a.py' || chr(10) || '@@ -5 +5 @@' || chr(10) || '-y'
-       when o_orderkey % 5 = 0 then chr(10) || 'diff --git a/src/z.js b/src/z.js' || chr(10) || '@@ -9,2 +9,2 @@' || chr(10) || '-z' else '' end as patch from orders
+       when o_orderkey % 5 = 0 then chr(10) || 'diff --git a/src/z.js b/src/z.js' || chr(10) || '@@ -9,2 +9,2 @@' || chr(10) || '-z' else '' end as patch
+ from (select *, o_orderkey % (select count(*) from documents) as doc from orders)
 """
 
 FILES_KEYS_BODY = """
  select 'repo' || (doc_id % 4) as repo,
-  case when doc_id % 9 = 0 then 'tests/test_d' else 'src/m' || (doc_id % 7) || '/f' end || case when doc_id < 350 then doc_id % 50 else doc_id end || case when doc_id % 11 = 0 then '.js' else '.py' end as path,
+  case when doc_id % 9 = 0 then 'tests/test_d' else 'src/m' || (doc_id % 7) || '/f' end || doc_id || case when doc_id % 11 = 0 then '.js' else '.py' end as path,
   doc_id from documents
 """
 
@@ -197,27 +198,28 @@ def localization(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(from_body(spark, sf_dir, PATCHES_BODY, "orders"))
+    return spread(from_body(spark, sf_dir, PATCHES_BODY, "orders", "documents"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as one file; the first 350 have the names that patches use."""
-    keys = from_body(spark, sf_dir, FILES_KEYS_BODY, "documents")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return keys.join(docs, "doc_id")
+    """Every document as one file; patches name the files of all documents in turn."""
+    return from_body(spark, sf_dir, FILES_KEYS_BODY.replace("doc_id from documents", "doc_id, text from documents"), "documents")
 
 
 # --- agent steps, intervals, nested documents ------------------------------
 
 STEPS_BODY = """
  select case when conv_id % 2 = 0 then 'baseline' else 'variant' end as condition, conv_id as task_id, turn as step,
-  case (conv_id + turn) % 5
+  case (conv_id + turn) % 8
    when 0 then 'ok {"action":"run_tests","thought":"' || turn || '"} end'
    when 1 then '{"action":"search"}'
    when 2 then '{"action":"fly","query":"x"}'
    when 3 then 'no json here'
+   when 4 then '{"action":"fly","action":" search ","query":"q"}'
+   when 5 then '{"action":"read_file","path":NaN}'
+   when 6 then '{"action":"read_file","path":"a{"'
    else 'x {"action":"finish","summary":"a}b"} y' end as raw_output
- from conversations where role = 'assistant'
+ from conversations
 """
 
 
@@ -233,7 +235,8 @@ def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NESTED_BODY = """
- select event_id, '{"model":{"name":"' || event_type || '","args":{"k":' || k || '}},"limit":' || user_id || '}' as doc from ev
+ select event_id, '{"model":{"name":"' || event_type || '","args":{"k":' || k || '},"none":{}},"limit":' || user_id || ',"list":[{"a":1},2],"null":null,"deep":'
+  || repeat('{"d":', 14) || k || repeat('}', 14) || '}' as doc from ev
 """
 
 

@@ -1,5 +1,8 @@
 """Inputs that the fixtures of the registered queries do not hold."""
 
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from sweeplens.functions import layers as L
@@ -17,7 +20,7 @@ def test_long_numbers(one):
 
 
 def test_padded_actions_and_paths(spark, one):
-    got = one(a=P.action_status(F.lit('{"action": "search\\n", "query": "x"}')), b=P.action_status(F.lit('{"action": "\\tfly"}')))
+    got = one(a=P.action_status(P.first_json_object(F.lit('{"action": "search\\n", "query": "x"}'))), b=P.action_status(P.first_json_object(F.lit('{"action": "\\tfly"}'))))
     assert got == {"a": "ok", "b": "unsupported"}
     answers = spark.createDataFrame([('{"ranked_files": ["b.py\\n", "a.py\\t"]}', ["a.py", "b.py", "c.py"])], "raw_answer string, candidate_paths array<string>")
     row = Z.parse_rankings(answers).first()
@@ -40,3 +43,56 @@ def test_seed_needs_both_metrics(spark):
     entries, stats = B.seed_entries(spark.createDataFrame(rows, "i int, j int, math_score double, eq_score double"), 6)
     full, want = B.seed_entries(spark.createDataFrame(rows[:3], "i int, j int, math_score double, eq_score double"), 6)
     assert entries.count() == full.count() == 3 and stats == want
+
+
+def plain_object(text):
+    """The first object by walking over the characters; None when there is none."""
+    start = text.find("{")
+    depth, quoted, escaped = 0, False, False
+    for at in range(start, len(text)) if start >= 0 else ():
+        c = text[at]
+        if quoted:
+            quoted, escaped = (True, False) if escaped else (c != '"', c == "\\")
+            continue
+        quoted = c == '"'
+        depth += (c == "{") - (c == "}")
+        if not depth:
+            try:
+                return json.loads(text[start: at + 1])
+            except ValueError:
+                return None
+    return None
+
+
+def test_first_object_as_a_character_walk_finds_it(spark):
+    rng = random.Random(8)
+    pieces = ['{', '}', '"', '"a"', ':', ',', ' ', '\\"', '\\\\', '1', 'NaN', 'Infinity', 'null', '"k":', '{"x":', "'", 'é', '[', ']', '"a{":']
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(14))) for _ in range(1500)]
+    texts += ['{"a":1,"a":2}', '{"a":NaN,"b":-Infinity}', 'x {"a":{"b":"}"}} {', '{"a":"' + "y" * 100_000 + '\\\\"}', "{'a':1}", '{"a":1,}', '{"a":01}', "{}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").repartition(4)
+    found = {r["id"]: r["k"] for r in rows.select("id", F.map_keys(P.first_json_object(F.col("t"))).alias("k")).collect()}
+    for k, text in enumerate(texts):
+        want = plain_object(text)
+        assert (found[k] is None) == (want is None), text
+        assert want is None or list(dict.fromkeys(found[k])) == list(want), text
+
+
+def test_repeated_keys_and_odd_numbers_are_read(spark, one):
+    got = one(
+        a=P.action_status(P.first_json_object(F.lit('{"action":"search","action":"search","query":"q"}'))),
+        b=P.action_status(P.first_json_object(F.lit('{"action":"search","query":NaN}'))),
+        c=P.action_status(P.first_json_object(F.lit('{"action":"search","action":"fly","query":"q"}'))))
+    assert got == {"a": "ok", "b": "ok", "c": "unsupported"}
+    answers = [('{"ranked_files":["c.py"],"ranked_files":["b.py","b.py"]}', "json", ["b.py", "a.py", "c.py"]), ('{"ranking":["c.py"],"score":NaN}', "json", ["c.py", "a.py", "b.py"]),
+               ('{"ranked_files":"[\\"c.py\\"]"} b.py', "path_order_fallback", ["c.py", "b.py", "a.py"])]
+    rows = spark.createDataFrame([(t, ["a.py", "b.py", "c.py"]) for t, _, _ in answers], "raw_answer string, candidate_paths array<string>")
+    got = [(r["raw_answer"], r["parser"], r["ranked_files"]) for r in Z.parse_rankings(rows).collect()]
+    assert sorted(got) == sorted(answers)
+
+
+def test_spec_documents(one):
+    cases = {'{"layers":["0",2]}': [0, 2], '{"layers":"x","key":"0,1"}': None, '{"blocks":"0,2"}': [0, 1, 0, 1, 2, 3], '{"key":[1,2]}': [0, 1, 1, 2, 3],
+             '{"key":[1,2,3]}': None, '{"spec":"layers:3,1"}': [3, 1], '{"spec":[0,1,2]}': [0, 1, 2], '"0,1"': [0, 0, 1, 2, 3], "[0,9]": None, "7": None, "{}": None,
+             '{"layer_indices":[0,5]}': None, '{"blocks":"0,1;2,3"}': [0, 0, 1, 2, 2, 3]}
+    got = one(**{f"c{k}": L.parse_document(4, F.parse_json(F.lit(doc))) for k, doc in enumerate(cases)})
+    assert [got[f"c{k}"] for k in range(len(cases))] == list(cases.values())
