@@ -46,8 +46,8 @@ def stream_results(spark, d):
 
 
 def stream_progress(spark, d):
-    table = _run(spark, T.snapshots, T.progress(_events(spark, d), "ts", "event_type", "1 hour"))
-    return T.last_snapshot(spark, table).select(
+    table = _run(spark, T.changes, T.progress(_events(spark, d), "ts", "event_type", "1 hour"))
+    return T.current(spark, table, ["window_start", "event_type"]).select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "completed")
 
 
@@ -55,8 +55,8 @@ def stream_run_summary(spark, d):
     records = _events(spark, d).select(
         "ts", F.col("event_type").alias("condition"), F.expr("user_id || '_' || k").alias("task_id"),
         F.expr("k < 40").alias("success"), F.col("k").alias("steps"))
-    table = _run(spark, T.snapshots, T.run_summary(records, "ts", ["condition", "task_id"], "60 days"))
-    return T.last_snapshot(spark, table)
+    table = _run(spark, T.changes, T.run_summary(records, "ts", ["condition", "task_id"], "60 days"))
+    return T.current(spark, table, ["condition"])
 
 
 def stream_scores(spark, d):
@@ -68,6 +68,16 @@ def stream_scores(spark, d):
     return out.select("cfg_id", *_r("score"), "responses", "valid_final_answer_count")
 
 
+def stream_emotions(spark, d):
+    """Emotion responses scored as a stream, then averaged per configuration."""
+    lines = T.file_stream(spark, d, "lineitem.parquet", partitions=spark.sparkContext.defaultParallelism)
+    responses = spark.sql(fx.EQ_RESPONSES_BODY.replace("from lineitem", "from {lines}"), lines=lines).withColumn(
+        "reference", F.array("ref1", "ref2", "ref3", "ref4"))
+    table = _run(spark, T.ingest, T.scored_emotions(responses).select("cfg_id", "score"))
+    out = spark.read.parquet(table).groupBy("cfg_id").agg(F.avg("score").alias("score"), F.count("*").alias("responses"))
+    return out.select("cfg_id", *_r("score"), "responses")
+
+
 def queue_progress(spark, d):
     ev = fx.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = T.queue_status(ev, ev.filter("value > 20"), "user_id", "event_type", "ts")
@@ -101,6 +111,16 @@ def wrapped_records(spark, d):
     return R.summarize(out).select("condition", "tasks", "successes", *_r("avg_steps", "avg_extra_layers"))
 
 
+def source_rejects(spark, d):
+    """Records without a task and conditions without a name, with their reasons."""
+    records = fx.table(spark, d, "customer").selectExpr("""'{"condition":"c' || (c_custkey % 3) || '"' ||
+      case when c_custkey % 4 > 0 then ',"task_id":"t' || c_custkey || '"' else '' end || '}' as value""")
+    named = fx.table(spark, d, "supplier").selectExpr("""'[{"name":"a"},{"extra_layers":' || (s_suppkey % 5) || '}]' as value""")
+    out = readers.run_record_rejects(spark, _docs(records, spark, "records"), docs=False).unionByName(
+        readers.condition_rejects(spark, _docs(named, spark, "named"), docs=False))
+    return out.groupBy("record", "reason").agg(F.count("*").alias("n"))
+
+
 def probe_sets(spark, d):
     """Question documents of at most fifty parts, half with references on the other field."""
     ref = F.struct((F.col("p_size") % 11).cast("double").alias("emotion1_score"), F.lit(3.0).alias("emotion2_score"), F.lit(4.0).alias("emotion4_score"))
@@ -144,12 +164,33 @@ def example_files(spark, d):
 
 
 def score_maps(spark, d):
-    """``{key: payload}`` documents of one price group each."""
-    row = F.struct(F.expr("'layers:' || (p_partkey % 24) || ',' || p_size % 24").alias("key"), F.struct(F.col("p_retailprice").alias("math_score")).alias("value"))
-    docs = fx.table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 20)).agg(F.to_json(F.map_from_entries(F.collect_list(row))).alias("value"))
-    raw = readers.score_map(spark, _docs(docs.select("value"), spark, "scores"), docs=False)
+    """``{key: payload}`` documents of one price group each: spellings of one key, and keys given twice."""
+    parts = fx.table(spark, d, "part").selectExpr("p_partkey as k", "cast(p_partkey % 5 as int) as i", "cast(p_size % 7 + 5 as int) as j", "p_retailprice as v")
+    spelling = F.expr("case k % 3 when 0 then i || ',' || j when 1 then '(' || i || ',' || j || ')' else '( ' || i || ' , ' || j || ' )' end")
+    line = F.concat(F.lit('"'), spelling, F.lit('":{"math_score":'), F.col("v"), F.lit("}"))
+    rows = parts.groupBy(F.floor(F.col("k") / 20).alias("g")).agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("lines"))
+    docs = rows.orderBy("g").select(F.concat(F.lit("{"), F.array_join(F.transform("lines", lambda x: x["line"]), ","), F.lit("}")).alias("value"))
+    raw = readers.score_map(spark, _docs(docs.coalesce(1), spark, "scores"), docs=False)
     kept, _ = A.score_table(raw, N)
-    return kept.groupBy().agg(F.count("*").alias("keys"))
+    return kept.select(F.array_join("layer_key", ",").alias("layers"), *_r("score"))
+
+
+def score_rows(spark, d):
+    """A score table with arrival numbers and payload texts, read and reduced to one score for each key."""
+    path = scratch_path(spark, "score_rows")
+    fx.table(spark, d, "lineitem").selectExpr("(l_partkey % 9) || ',' || (9 + l_suppkey % 9) as raw_key",
+        "case when l_linenumber = 7 then 'none' else '{\"score\":' || l_quantity || '}' end as payload",
+        "l_orderkey * 8 + l_linenumber as seq").write.parquet(path)
+    kept, _ = A.score_table(readers.score_rows(spark, path), N)
+    return kept.select(F.array_join("layer_key", ",").alias("layers"), *_r("score"))
+
+
+def route_files(spark, d):
+    """Route documents, every other one under ``routes``."""
+    docs = fx.table(spark, d, "supplier").selectExpr("""case s_suppkey % 2 when 0 then '{"routes":' else '' end || '{"r' || s_suppkey || '":{"n":'
+      || (s_suppkey % 9) || '}}' || case s_suppkey % 2 when 0 then '}' else '' end as value""")
+    out = readers.routes(spark, _docs(docs, spark, "routes"), docs=False)
+    return out.select("condition", F.to_json("route").alias("route"))
 
 
 def candidate_csv(spark, d):
@@ -220,8 +261,8 @@ def trajectory_files(spark, d):
 
 QUERIES = {
     f.__name__: f for f in (
-        stream_results, stream_progress, stream_run_summary, stream_scores, queue_progress, jsonl_records,
-        wrapped_records, probe_sets, condition_files, manifest_files, example_files, score_maps, candidate_csv,
+        stream_results, stream_progress, stream_run_summary, stream_scores, stream_emotions, queue_progress, jsonl_records,
+        wrapped_records, source_rejects, probe_sets, condition_files, manifest_files, example_files, score_maps, score_rows, route_files, candidate_csv,
         config_file, predictions_upsert, summary_files, top_files, report_files, trajectory_files)
 }
 
@@ -239,6 +280,8 @@ ORACLES = {
          when wait_s < 3600 then printf('%.1fm', wait_s / 60) else cast(floor(wait_s / 3600) as bigint) || 'h ' || cast(floor((wait_s % 3600) / 60) as bigint) || 'm' end as eta from q""",
     "jsonl_records": f"""with {CR.RECORDS_SQL} select condition, tasks, successes, round(avg_steps, 9) as avg_steps, round(avg_overhead_fraction, 9) as avg_overhead_fraction from summ""",
     "wrapped_records": f"""with {fx.EV_SQL} select event_type as condition, count(*) as tasks, count(*) filter (where k < 40) as successes, round(avg(k), 9) as avg_steps, 0e0 as avg_extra_layers from ev group by 1""",
+    "source_rejects": """select '{"condition":"c' || (c_custkey % 3) || '"}' as record, 'no task_id' as reason, count(*) as n from customer where c_custkey % 4 = 0 group by 1
+        union all select '{"extra_layers":' || (s_suppkey % 5) || '}', 'no name', count(*) from supplier group by 1""",
     "probe_sets": """select 'p' || p_partkey as qid, 'Feel ' || p_name as prompt, (p_size % 11) || ',3,5,4' as reference from part""",
     "condition_files": """select case s_suppkey % 4 when 0 then 'a' when 1 then 'b' when 2 then 'd' else 'e' end || s_suppkey as condition,
         cast(case when s_suppkey % 4 = 3 then 0 else s_suppkey % 9 end as int) as extra_layers, case when s_suppkey % 4 = 1 then 0.5e0 else 0e0 end as overhead_fraction from supplier
@@ -246,7 +289,13 @@ ORACLES = {
     "manifest_files": """select 'set' || (c_custkey // 40) as dataset_name, 'test' as split, cast(row_number() over (partition by c_custkey // 40 order by 'task_' || c_custkey) - 1 as int) as position,
         'task_' || c_custkey as instance_id from customer""",
     "example_files": f"""with f as ({fx.LOC_BODY}) select cast(issue_id as varchar) as issue_id, '' as repo, min(file_path) as ground_truth, cast(count(*) as int) as files, arg_min(h, file_path) as first_snippet from f group by 1""",
-    "score_maps": """select count(distinct (p_partkey % 24, p_size % 24)) as keys from part""",
+    "score_maps": """with p as (select p_partkey as k, p_partkey // 20 as g, cast(p_partkey % 5 as int) as i, cast(p_size % 7 + 5 as int) as j, p_retailprice as v from part),
+        t as (select g, k % 3 as spelling, i, j, min(k) as place, arg_max(v, k) as v from p group by all)
+        select array_to_string(list_concat(range(0, j), range(i, 24)), ',') as layers, round(arg_max(v, (g, place)), 9) as score from t group by i, j""",
+    "score_rows": """select array_to_string(list_concat(range(0, cast(9 + l_suppkey % 9 as int)), range(cast(l_partkey % 9 as int), 24)), ',') as layers,
+        round(arg_max(l_quantity, l_orderkey * 8 + l_linenumber), 9) as score from lineitem where l_linenumber < 7 group by l_partkey % 9, l_suppkey % 9""",
+    "route_files": """select 'r' || s_suppkey as condition, '{"n":' || (s_suppkey % 9) || '}' as route from supplier""",
+    "stream_emotions": f"""with {CS.EQ_SQL} select cfg_id, round(avg(score), 9) as score, count(*) as responses from escored group by 1""",
     "candidate_csv": f"""with {CU.VECTOR_SQL} select id as candidate_id, cast(len(layer_key) - 24 as int) as extra_layers, round(rel, 9) as relative_overhead, counts_csv from ct""",
     "config_file": f"""with {CU.VECTOR_SQL} select 3 as source_line, 'layers:' || array_to_string(range(0, 24), ',') as spec, 24 as steps
         union all select cast(rank + 3 as int), 'layers:' || array_to_string(list_sort(layer_key), ','), cast(len(layer_key) as int) from top where rank <= 60""",

@@ -47,35 +47,66 @@ def score_rows(spark: SparkSession, path: str, fmt: str = "parquet", order: str
 
 
 def score_map(spark: SparkSession, path: str, docs: bool = True) -> DataFrame:
-    """``{key: payload}`` documents to score rows in key order."""
-    doc = variants(spark, path, docs)
-    items = doc.lateralJoin(spark.tvf.variant_explode(F.col("doc").outer()))
-    return items.select(F.col("key").alias("raw_key"), F.col("value").alias("payload"), F.col("pos").cast("long").alias("seq"))
+    """``{key: payload}`` documents to score rows in textual order.
 
+    ``seq`` orders rows as they stand: by file time, file, document and place of
+    the key.  A key given twice in one document keeps its first place and its
+    last payload.
+    """
+    text = spark.read.text(path, wholetext=docs)
+    meta = F.col("_metadata")
+    document = F.struct(meta["file_modification_time"].alias("time"), meta["file_path"].alias("file"),
+                        meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
+    members = F.posexplode(F.map_entries(F.from_json("value", "map<string, variant>")))
+    items = text.select("value", document.alias("document")).select("document", members.alias("place", "m"))
+    items = items.select("document", "place", F.col("m.key").alias("raw_key"), F.col("m.value").alias("payload"))
+    one = items.groupBy("document", "raw_key").agg(F.max_by("payload", "place").alias("payload"), F.min("place").alias("place"))
+    return one.select("raw_key", "payload", F.struct("document.*", "place").alias("seq"))
 
-def run_records(spark: SparkSession, path: str, docs: bool | None = None) -> DataFrame:
-    """Run records from JSON lines, a JSON array or ``{"runs": [...]}``."""
+
+def _records(spark: SparkSession, path: str, docs: bool | None) -> DataFrame:
     docs = not path.endswith(".jsonl") if docs is None else docs
-    rows = _listed(spark, path, schemas.RUN_RECORD, "runs", docs).filter("task_id is not null")
+    return _listed(spark, path, schemas.RUN_RECORD, "runs", docs)
+
+
+def run_records(spark: SparkSession, path: str, docs: bool | None = None) -> DataFrame:
+    """Run records from JSON lines, a JSON array or ``{"runs": [...]}``; those without a task go to the rejects."""
+    rows = _records(spark, path, docs).filter("task_id is not null")
     return rows.withColumn("extra_layers", F.coalesce("extra_layers", F.lit(0))).withColumn(
         "overhead_fraction", F.coalesce("overhead_fraction", F.lit(0.0)))
 
 
-def conditions(spark: SparkSession, path: str, docs: bool = True) -> DataFrame:
-    """Condition manifests in any of three shapes: name, attributes, full body.
+def run_record_rejects(spark: SparkSession, path: str, docs: bool | None = None) -> DataFrame:
+    """What ``run_records`` leaves out: the record's readable fields as JSON, and why."""
+    rows = _records(spark, path, docs).filter("task_id is null")
+    return rows.select(F.to_json(F.struct("*")).alias("record"), F.lit("no task_id").alias("reason"))
 
-    A list under ``conditions``, a map under ``conditions`` or at top level, or
-    a bare list.  Entries that are no objects become ``{"value": entry}``.
-    """
+
+def _condition_entries(spark: SparkSession, path: str, docs: bool) -> DataFrame:
     inner = F.coalesce(F.try_variant_get("doc", "$.conditions", "variant"), F.col("doc"))
     items = variants(spark, path, docs).select(inner.alias("_c")).lateralJoin(
         spark.tvf.variant_explode(F.col("_c").outer()))
     own_name = F.try_variant_get("value", "$.name", "string")
-    name = F.coalesce(own_name, F.col("key"))
-    return items.filter(name.isNotNull()).select(
-        name.alias("condition"), F.col("value").alias("body"),
-        F.coalesce(F.try_variant_get("value", "$.extra_layers", "int"), F.lit(0)).alias("extra_layers"),
-        F.coalesce(F.try_variant_get("value", "$.overhead_fraction", "double"), F.lit(0.0)).alias("overhead_fraction"))
+    return items.select(F.coalesce(own_name, F.col("key")).alias("condition"), F.col("value").alias("body"))
+
+
+def conditions(spark: SparkSession, path: str, docs: bool = True) -> DataFrame:
+    """Condition manifests in any of three shapes: name, attributes, full body.
+
+    A list under ``conditions``, a map under ``conditions`` or at top level, or
+    a bare list.  Entries that are no objects become ``{"value": entry}``; those
+    without a name go to the rejects.
+    """
+    return _condition_entries(spark, path, docs).filter("condition is not null").select(
+        "condition", "body",
+        F.coalesce(F.try_variant_get("body", "$.extra_layers", "int"), F.lit(0)).alias("extra_layers"),
+        F.coalesce(F.try_variant_get("body", "$.overhead_fraction", "double"), F.lit(0.0)).alias("overhead_fraction"))
+
+
+def condition_rejects(spark: SparkSession, path: str, docs: bool = True) -> DataFrame:
+    """What ``conditions`` leaves out: entries without a name."""
+    return _condition_entries(spark, path, docs).filter("condition is null").select(
+        F.to_json("body").alias("record"), F.lit("no name").alias("reason"))
 
 
 def routes(spark: SparkSession, path: str, docs: bool = True) -> DataFrame:

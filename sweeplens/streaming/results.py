@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sweeplens.functions.text import eta_text
+from sweeplens.operators.ordering import latest
 from sweeplens.operators.scoring import score_emotions, score_math
 from sweeplens.sources.writers import append_results
 
@@ -41,19 +42,23 @@ def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     return _start(stream, lambda df, batch: append_results(df, table, batch), checkpoint, "append")
 
 
-def snapshots(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keep the full aggregate of each micro-batch (complete mode)."""
-    return _start(stream, lambda df, batch: append_results(df, table, batch), checkpoint, "complete")
+def changes(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Append the rows of an aggregate that a micro-batch changed (update mode); read them through ``current``.
+
+    Only changed keys leave the state store, and keys behind the watermark are
+    dropped from it: neither the output of a batch nor the state grows with what
+    was finished before.
+    """
+    return _start(stream, lambda df, batch: append_results(df, table, batch), checkpoint, "update")
 
 
-def last_snapshot(spark: SparkSession, table: str) -> DataFrame:
-    rows = spark.read.parquet(table)
-    newest = rows.agg(F.max("batch")).scalar()
-    return rows.filter(F.col("batch") == newest).drop("batch")
+def current(spark: SparkSession, table: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key among the changes."""
+    return latest(spark.read.parquet(table), keys, ["batch"]).drop("batch")
 
 
 def progress(stream: DataFrame, ts: str, worker: str, window: str = "5 minutes", delay: str = "1 hour") -> DataFrame:
-    """Finished results per time window and worker."""
+    """Finished results per time window and worker; a window's state is dropped once ``delay`` has passed."""
     timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
     return timed.groupBy(F.window("_ts", window), worker).agg(F.count("*").alias("completed")).select(
         F.col("window.start").alias("window_start"), worker, "completed")
@@ -76,7 +81,11 @@ def with_eta(df: DataFrame, remaining: str = "remaining", rate: str = "rate") ->
 
 
 def run_summary(stream: DataFrame, ts: str, keys: list[str], delay: str = "1 day") -> DataFrame:
-    """Per-condition summary of run records, repeated records dropped."""
+    """Per-condition summary of run records, repeated records dropped.
+
+    The keys seen are forgotten behind the watermark; what stays is one row for
+    each condition.
+    """
     timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
     return timed.dropDuplicatesWithinWatermark(keys).groupBy("condition").agg(
         F.count("*").alias("tasks"), F.count_if("success").alias("successes"), F.sum("steps").alias("steps"))

@@ -1,11 +1,13 @@
 """Agent runs, document readers and writers, and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from sweeplens.functions import layers as L
+from sweeplens.operators import analysis as A
 from sweeplens.operators import grid as G
 from sweeplens.operators import runs as R
 from sweeplens.sources import readers, writers
@@ -56,19 +58,47 @@ def test_missing_attributes_fail(spark):
     assert R.attach_attributes(runs, attrs, strict=False).count() == 2
 
 
-def test_short_list_is_bounded(spark):
-    with pytest.raises(Exception, match="more than 2 rows"):
-        G.grid(spark.range(2).toDF("t"), spark.range(5).toDF("c"), limit=2).collect()
-    assert G.grid(spark.range(2).toDF("t"), spark.range(5).toDF("c"), limit=5).count() == 10
+def test_grid_pairs_everything_once(spark):
+    for n in (0, 1, 64, 200):
+        entries = spark.range(n).select(F.col("id").alias("c"), (F.col("id") % 3).alias("extra"))
+        got = G.grid(spark.range(7).toDF("t"), entries).collect()
+        assert sorted(map(tuple, got)) == [(t, c, c % 3) for t in range(7) for c in range(n)]
+    repeated = spark.createDataFrame([("a",), ("a",), (None,)], "c string")
+    assert sorted(str(r["c"]) for r in G.grid(spark.range(1).toDF("t"), repeated).collect()) == ["None", "a", "a"]
+
+
+def test_unfinished_pairs(spark, monkeypatch):
+    rng = random.Random(4)
+    tasks, entries = list(range(40)), [f"c{k}" for k in range(150)]
+    done = {(t, c) for t in tasks for c in entries if rng.random() < 0.6} | {(99, "c1"), (1, "other")}
+    for blocks in (1024, 1):  # a list that is sent to all tasks, and one that is shuffled
+        monkeypatch.setattr(G, "BROADCAST_BLOCKS", blocks)
+        frame = spark.createDataFrame([(t, "x") for t in [*tasks, None]], "task bigint, note string")
+        finished = spark.createDataFrame([*done, *list(done)[:50], (None, "c1"), (1, None)], "task bigint, condition string")
+        got = G.unfinished(frame, spark.createDataFrame([(c,) for c in [*entries, None]], "condition string"), finished, "task", "condition")
+        assert got.columns == ["task", "note", "condition"]
+        want = {(t, c) for t in [*tasks, None] for c in [*entries, None]} - done
+        assert sorted(((r["task"], r["condition"]) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_only_row(spark):
+    table = spark.range(1).toDF("a")
+    assert spark.range(1).select(G.only_row(table).alias("x")).first()["x"] == [(0,)]
+    with pytest.raises(Exception, match="more than one row"):
+        spark.range(1).select(G.only_row(spark.range(2).toDF("a")).alias("x")).collect()
 
 
 def test_flatten(spark):
     doc = {"model": {"model_name": "m", "model_kwargs": {"temperature": 0.5, "x": None}}, "agent": {"cost_limit": 0, "tags": [1, 2], "none": {}}}
     rows = spark.createDataFrame([(1, json.dumps(doc))], "id int, d string").select("id", F.parse_json("d").alias("doc"))
-    got = {r["path"]: r["value"] for r in R.flatten_json(rows, ["id"], max_depth=4).collect()}
+    got = {r["path"]: r["value"] for r in R.flatten_json(rows, ["id"]).collect()}
     assert got == {"model.model_name": '"m"', "model.model_kwargs.temperature": "0.5", "model.model_kwargs.x": "null", "agent.cost_limit": "0", "agent.tags": "[1,2]"}
-    with pytest.raises(Exception, match="nested deeper"):
-        R.flatten_json(rows, ["id"], max_depth=1).collect()
+    deep = 1
+    for _ in range(15):
+        deep = {"d": deep}
+    rows = spark.createDataFrame([(1, json.dumps(deep)), (2, "{}"), (3, "[1]"), (4, "5"), (5, '{"a":{}}'), (6, None)], "id int, d string")
+    got = R.flatten_json(rows.select("id", F.try_parse_json("d").alias("doc")), ["id"]).collect()
+    assert [(r["id"], r["path"], r["value"], r["spec"]) for r in got] == [(1, ".".join("d" * 15), "1", ".".join("d" * 15) + "=1")]
 
 
 # --- readers and writers ---------------------------------------------------
@@ -141,6 +171,14 @@ def test_reports_and_trajectories(spark, tmp_path):
 def test_score_tables(spark, tmp_path):
     rows = readers.score_map(spark, put(tmp_path / "s.json", {"(0,1)": {"score": 1}, "layers:0": 2.5}))
     assert {r["raw_key"] for r in rows.collect()} == {"(0,1)", "layers:0"}
+    twice = readers.score_map(spark, put(tmp_path / "d.json", '{"0,3": 1, "x": 5, "(0,3)": 2, "x": 6}'))
+    assert [(r["raw_key"], r["p"]) for r in twice.orderBy("seq").select("raw_key", F.to_json("payload").alias("p")).collect()] == [("0,3", "1"), ("x", "6"), ("(0,3)", "2")]
+    kept, _ = A.score_table(twice, 4)
+    assert [(r["layer_key"], r["score"]) for r in kept.collect()] == [([0, 1, 2, 0, 1, 2, 3], 2.0)]
+    lines = tmp_path / "many"
+    put(lines / "1.jsonl", "".join(json.dumps({"0,2": k}) + "\n" for k in range(50)))
+    assert A.score_table(readers.score_map(spark, str(lines), docs=False), 4)[0].first()["score"] == 49.0
+    assert readers.score_map(spark, put(tmp_path / "bad.json", "[1]")).count() == 0
     spark.createDataFrame([("0,1", "1")], "raw_key string, payload string").write.parquet(str(tmp_path / "noseq"))
     with pytest.raises(ValueError, match="seq"):
         readers.score_rows(spark, str(tmp_path / "noseq"))
@@ -197,8 +235,8 @@ def test_ingest_equals_batch(spark, folder):
 def test_progress_equals_batch(spark, folder):
     df, path, base = folder
     agg = T.progress(T.file_stream(spark, path, "*.parquet", 1), "ts", "worker", "5 minutes", "10 days")
-    T.snapshots(agg, f"{base}/p", f"{base}/pc").awaitTermination()
-    got = sorted(map(tuple, T.last_snapshot(spark, f"{base}/p").collect()))
+    T.changes(agg, f"{base}/p", f"{base}/pc").awaitTermination()
+    got = sorted(map(tuple, T.current(spark, f"{base}/p", ["window_start", "worker"]).collect()))
     want = sorted(map(tuple, df.groupBy(F.window("ts", "5 minutes").start.alias("w"), "worker").count().collect()))
     assert got == want
 
@@ -207,6 +245,22 @@ def test_duplicate_records_count_once(spark, tmp_path):
     rows = spark.createDataFrame([("c", "t1", True, 3), ("c", "t1", True, 3), ("c", "t2", False, 4)], "condition string, task_id string, success boolean, steps int").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     agg = T.run_summary(T.file_stream(spark, str(tmp_path / "in"), "*.parquet", 1), "ts", ["condition", "task_id"])
-    T.snapshots(agg, str(tmp_path / "s"), str(tmp_path / "sc")).awaitTermination()
-    r = T.last_snapshot(spark, str(tmp_path / "s")).first()
+    T.changes(agg, str(tmp_path / "s"), str(tmp_path / "sc")).awaitTermination()
+    r = T.current(spark, str(tmp_path / "s"), ["condition"]).first()
     assert (r["tasks"], r["successes"], r["steps"]) == (2, 1, 7)
+
+
+def test_state_shrinks_behind_the_watermark(spark, tmp_path):
+    """Ten files, each an hour after the last: windows that can no longer change leave the state and are not written again."""
+    for hour in range(10):
+        rows = [(f"w{k % 3}", k, f"2024-01-01 {hour:02d}:{k % 60:02d}:00") for k in range(60)]
+        frame = spark.createDataFrame(rows, "worker string, k int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    agg = T.progress(T.file_stream(spark, str(tmp_path / "in"), "*.parquet", 1), "ts", "worker", "10 minutes", "30 minutes")
+    query = T.changes(agg, str(tmp_path / "out"), str(tmp_path / "check"))
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(held) == 10 and max(held[2:]) <= 2 * 18 + 3 * 3 and sum(p["stateOperators"][0]["numRowsRemoved"] for p in query.recentProgress) > 80
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == written.select("window_start", "worker").distinct().count() == 180
+    assert T.current(spark, str(tmp_path / "out"), ["window_start", "worker"]).agg(F.sum("completed")).first()[0] == 600
