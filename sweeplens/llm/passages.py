@@ -161,7 +161,6 @@ def _stretches(rule: Rule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["id"].to_numpy()
-            found = []
             for a, b in textarrays.slices(batch["text"]):
                 s = _signatures(batch["text"].slice(a, b - a), rule)
                 lists = batch["keys"].slice(a, b - a)
@@ -173,7 +172,7 @@ def _stretches(rule: Rule):
                 np.add.at(change, np.maximum(s.begin[at], middle - rule.stretch + 1), 1)
                 np.add.at(change, np.minimum(middle, s.end[at] - rule.stretch) + 1, -1)
                 start = np.flatnonzero(np.cumsum(change)[:-1])
-                found.append((_stretch_hashes(s.shingles, rule.stretch)[start], ids[a + s.of[start]], np.full(start.size, everything)))
+                found = [(_stretch_hashes(s.shingles, rule.stretch)[start], ids[a + s.of[start]], np.full(start.size, everything))]
                 for zone, step in enumerate((1, 2, -1, -2)):
                     far = middle + step * rule.beside
                     inside = (far >= 0) & (far < s.of.size)
@@ -182,8 +181,7 @@ def _stretches(rule: Rule):
                     joined = textarrays.mix(key[inside] + textarrays.mix(least + np.uint64(zone + 101)))
                     some = least != np.uint64(2**64 - 1)
                     found.append((joined[some], ids[a + doc[inside][some]], np.left_shift(1, s.number[at][inside][some])))
-            if found:
-                yield _packed(*(np.concatenate(x) for x in zip(*found)))
+                yield _packed(*(np.concatenate(x) for x in zip(*found)))  # slice by slice: a batch has millions
 
     return run
 
@@ -346,28 +344,52 @@ _SPAN = ["a", "b", "hash_b", "begin", "end", "words", "begin_a", "end_a"]
 _SPAN_TYPE = "a bigint, b bigint, hash_b bigint, begin bigint, end bigint, words bigint, begin_a bigint, end_a bigint"
 
 
+@dataclass
+class _Side:
+    """Shingles of some texts, and the characters before each byte."""
+
+    words: textarrays.Words
+    hash: np.ndarray
+    first: np.ndarray
+    chars: np.ndarray
+
+    @classmethod
+    def of(cls, texts: pa.Array, rule: Rule) -> _Side:
+        w = textarrays.words(texts)
+        h, first, _ = textarrays.shingles(w.hash, w.first, rule.words)
+        return cls(w, h, first, np.concatenate(([0], np.cumsum((w.raw & 0xC0) != 0x80))))
+
+    def shingles(self, i: int, rule: Rule) -> np.ndarray:
+        """Of text ``i``; none when it has fewer words than a shingle."""
+        enough = self.words.first[i + 1] - self.words.first[i] >= rule.words
+        return self.hash[self.first[i]: self.first[i + 1]] if enough else self.hash[:0]
+
+    def span(self, i: int, begin: int, end: int, rule: Rule) -> tuple[int, int]:
+        """First character and end of a stretch of shingles."""
+        w, at = self.words, self.words.first[i]
+        base = self.chars[w.text_start[i]]
+        return self.chars[w.start[at + begin]] - base, self.chars[w.end[at + end + rule.words - 2]] - base
+
+
 def _verified(rule: Rule):
+    """Passages of pairs of texts; rows of one first text stand together, and it is hashed once for all of a batch's."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = 1 + textarrays.SLICE_BYTES // 16384
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                sides = []
-                for name in ("text_a", "text_b"):
-                    w = textarrays.words(part[name])
-                    h, first, _ = textarrays.shingles(w.hash, w.first, rule.words)
-                    chars = np.concatenate(([0], np.cumsum((w.raw & 0xC0) != 0x80)))  # characters before each byte
-                    sides.append((w, h, first, chars))
+            ids = batch["a"].to_numpy()
+            new = np.append(True, ids[1:] != ids[:-1])
+            for at, to in textarrays.slices(batch["text_b"]):
+                part = batch.slice(at, to - at)
+                lead = np.cumsum(np.append(True, new[at + 1: to])) - 1  # the first row of a part begins a lead
+                heads = np.flatnonzero(np.append(True, np.diff(lead) > 0))
+                others = _Side.of(part["text_b"], rule)
                 rows = []
-                for i in range(part.num_rows):
-                    (w, h, first, chars), (v, g, second, letters) = sides
-                    if not w.first[i + 1] - w.first[i] >= rule.words <= v.first[i + 1] - v.first[i]:
-                        continue
-                    found = matches(h[first[i]: first[i + 1]], g[second[i]: second[i + 1]], rule)
-                    for a0, a1, b0, b1 in found:
-                        x, y = w.first[i], v.first[i]
-                        rows.append((i, letters[v.start[y + b0]] - letters[v.text_start[i]], letters[v.end[y + b1 + rule.words - 2]] - letters[v.text_start[i]],
-                                     b1 - b0 + rule.words - 1, chars[w.start[x + a0]] - chars[w.text_start[i]], chars[w.end[x + a1 + rule.words - 2]] - chars[w.text_start[i]]))
+                for h0, h1 in textarrays.slices(part["text_a"].take(pa.array(heads))):
+                    leads = _Side.of(part["text_a"].take(pa.array(heads[h0:h1])), rule)
+                    low, high = np.searchsorted(lead, (h0, h1))
+                    for i in range(low, high):
+                        n = int(lead[i]) - h0
+                        for a0, a1, b0, b1 in matches(leads.shingles(n, rule), others.shingles(i, rule), rule):
+                            rows.append((i, *others.span(i, b0, b1, rule), b1 - b0 + rule.words - 1, *leads.span(n, a0, a1, rule)))
                 columns = [pa.array(np.array(c, dtype=np.int64)) for c in (zip(*rows) if rows else [[]] * 6)]
                 of = columns[0]
                 yield pa.RecordBatch.from_arrays([part["a"].take(of), part["b"].take(of), part["hash_b"].take(of), *columns[1:]], names=_SPAN)
@@ -375,6 +397,20 @@ def _verified(rule: Rule):
     return run
 
 
+PARTNERS = 256  # about so many pairs of one first text are verified by one task
+
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Both texts beside each pair, the pairs of a first text in portions that may go to different tasks."""
+    portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("portions"))
+    portion = F.pmod(F.xxhash64("b"), F.col("portions")).alias("portion")
+    dealt = pairs.join(portions, "a").select("a", "b", portion)
+    leads = texts.join(portions, F.col("id") == F.col("a")).select(
+        "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("portions") - 1)).alias("portion"), F.col("text").alias("text_a"))
+    others = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.xxhash64("text").alias("hash_b"))
+    return dealt.join(others, "b").join(leads, ["a", "portion"]).select("a", "b", "hash_b", "text_a", "text_b")
+
+
 def repeated(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of a document that an earlier one (smaller id) has too: a written table.
 
@@ -401,9 +437,7 @@ def repeated(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id",
     pairs = written(both.groupBy("a", "b").agg(F.bit_or("mask").alias("mask")).where(F.bit_count("mask") >= rule.enough).select("a", "b"), "pairs")
     named = IdFilter(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     texts = named.passing(rows, "id")
-    both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", F.xxhash64("text_b").alias("hash_b"), "text_a", "text_b"))
+    both = _with_texts(pairs, texts)
     spans = both.mapInArrow(_verified(rule), _SPAN_TYPE)
     return written(spans.select(F.col("b").alias("doc_id"), F.col("hash_b").alias("text_hash"), "begin", "end", "words",
                                 F.col("a").alias("first_doc_id"), F.col("begin_a").alias("first_begin"), F.col("end_a").alias("first_end")), "spans")
