@@ -100,14 +100,33 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
+FOREST = 1 << 18  # edges that are held together when edges are contracted inside a task
+
+
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task as a forest, some at a time: what is left of the earlier ones meets the next."""
+    a = b = np.empty(0, dtype=np.int64)
+    held = 0
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def contract() -> tuple[np.ndarray, np.ndarray]:
+        return forest(*(np.concatenate([x[i] for x in [(a, b), *parts]]) for i in (0, 1)))
+
     for batch in batches:
-        a, b = forest(batch["a"].to_numpy(), batch["b"].to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        parts.append((batch["a"].to_numpy(), batch["b"].to_numpy()))
+        held += batch.num_rows
+        if held >= FOREST:
+            a, b = contract()
+            parts, held = [], 0
+            if a.size >= FOREST:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a = b = np.empty(0, dtype=np.int64)
+    a, b = contract()
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def contracted(edges: DataFrame) -> DataFrame:
-    """Replace the edges of each Arrow batch by a spanning forest (node a, root b)."""
+    """Replace the edges of each task by spanning forests (node a, root b) of as many edges as fit in memory."""
     return edges.select("a", "b").mapInArrow(_local_forest, "a bigint, b bigint")
 
 
@@ -118,23 +137,26 @@ def components(edges: DataFrame) -> DataFrame:
     above a node hang onto its smallest neighbour, then those below.  Each is
     one minimum per node and a join, so the number of rounds grows with the
     logarithm of the size, for chains and hubs alike.  Each round is a written
-    table.  Nodes without an edge are not in the result.
+    table, contracted inside its tasks.  Nodes without an edge are not in the
+    result.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
-    now = written(contracted(edges).distinct(), "edges")
+    now = written(contracted(edges), "edges")
+    seen = _sum(now)
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = (both.where("b > a").join(low, both["a"] == low["u"])
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         down = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
         small = (down.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
                  .union(low.select("a", F.col("m").alias("b"))).distinct())
-        after = written(small, "edges")
-        if _sum(after) == _sum(now):
+        after = written(contracted(small), "edges")
+        size = _sum(after)
+        if size == seen:
             return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now = after
+        now, seen = after, size
 
 
 def _sum(edges: DataFrame) -> tuple:
