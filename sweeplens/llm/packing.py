@@ -166,9 +166,10 @@ def _pieces(model, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         seen = np.zeros(size + 1, dtype=np.int64)  # pieces of each length so far in this part
+        encoder = tokens.encoder(model.value)
         for batch in batches:
             for a, b in textarrays.slices(batch.column(1), tokens.SLICE):
-                ids, first = tokens.encoder(model.value).encode(batch.column(1).slice(a, b - a))
+                ids, first = encoder.encode(batch.column(1).slice(a, b - a))
                 docs = batch.column(0).slice(a, b - a)
                 n_ids = np.diff(first) + 1
                 n = -(-n_ids // size)
@@ -190,6 +191,7 @@ def _pieces(model, size: int):
                     [docs.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
                      pa.array(np.full(len(doc), part), pa.int32()), pa.array(place)],
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
+        encoder.rest()
 
     return run
 

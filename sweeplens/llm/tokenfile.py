@@ -159,14 +159,16 @@ def _write(folder: str, model, frame_ids: int, level: int):
         # an attempt's own name: only files that the committed manifest names are ever read
         name = f"part-{part:06d}-{uuid.uuid4().hex}.zst"
         writer = stream = None
+        encoder = tokens.encoder(model.value)
         for batch in batches:
             for a, b in textarrays.slices(batch.column(1), tokens.SLICE):
                 if writer is None:
                     stream = files.open_output_stream(f"{base}/{name}", compression=None)
                     writer = Writer(stream, frame_ids, level)
-                ids, first = tokens.encoder(model.value).encode(batch.column(1).slice(a, b - a))
+                ids, first = encoder.encode(batch.column(1).slice(a, b - a))
                 for i, doc_id in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
                     writer.add(doc_id, np.append(ids[first[i]: first[i + 1]], np.uint32(END_ID)))
+        encoder.rest()
         if writer:
             writer.close()
             stream.close()

@@ -25,7 +25,7 @@ from sweeplens.llm import textarrays
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHED = 400_000  # pieces that a worker remembers; all are forgotten when there are more
+CACHED = 400_000  # pieces that a task remembers; those used most stay when there are more
 JOINED = 1000  # pieces that are handed to the tokenizer as one text
 SLICE = 1 << 20  # bytes of texts encoded together
 
@@ -38,7 +38,7 @@ def tokenizer_json(path: str) -> str:
 
 
 def encoder(json_text: str) -> Encoder:
-    """The encoder of this worker process; it lives as long as the process does."""
+    """The encoder of this worker process; a task that is done with it calls ``rest``."""
     # a module of its own, as functions sent by value get new globals for each task
     store = sys.modules.setdefault("_sweeplens_encoders", types.ModuleType("_sweeplens_encoders"))
     key = f"k{hash(json_text)}"
@@ -66,11 +66,37 @@ class Encoder:
 
     def _forget(self) -> None:
         self.place: dict[int, int] = {}
-        self.start = np.zeros(1024, dtype=np.int64)
-        self.length = np.zeros(1024, dtype=np.int64)
+        self.start, self.length, self.uses = (np.zeros(1024, dtype=np.int64) for _ in range(3))
+        self.key = np.zeros(1024, dtype=np.uint64)
         self.pool = np.zeros(4096, dtype=np.uint32)
         self.used = self.fill = 0
 
+    def rest(self) -> None:
+        """Forget all pieces, so that a worker which waits holds the tokenizer alone."""
+        self._forget()
+
+    def _trim(self) -> None:
+        """Keep the pieces that were used again, half of the places at most, those used most."""
+        kept = np.flatnonzero(self.uses[: self.used] > 1)
+        kept = kept[np.argsort(-self.uses[kept], kind="stable")[: CACHED // 2]]
+        kept = kept[np.cumsum(self.length[kept]) <= 8 * CACHED]
+        sizes = self.length[kept]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.start[kept] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
+        key, uses = self.key[kept], self.uses[kept] // 2
+        self._forget()
+        self._room(kept.size, ids.size)
+        self.start[: kept.size], self.length[: kept.size], self.uses[: kept.size], self.key[: kept.size] = ends - sizes, sizes, uses, key
+        self.pool[: ids.size] = ids
+        self.place = dict(zip(key.tolist(), range(kept.size)))
+        self.used, self.fill = kept.size, ids.size
+
+    def _room(self, pieces: int, ids: int) -> None:
+        while self.used + pieces > self.start.size:
+            self.start, self.length, self.uses, self.key = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length, self.uses, self.key))
+        while self.fill + ids > self.pool.size:
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+
     def _encode(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
         """An order of the pieces, all their ids in that order, and how many each has.
 
@@ -113,23 +139,23 @@ class Encoder:
     def _places(self, hashes: list[int], text_of) -> np.ndarray:
         """Places of pieces in the pool; ``text_of(i)`` is asked for the text of those that are new."""
         if self.used and (self.used + len(hashes) > CACHED or self.fill > 16 * CACHED):
-            self._forget()
+            self._trim()
         found = np.array(list(map(self.place.get, hashes, repeat(-1))), dtype=np.int64)
         new = np.flatnonzero(found < 0)
         if new.size:
             order, ids, sizes = self._encode([text_of(i) for i in new.tolist()])
-            while self.used + len(new) > self.start.size:
-                self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
-            while self.fill + len(ids) > self.pool.size:
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+            self._room(len(new), len(ids))
             at = slice(self.used, self.used + len(new))
             self.length[at] = sizes
             self.start[at] = self.fill + np.cumsum(sizes) - sizes
             self.pool[self.fill: self.fill + len(ids)] = ids
             found[new[order]] = np.arange(self.used, self.used + len(new))
-            self.place.update(zip([hashes[i] for i in new[order].tolist()], range(self.used, self.used + len(new))))
+            keys = [hashes[i] for i in new[order].tolist()]
+            self.key[at], self.uses[at] = np.array(keys, dtype=np.uint64), 0
+            self.place.update(zip(keys, range(self.used, self.used + len(new))))
             self.used += len(new)
             self.fill += len(ids)
+        self.uses[found] += 1  # the hashes are distinct
         return found
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,6 +30,23 @@ def test_encoder(path):
         assert ids[first[i]: first[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encoder_forgets_some_pieces_and_stays_right(path, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED", 300)
+    own, library = tokens.Encoder(tokens.tokenizer_json(path)), Tokenizer.from_file(path)
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    for turn in range(40):
+        texts = [" ".join([*words[:10], *(rng.choice(words) for _ in range(30))]) for _ in range(3)]
+        ids, first = own.encode(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert ids[first[i]: first[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+        if turn == 30:
+            own.rest()
+            assert not own.place and not own.used
+    assert own.uses[: own.used].max() > 1
+
+
 def docs(spark):
     return spark.createDataFrame([(5 * i if i % 3 else 5 * i - 2, t, 7, "x") for i, t in enumerate(ODD)] + [(None, "no id", 7, "x"), (0, "again", 7, "x")], DOCS)
 
