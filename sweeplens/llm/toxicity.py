@@ -3,13 +3,14 @@
 Terms are words and their beginnings.  The machine adds a weight for each term
 of a text and, for each pair of them, the product of two learnt vectors, so
 that a pair (an insult with the mention of a group) can count more than its
-parts.  It is learnt from a bounded, hash-drawn sample of labelled rows; terms
-that tell nothing apart in the sample take no part.
+parts.  It is learnt from a bounded, hash-drawn sample of labelled rows; the
+terms that tell most in it take part, alone or together with another one.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import sys
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BUCKETS = 1 << 20  # hashed terms
 PREFIX = 4  # characters of a word's beginning
 TERMS = 4096  # terms the machine knows
+PAIRED = 2048  # terms among which pairs are looked for
+WRONG = 0.25  # expected share of the chosen terms that tell nothing
 FACTORS = 8  # length of a term's vector
 SAMPLE = (4_000, 8_000)  # rows of each label (1, 0) at most that it learns from
 EPOCHS, BATCH, RATE, DECAY = 20, 128, 0.1, 1e-5
@@ -56,16 +59,42 @@ def _term_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chosen_terms(doc: np.ndarray, term: np.ndarray, label: np.ndarray, most: int = TERMS) -> np.ndarray:
-    """The terms whose presence differs most between labels (chi-square), in at least three rows."""
+    """The terms, in at least three rows, whose presence tells about the label, alone or together with another one.
+
+    A term's error probability is that of its own chi-square or of the best pair
+    it is in, for as many partners as there are.  Pairs are looked for among the
+    ``PAIRED`` terms that split the rows most evenly.  As many terms are taken as
+    keep the expected share of wrong ones under ``WRONG``, ``most`` at most.
+    """
     n = len(label)
-    positive = np.bincount(term, weights=label[doc], minlength=BUCKETS)
     present = np.bincount(term, minlength=BUCKETS).astype(float)
-    total = float(label.sum())
-    expected = present * total / max(n, 1)
-    spread = expected * (1 - present / max(n, 1)) * (1 - total / max(n, 1)) + 1e-12
-    score = np.where(present >= 3, (positive - expected) ** 2 / spread, 0.0)
-    best = np.argsort(-score, kind="stable")[:most]
-    return np.sort(best[score[best] > 6.6])  # one chance in a hundred
+    prior = float(label.sum()) / max(n, 1)
+
+    def chi_square(positive: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        spread = rows * prior * (1 - rows / max(n, 1)) * (1 - prior) + 1e-12
+        return np.where(rows >= 3, (positive - rows * prior) ** 2 / spread, 0.0)
+
+    def by_chance(score: np.ndarray) -> np.ndarray:
+        return np.array([math.erfc(math.sqrt(x / 2)) for x in score.tolist()])
+
+    able = np.flatnonzero(present >= 3)
+    if not able.size:
+        return able
+    error = by_chance(chi_square(np.bincount(term, weights=label[doc], minlength=BUCKETS)[able], present[able]))
+    even = np.sort(np.argsort(-present[able] * (n - present[able]), kind="stable")[:PAIRED])
+    if even.size > 1:
+        place = np.full(BUCKETS, -1)
+        place[able[even]] = np.arange(even.size)
+        known = place[term] >= 0
+        x = np.zeros((n, even.size), dtype=np.float32)
+        x[doc[known], place[term[known]]] = 1
+        together = chi_square((x * label[:, None].astype(np.float32)).T @ x, x.T @ x)
+        np.fill_diagonal(together, 0)
+        error[even] = np.minimum(error[even], even.size * by_chance(together.max(axis=1)))
+    order = np.argsort(error, kind="stable")
+    fine = np.flatnonzero(error[order] <= WRONG * (np.arange(able.size) + 1) / able.size)
+    taken = int(fine[-1]) + 1 if fine.size else 0
+    return np.sort(able[order[: min(taken, most)]])
 
 
 def fit(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
