@@ -42,17 +42,21 @@ def source_tokens(documents: DataFrame, source_col: str, tokens: Column) -> Data
 
 
 def _measures(sources: DataFrame, exponents: list[float], total: float) -> dict[float, tuple[float, float, float]]:
-    """For each exponent: entropy of the weights, largest and smallest weight per token share."""
-    share = F.col("tokens") / total
-    rows = (sources.where("tokens > 0").select(share.alias("p"), F.explode(F.array(*[F.lit(float(t)) for t in exponents])).alias("t"))
-            .groupBy("t").agg(F.sum(F.pow("p", "t")).alias("z"), F.sum(F.pow("p", "t") * F.log("p")).alias("l"),
-                              F.max(F.pow("p", F.col("t") - 1)).alias("most"), F.min(F.pow("p", F.col("t") - 1)).alias("least")).collect())
+    """For each exponent: entropy of the weights, largest and smallest weight per token share.
+
+    Shares are taken relative to the largest one, so that no exponent makes all of them vanish.
+    """
+    top = float(sources.agg(F.max("tokens")).first()[0])
+    share, ratio, t = F.col("tokens") / total, F.col("tokens") / top, F.col("t")
+    rows = (sources.where("tokens > 0").select(share.alias("p"), ratio.alias("q"), F.explode(F.array(*[F.lit(float(t)) for t in exponents])).alias("t"))
+            .groupBy("t").agg(F.sum(F.pow("q", t)).alias("z"), F.sum(F.pow("q", t) * F.log("q")).alias("l"),
+                              F.max(F.pow("q", t) / F.col("p")).alias("most"), F.min(F.pow("q", t) / F.col("p")).alias("least")).collect())
     return {r["t"]: (math.log(r["z"]) - r["t"] * r["l"] / r["z"], r["most"] / r["z"], r["least"] / r["z"]) for r in rows}
 
 
 def solve(sources: DataFrame, max_repetition: float | None = None, entropy: float | None = None,
           budget: float | None = None) -> Mix:
-    """The exponent in [0, 1] for a repetition limit or a target entropy.
+    """The exponent for a repetition limit (in [0, 1]) or a target entropy (from 0 on).
 
     Without ``budget`` the mixture is just large enough for every source to
     appear whole once.  Entropy falls and so does repetition when the exponent
@@ -75,6 +79,13 @@ def solve(sources: DataFrame, max_repetition: float | None = None, entropy: floa
         return m[1] * tokens(m) / total <= max_repetition * (1 + 1e-12)
 
     low, high = 0.0, 1.0
+    if entropy is not None:
+        here = _measures(sources, [high], total)[high]
+        while not enough(here):  # until the target is bracketed, or the largest sources alone are left
+            after = _measures(sources, [2 * high], total)[2 * high]
+            if here[0] - after[0] < 1e-12 or after[2] < 1e-280:
+                break
+            low, high, here = high, 2 * high, after
     for _ in range(PASSES):
         tried = [low + (high - low) * i / GRID for i in range(GRID + 1)]
         found = _measures(sources, tried, total)
@@ -108,9 +119,10 @@ def mix(documents: DataFrame, source_col: str = "source", text_col: str = "text"
     count = word_count(F.col(text_col)) if tokens is None else tokens
     sources = source_tokens(documents, source_col, count)
     found = solve(sources, max_repetition, entropy, budget)
-    total = float(sources.agg(F.sum("tokens")).first()[0] or 0)
-    z = sources.where("tokens > 0").agg(F.sum(F.pow(F.col("tokens") / total, F.lit(found.exponent)))).first()[0] if total else 1.0
-    share = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / (total or 1.0), F.lit(found.exponent)) / float(z)).otherwise(0.0)
+    top = float(sources.agg(F.max("tokens")).first()[0] or 0) or 1.0  # relative to it, no exponent makes all shares vanish
+    power = F.pow(F.col("tokens") / top, F.lit(found.exponent))
+    z = float(sources.where("tokens > 0").agg(F.sum(power)).first()[0] or 1.0)
+    share = F.when(F.col("tokens") > 0, power / z).otherwise(0.0)
     blocks = F.when(F.col("tokens") > 0, share * found.budget / F.col("tokens")).otherwise(1.0)
     near = F.round(blocks)  # a source meant to appear whole does not lose a document to rounding
     blocks = F.when(F.abs(blocks - near) < 1e-6, near).otherwise(blocks)
