@@ -20,19 +20,19 @@ K, S = 5, 2
 TOKEN = r"[\p{L}\p{N}]{1,4}|[^\s\p{L}\p{N}]+"
 ANCHORS = 64  # of the smallest hashes
 DRIFT = 0.25  # share of the places by which matched anchors may differ in movement
-_PLACE_BITS = 20
+_PLACE_BITS = 31  # a place in the longest string there can be
+_HASH_BITS = 63 - _PLACE_BITS
 
 
 def fingerprint(text: Column, k: int = K, s: int = S, anchors: int = ANCHORS) -> Column:
-    """Array of bigint, ascending: 43 bits of an anchor's hash above 20 bits of its place.
+    """Array of bigint, ascending: 32 bits of an anchor's hash above 31 bits of its place.
 
     Equal texts have equal fingerprints.  A text of fewer than ``3 * k`` tokens
     also has the anchors of its characters; one without any anchor, such as the
-    empty or null text, has one of its whole text.  Places beyond ``2**20``
-    tokens share the last value.
+    empty or null text, has one of its whole text.
     """
     text = F.coalesce(text, F.lit(""))
-    whole = F.array(F.shiftrightunsigned(F.xxhash64(text), 21) * F.lit(1 << _PLACE_BITS))
+    whole = F.array(F.shiftrightunsigned(F.xxhash64(text), 64 - _HASH_BITS) * F.lit(1 << _PLACE_BITS))
 
     def of_tokens(h: Column) -> Column:
         characters = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.xxhash64(c))
@@ -52,7 +52,7 @@ def _anchors(h: Column, k: int, s: int) -> Column:
             ends = F.least(F.element_at(g, i), F.element_at(g, i + span))
             between = [F.element_at(g, i + j) for j in range(1, span)]
             mark = F.xxhash64(*[F.element_at(g, i + j) for j in range(0, span, s)], F.element_at(g, i + span))
-            packed = F.shiftrightunsigned(mark, 21) * F.lit(1 << _PLACE_BITS) + F.least(i, F.lit((1 << _PLACE_BITS) - 1))
+            packed = F.shiftrightunsigned(mark, 64 - _HASH_BITS) * F.lit(1 << _PLACE_BITS) + i
             return F.when(ends <= F.least(*between), packed)
 
         every = F.transform(F.sequence(F.lit(1), F.size(g) - span), anchor)

@@ -40,6 +40,24 @@ def test_interactions_are_learnt():
     assert ((z > 0) == (y == 1)).mean() > 0.95
 
 
+def test_a_label_that_only_a_pair_tells(spark):
+    """Neither word alone says anything; both, or none of them, mean label 1."""
+    rng = random.Random(3)
+    filler = [f"word{k}" for k in range(60)]
+    rows, labels = [], []
+    for i in range(1600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.sample(filler, 12) + ["zorbling"] * a + ["quuxers"] * b
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, 1, int(a == b)))
+    docs, marks = frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    model = toxicity.train(docs, marks.where("doc_id % 4 > 0"))
+    got = {r["doc_id"]: r["score_"] for r in toxicity.scored(docs, model).collect()}
+    held = [(got[i] >= 0.5) == bool(y) for i, _, y in labels if i % 4 == 0]
+    assert sum(held) / len(held) > 0.9
+
+
 def test_toxicity_edges(spark):
     rows = [(i, f"you {'idiot' if i % 3 == 0 else 'friend'} number {i}", "a") for i in range(90)] + [(100, None, "a"), (101, "", "a"), (None, "idiot", "a"), (102, "x " * 50000, None)]
     docs = frame(spark, rows + rows[:1])
@@ -100,7 +118,7 @@ def brute_anchors(text, k=5, s=2):
         span, out = k - s, {}
         for i in range(len(g) - span):
             if min(g[i], g[i + span]) <= min(g[i + 1: i + span]):
-                mark = (_many(*[g[i + j] for j in range(0, span, s)], g[i + span]) % 2**64) >> 21
+                mark = (_many(*[g[i + j] for j in range(0, span, s)], g[i + span]) % 2**64) >> 32
                 out.setdefault(mark, i + 1)
         return out if len(h) >= k else {}
 
@@ -109,8 +127,8 @@ def brute_anchors(text, k=5, s=2):
     if len(tokens) < 3 * k:
         for mark, place in of(list(text)).items():
             found[mark] = min(place, found.get(mark, place))
-    packed = sorted((m << 20) + p for m, p in found.items())[:64]
-    return "".join(f"{x:016x}" for x in packed or [((_many(text) % 2**64) >> 21) << 20])
+    packed = sorted((m << 31) + p for m, p in found.items())[:64]
+    return "".join(f"{x:016x}" for x in packed or [((_many(text) % 2**64) >> 32) << 31])
 
 
 def test_fingerprints(spark):
@@ -162,6 +180,12 @@ def test_mixing(spark):
         assert all(0 <= r["mix_key"] < 1 for r in found)
     assert mixing.solve(sources, entropy=0.9).entropy == pytest.approx(0.9, abs=1e-5)
     assert mixing.solve(sources, entropy=9.0).exponent == pytest.approx(0.0, abs=1e-6)
+    uneven = spark.createDataFrame([("a", 9, 900), ("b", 1, 100)], "source string, docs bigint, tokens bigint")
+    sharper = mixing.solve(uneven, entropy=0.2)
+    assert sharper.entropy == pytest.approx(0.2, abs=1e-5) and sharper.exponent > 1
+    assert mixing.solve(uneven, entropy=0.325083).exponent == pytest.approx(1.0, abs=1e-4)
+    assert mixing.solve(uneven.withColumn("tokens", F.lit(5).cast("bigint")), entropy=0.1).entropy == pytest.approx(math.log(2))
+    assert mixing.solve(uneven, entropy=0.0, budget=100.0).entropy < 1e-9
     cut = mixing.mix(docs, max_repetition=3.0, budget=total / 2)
     assert total / 2 - 160 <= sum(len((r["text"] or "").split()) for r in cut.collect()) <= total / 2 + 1e-6
     a, b = (sorted((str(r["doc_id"]), r["epoch_"]) for r in mixing.mix(d, max_repetition=1.5).collect()) for d in (docs, docs.repartition(7)))
