@@ -19,13 +19,12 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplens.llm.shared import kth_smallest, written
+from sweeplens.llm.shared import written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-VOCABULARY = 50_000  # most frequent words that the segmenter knows
 BUCKETS = 1 << 16  # hashed words of the classifier
-LONGEST = 20  # letters of a segmenter word
+SALTS = 16  # tasks that share the hosts with one short word, or the urls of one host
 Rules = list[tuple[str, str]]
 
 
@@ -58,38 +57,39 @@ def matched_rule(host: Column, path: Column, rules: Rules) -> tuple[Column, Colu
     return rule, verdict
 
 
-def word_counts(texts: DataFrame, column: str, most: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent letter runs of all texts outside tags, with their counts over all rows.
-
-    At most ``most`` words, which bounds what the driver and the tasks hold: those
-    that occur more often than the word at that place.
-    """
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """All letter runs of all texts outside tags with their counts over all rows: a written table (word, count)."""
     plain = F.lower(F.regexp_replace(F.col(column), r"(?s)<[^>]*>", " "))
-    each = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word"))
-    each = each.where((F.length("word") > 0) & (F.length("word") <= LONGEST))
-    counts = written(each.groupBy("word").count(), "words")
-    cut = kth_smallest(counts, -F.col("count"), most + 1)
-    top = counts if cut is None else counts.where(-F.col("count") < cut)
-    return {r["word"]: r["count"] for r in top.collect()}
+    each = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).where(F.length("word") > 0)
+    return written(each.groupBy("word").count(), "words")
 
 
 class Segmenter:
-    """Most likely split of a name under independent word probabilities."""
+    """Most likely split of a name under independent word probabilities.
+
+    ``counts`` has the words that can be in the name; ``total`` counts all words.
+    """
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self.score = {w: math.log(c / total) for w, c in counts.items()}
-        self.unknown = math.log(1 / total)
-        self.split = lru_cache(100_000)(self._split)
+    def __init__(self, counts: dict[str, int], total: int):
+        self.score = {w: math.log(c / (total + 1)) for w, c in counts.items()}
+        self.unknown = -math.log(total + 1)
+        self.lengths = sorted({len(w) for w in counts})
 
-    def _split(self, name: str) -> tuple[str, ...]:
+    def split(self, name: str) -> tuple[str, ...]:
         """Viterbi over cut places; an unknown piece costs more the longer it is."""
         best = [(0.0, 0)] + [(-math.inf, 0)] * len(name)
+        odd, begun = -math.inf, 0  # the best that ends in an unknown piece, and where that begins
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - LONGEST), end):
-                score = self.score.get(name[start:end], self.unknown - 2.3 * (end - start))
-                if best[start][0] + score > best[end][0]:
-                    best[end] = (best[start][0] + score, start)
+            if best[end - 1][0] + self.unknown > odd:
+                odd, begun = best[end - 1][0] + self.unknown, end - 1
+            odd -= 2.3
+            best[end] = (odd, begun)
+            for length in self.lengths:
+                if length > end:
+                    break
+                score = self.score.get(name[end - length: end])
+                if score is not None and best[end - length][0] + score >= best[end][0]:
+                    best[end] = (best[end - length][0] + score, end - length)
         out, at = [], len(name)
         while at:
             out.append(name[best[at][1]: at])
@@ -97,6 +97,77 @@ class Segmenter:
         return tuple(reversed(out))
 
 
+def pieces(host: str) -> list[str]:
+    """Names and runs of digits of a host, in order."""
+    return [p for label in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", host) for p in re.findall(r"\d+|\D+", label)]
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = [pieces(h) for h in batch["host"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["host"], pa.array(lists, pa.list_(pa.string()))], names=["host", "pieces"])
+
+
+def _parts(lengths: list[int]):
+    """Distinct parts of each name, of the lengths that words have."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, parts = [], []
+            for name in batch["name"].to_pylist():
+                for length in lengths:
+                    if length > len(name):
+                        break
+                    found = {name[at: at + length] for at in range(len(name) - length + 1)}
+                    names += [name] * len(found)
+                    parts += found
+                    if len(parts) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.string())], names=["name", "part"])
+                        names, parts = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.string())], names=["name", "part"])
+
+    return run
+
+
+def _split(total: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch["name"].to_pylist()
+            lists = [Segmenter({k["word"]: k["count"] for k in known or []}, total).split(name)
+                     for name, known in zip(names, batch["known"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch["name"], pa.array(lists, pa.list_(pa.string()))], names=["name", "words"])
+
+    return run
+
+
+def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """Words of every distinct host (column ``host``): host, words; runs of digits are the word ``0``.
+
+    The parts of each distinct name meet the counts of all words in a join, so
+    that a name is split with the counts of its own parts and nothing is held
+    whole.  Short words are in many names: their rows are dealt over ``SALTS``
+    tasks.
+    """
+    listed = written(hosts.select("host").distinct().mapInArrow(_pieces, "host string, pieces array<string>"), "hosts")
+    each = listed.select("host", F.posexplode("pieces").alias("place", "name"))
+    digits = F.col("name").rlike(r"^\d")
+    names = each.where(~digits).select("name").distinct()
+    sizes = counts.select(F.length("word").alias("length"), "count").groupBy("length").agg(F.sum("count").alias("count")).collect()  # a row for each length
+    salts = F.when(F.length("word") <= 3, SALTS).otherwise(1)
+    words = counts.select("word", "count", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    parts = names.mapInArrow(_parts(sorted(r["length"] for r in sizes)), "name string, part string").withColumn(
+        "salt", F.pmod(F.xxhash64("name"), F.when(F.length("part") <= 3, SALTS).otherwise(1)).cast("int"))
+    known = parts.join(words, (parts["part"] == words["word"]) & (parts["salt"] == words["salt"])).groupBy("name").agg(
+        F.collect_list(F.struct("word", "count")).alias("known"))
+    total = sum(r["count"] for r in sizes)
+    split = names.join(known, "name", "left").mapInArrow(_split(total), "name string, words array<string>")
+    # a name like www is in many hosts
+    salt = F.pmod(F.xxhash64("host"), F.lit(SALTS)).cast("int")
+    dealt = written(split, "split").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    filled = each.withColumn("salt", salt).join(dealt, ["name", "salt"], "left").select("host", "place", F.when(digits, F.array(F.lit("0"))).otherwise(F.col("words")).alias("words"))
+    together = filled.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "words"))).alias("all"))
+    return listed.select("host").join(together, "host", "left").select("host", F.coalesce(F.flatten(F.transform("all", lambda x: x["words"])), F.array().cast("array<string>")).alias("words"))
+
+
 def _bucket(term: str) -> int:
     value = 0xCBF29CE484222325
     for byte in term.encode():
@@ -104,48 +175,46 @@ def _bucket(term: str) -> int:
     return (value >> 20) % BUCKETS
 
 
-def terms(host: str, path: str, segmenter: Segmenter) -> list[str]:
+def terms(words: list[str], path: str) -> list[str]:
     """Words of the host (marked ``h:``) and of the path (``p:``); runs of digits become ``0``."""
-    found = []
-    for label in re.split(r"[^0-9a-z\u0080-\U0010ffff]+", host):
-        for piece in re.findall(r"\d+|\D+", label):
-            found += ["h:0"] if piece.isdigit() else [f"h:{w}" for w in segmenter.split(piece)]
+    found = [f"h:{w}" for w in words]
     for piece in re.findall(r"[0-9]+|[^\W\d_]+", path.lower()):
         found.append("p:0" if piece[0].isdigit() else f"p:{piece}")
     return found
 
 
-def _hashed(counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Segmenter(counts.value)
-        bucket = lru_cache(200_000)(_bucket)
-        for batch in batches:
-            lists = [[bucket(t) for t in terms(h, p, model)]
-                     for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))],
-                                             names=[*batch.schema.names, "terms"])
-
-    return run
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bucket = lru_cache(200_000)(_bucket)
+    for batch in batches:
+        lists = [[bucket(t) for t in terms(w, p)] for w, p in zip(batch["words"].to_pylist(), batch["path"].to_pylist())]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("_id", "host", "path")), pa.array(lists, pa.list_(pa.int32()))],
+                                         names=["_id", "host", "path", "terms"])
 
 
 def judge(pages: DataFrame, rules: Rules, id_col: str = "page_id", url_col: str = "url",
-          corpus: tuple[DataFrame, str] | None = None, vocabulary: int = VOCABULARY) -> DataFrame:
+          corpus: tuple[DataFrame, str] | None = None) -> DataFrame:
     """Verdict per url: columns ``id_col``, host, path, rule, verdict, score.
 
     ``rules`` are (allow | block, ``host/path``).  ``score`` is the model's
     log-odds for block (0 without any learnt class); urls without a rule are
-    blocked if it is positive.  Segmenter words are counted in ``corpus``
+    blocked if it is positive.  Segmenter words are all words of ``corpus``
     (table, text column).  Null and unusable urls have empty host and path and
     are judged like others; repeated rows and ids stay.  Learns from all urls
-    that a rule decides; an empty table gives an empty result.
+    that a rule decides; an empty table gives an empty result.  A very long host
+    or path is split like any other; ``id_col`` may not be called like a column
+    of the result.
     """
+    if id_col.lower() in ("host", "path", "rule", "verdict", "score"):
+        raise ValueError(f"the result has a column {id_col} of its own")
     spark = pages.sparkSession
     host, path = parts(F.col(url_col))
     base = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     table, column = corpus or (pages, url_col)
-    counts = spark.sparkContext.broadcast(word_counts(table, column, vocabulary))
-    hashed = base.mapInArrow(_hashed(counts), base.select("*", F.array(F.lit(0)).alias("terms")).schema)
+    words = segmented(base, word_counts(table, column)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = base.withColumn("salt", F.pmod(F.xxhash64("_id", "path"), F.lit(SALTS)).cast("int"))
+    hashed = salted.join(words, ["host", "salt"]).select("_id", "host", "path", "words").mapInArrow(
+        _hashed, base.select("*", F.array(F.lit(0)).alias("terms")).schema)
     hashed = written(hashed.select("*", rule.alias("rule"), verdict.alias("given")), "urls")
     # at most one row a bucket and class, combined before the shuffle
     counted = (hashed.where("given is not null").select("given", F.explode_outer("terms").alias("term"))
