@@ -401,14 +401,18 @@ PARTNERS = 256  # about so many pairs of one first text are verified by one task
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Both texts beside each pair, the pairs of a first text in portions that may go to different tasks."""
+    """Both texts beside each pair, the pairs of a first text in portions that may go to different tasks.
+
+    Merge joins at every size: rows of one first text come out beside each other,
+    and no text is sent to all tasks.
+    """
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("portions"))
     portion = F.pmod(F.xxhash64("b"), F.col("portions")).alias("portion")
     dealt = pairs.join(portions, "a").select("a", "b", portion)
-    leads = texts.join(portions, F.col("id") == F.col("a")).select(
+    leads = texts.hint("merge").join(portions, F.col("id") == F.col("a")).select(
         "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("portions") - 1)).alias("portion"), F.col("text").alias("text_a"))
     others = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.xxhash64("text").alias("hash_b"))
-    return dealt.join(others, "b").join(leads, ["a", "portion"]).select("a", "b", "hash_b", "text_a", "text_b")
+    return dealt.join(others.hint("merge"), "b").join(leads.hint("merge"), ["a", "portion"]).select("a", "b", "hash_b", "text_a", "text_b")
 
 
 def repeated(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
