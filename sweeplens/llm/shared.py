@@ -100,7 +100,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
-FOREST = 1 << 18  # edges that are held together when edges are contracted inside a task
+FOREST = 1 << 18  # edges (16 bytes each) that are held together when edges are contracted inside a task
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,17 +133,18 @@ def contracted(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node for every node of ``edges`` (a, b): columns node, root.
 
-    Alternates the two star operations of Kiveris et al. (2014): neighbours
-    above a node hang onto its smallest neighbour, then those below.  Each is
-    one minimum per node and a join, so the number of rounds grows with the
-    logarithm of the size, for chains and hubs alike.  Each round is a written
-    table, contracted inside its tasks.  Nodes without an edge are not in the
+    Edges are contracted inside tasks, as many tasks as they need at ``FOREST``
+    edges each.  While that is more than one, the two star operations of Kiveris
+    et al. (2014) alternate: neighbours above a node hang onto its smallest
+    neighbour, then those below.  Each is one minimum per node and a join, so the
+    number of rounds grows with the logarithm of the size, for chains and hubs
+    alike.  Each round is a written table.  Nodes without an edge are not in the
     result.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
     now = written(contracted(edges), "edges")
     seen = _sum(now)
-    while True:
+    while seen[0] > FOREST:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = (both.where("b > a").join(low, both["a"] == low["u"])
@@ -152,11 +153,11 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.join(low.withColumnRenamed("a", "u"), F.col("a") == F.col("u"))
         small = (down.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
                  .union(low.select("a", F.col("m").alias("b"))).distinct())
-        after = written(contracted(small), "edges")
-        size = _sum(after)
-        if size == seen:
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        now, seen = after, size
+        now = written(contracted(small), "edges")
+        before, seen = seen, _sum(now)
+        if seen == before:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return written(contracted(now.coalesce(1)), "edges").select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _sum(edges: DataFrame) -> tuple:
