@@ -202,23 +202,30 @@ def _tiles(batches: Iterator[pa.RecordBatch], order: Order | None, digest: bool)
     """Texts without tiles, finished (0); tiles (1); texts with tiles (2)."""
     schema = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("key", pa.int64()), ("small", pa.int64()), ("low", pa.int64()),
                         ("codes", pa.list_(pa.int32())), ("cuts", pa.list_(pa.int32())), ("text", pa.string())])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
     for rows, raw, start, stop, first in _documents(batches, order):
         hashes = textarrays.part_hash(textarrays.running_hash(raw), start, stop)
         ids, keys = rows["id"].to_pylist(), rows["key"].to_pylist()
         tiled = np.zeros(rows.num_rows, dtype=bool)
-        out = []
+        out, held = [], 0
         for small, text, cuts in boundaries(hashes, first):
             tiled[text] = True
             for low, high, some in spans(small, int(first[text + 1] - first[text]), cuts):
                 _, codes = np.unique(hashes[first[text] + low: first[text] + high], return_inverse=True)
                 out.append((1, ids[text], keys[text], small, low, codes.astype(np.int32), (some - low).astype(np.int32), None))
+                held += codes.size
+                if held > CELLS:
+                    yield batch_of(out)
+                    out, held = [], 0
         texts = _texts(raw, start, stop, first, digest)
         whole = rows["text"].take(pa.array(np.flatnonzero(tiled))).to_pylist()
         out += [(2, ids[r], keys[r], None, None, None, None, t) for r, t in zip(np.flatnonzero(tiled).tolist(), whole)]
         out += [(0, ids[r], keys[r], None, None, None, None, texts[r]) for r in np.flatnonzero(~tiled).tolist()]
         for at in range(0, len(out), 4096):
-            columns = [pa.array(c, f.type) for c, f in zip(zip(*out[at: at + 4096]), schema)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            yield batch_of(out[at: at + 4096])
 
 
 def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
