@@ -133,12 +133,6 @@ def _paired(numbers: Column) -> Column:
         lambda k: F.struct(F.get(numbers, k).alias("i"), F.get(numbers, k + 1).alias("j")))
 
 
-def parse_layer_list(text: Column) -> Column:
-    """``layers:0,1,2`` or ``0,1,2``; empty items are skipped."""
-    usable = squeeze(text).rlike(rf"(?i)^(?:layers:)?{_LIST}") & text.rlike(r"\d")
-    return F.when(usable, _numbers(text))
-
-
 def parse_blocks(text: Column) -> Column:
     """``blocks:3,6;4,6`` with or without brackets; empty items are skipped."""
     return F.when(squeeze(text).rlike(_BLOCK_SPEC), let(_numbers(text), _paired))

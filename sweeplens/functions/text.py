@@ -41,13 +41,14 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(file_name(path), r"^.+(\.[^.]+)$", 1))
 
 
+# What test folders are called, how names of test files begin and end.
+TEST_FOLDER = r"(^|/)(test|tests)(/|$)"
+TEST_BEGIN, TEST_END = r"^test_", r"(_test\.py|\.test\.js|\.spec\.js|\.test\.ts|\.spec\.ts)$"
+
+
 def is_test_path(path: Column) -> Column:
     name = F.lower(file_name(path))
-    return (
-        path.rlike(r"(^|/)(test|tests)(/|$)")
-        | name.rlike(r"^test_")
-        | name.rlike(r"(_test\.py|\.test\.js|\.spec\.js|\.test\.ts|\.spec\.ts)$")
-    )
+    return path.rlike(TEST_FOLDER) | name.rlike(TEST_BEGIN) | name.rlike(TEST_END)
 
 
 def is_source_path(path: Column, include_tests: bool = False) -> Column:

@@ -37,7 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LAMBDA, LEAST_GAIN, LEAST_CHILD = 1.0, 1e-6, 1.0  # fixed values of the original regressors
 MAX_BINS = 256
-CELLS_PER_TASK = 1 << 25  # binned values a task should hold: a barrier takes about a second, however few rows there are
+CELLS_PER_TASK = 1 << 24  # binned values a task should hold: a barrier takes about a second, however few rows there are
 CHUNK = 1 << 20  # binned values that are counted at a time
 NODES = "target string, tree int, node int, feature int, cut double, value double, gain double, cover double"
 _U = np.uint64
@@ -179,22 +179,24 @@ def boosted(x: np.ndarray, y: np.ndarray, hashes: np.ndarray, targets: list[str]
     sizes = np.array([a.size for a in own], dtype=np.float64)
     heads = [np.frombuffer(m) for m in gather(np.concatenate((sizes, *own)).tobytes())]
     parts = [np.split(h[sizes.size:], np.cumsum(h[: sizes.size].astype(np.int64))[:-1]) for h in heads]
-    rows = int(sum(p[0][0] for p in parts))
+    rows, size = int(sum(p[0][0] for p in parts)), len(x)
     if not rows:
         raise ValueError("no rows to learn from")
     codes, edges = binned(x, [np.unique(np.concatenate([p[2 + f] for p in parts])) for f in range(x.shape[1])])
+    width = x.shape[1]
+    del x, distinct, own, heads  # the bins are enough
     bins = 1 + max(e.size for e in edges)
     reach = np.maximum(np.max([p[1] for p in parts], axis=0), 1e-30)
     unit = 2.0 ** np.ceil(np.log2(reach * rows) - 49)  # sums of eight times the largest label stay exact
     mean = added(np.rint(y / unit).sum(axis=0)) * unit / rows
     trees = [[(target, -1, 0, None, None, float(mean[t]), None, float(rows))] for t, target in enumerate(targets)]
-    state = [(t, target, unit[t], 8 * reach[t], np.full(len(x), mean[t])) for t, target in enumerate(targets)]
+    state = [(t, target, unit[t], 8 * reach[t], np.full(size, mean[t])) for t, target in enumerate(targets)]
     yield [row for first in trees for row in first]
     for turn in range(spec.rounds):
-        columns = drawn_columns(x.shape[1], spec.colsample, spec.seed, turn)
+        columns = drawn_columns(width, spec.colsample, spec.seed, turn)
         sampled = drawn(hashes, spec.seed, turn) < spec.subsample
         offset = codes[:, columns] + (np.arange(columns.size) * bins).astype(np.int32)
-        grown = [_Tree(len(x), spec) for _ in targets]
+        grown = [_Tree(size, spec) for _ in targets]
         gradients = [np.rint(np.clip(f - y[:, t], -most, most) / unit) for t, _, unit, most, f in state]
         for level in range(spec.depth):
             live = [t for t, tree in enumerate(grown) if tree.open.size]
@@ -209,6 +211,13 @@ def boosted(x: np.ndarray, y: np.ndarray, hashes: np.ndarray, targets: list[str]
         yield [row for t, tree in enumerate(grown) for row in tree.table(targets[t], turn, edges)]
 
 
+def _arrays(batches: Iterator[pa.RecordBatch], width: int, targets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and key hashes of a task's rows."""
+    parts = [(b["x"].flatten().to_numpy(), b["y"].flatten().to_numpy(), b["h"].to_numpy()) for b in batches if b.num_rows]
+    x, y, h = zip(*parts) if parts else ([np.empty(0)], [np.empty(0)], [np.empty(0, np.int64)])
+    return np.concatenate(x).reshape(-1, width), np.concatenate(y).reshape(-1, targets), np.concatenate(h)
+
+
 def fit(rows: DataFrame, features: str, labels: dict[str, str], key: str, spec: Spec) -> DataFrame:
     """Node table of one regressor for each of ``labels`` (target name to column).
 
@@ -227,12 +236,6 @@ def fit(rows: DataFrame, features: str, labels: dict[str, str], key: str, spec:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = BarrierTaskContext.get()
-        held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
-        n = sum(t.num_rows for t in held)
-        table = pa.concat_tables(held).combine_chunks() if held else None
-        x, y = (np.concatenate([c.flatten().to_numpy() for c in table[name].chunks]).reshape(n, size) if n else np.empty((0, size))
-                for name, size in (("x", width), ("y", len(targets))))
-        hashes = table["h"].to_numpy() if n else np.empty(0, np.int64)
 
         def gather(message: bytes) -> list[bytes]:
             if tasks == 1:
@@ -242,7 +245,7 @@ def fit(rows: DataFrame, features: str, labels: dict[str, str], key: str, spec:
 
         names = [p.split()[0] for p in NODES.split(", ")]
         types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
-        for found in boosted(x, y, hashes, targets, spec, gather):
+        for found in boosted(*_arrays(batches, width, len(targets)), targets, spec, gather):
             if context.partitionId() == 0:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
 

@@ -81,14 +81,12 @@ def choose_distractors(truths: DataFrame, files: DataFrame, count: int, keys: li
         *keys, "path", X.suffix(F.col("path")).alias("suffix"), X.parent_dir(F.col("path")).alias("dir"))
     src = src.withColumn("depth", X.dir_depth(F.col("dir")))
 
-    def smallest(df: DataFrame, *by: str) -> DataFrame:
-        w = Window.partitionBy(*keys, "suffix", *by).orderBy("path")
-        return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= count + 1).drop("_rn")
-
-    same = smallest(src, "dir").withColumn("root", F.col("dir")).withColumn("same", F.lit(0))
-    under = smallest(src.withColumn("root", F.explode(_search_roots(F.col("dir")))), "root", "depth")
-    under = under.withColumn("same", F.lit(1))
-    pool = same.unionByName(under)
+    # the files of one directory, and those below each search root by depth, in one pass
+    own = F.array(F.struct(F.lit(0).alias("same"), F.col("dir").alias("root"), F.lit(-1).alias("level")))
+    above = F.transform(_search_roots(F.col("dir")), lambda r: F.struct(F.lit(1).alias("same"), r.alias("root"), F.col("depth").alias("level")))
+    placed = src.select("*", F.inline(F.concat(own, above)))
+    w = Window.partitionBy(*keys, "suffix", "same", "root", "level").orderBy("path")
+    pool = placed.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= count + 1).drop("_rn", "level")
 
     t = truths.select(*keys, F.col("truth")).dropDuplicates()
     t = t.select("*", X.suffix(F.col("truth")).alias("suffix"), X.parent_dir(F.col("truth")).alias("t_dir"))

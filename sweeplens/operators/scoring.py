@@ -110,6 +110,10 @@ Rules:
 - Rank most likely first.
 """
 NO_THINK_PREFIX = "/no_think "
+CANDIDATE_PROMPT, SNIPPET_PROMPT, SNIPPET_END = "Candidate ", "\n```text\n", "\n```"
+ISSUE_PROMPT, REPOSITORY_PROMPT, REPORT_PROMPT = "Issue ID: ", "\nRepository: ", "\n\nBug report:\n"
+FILES_PROMPT = "\n\nCandidate files:\n\n"
+RANK_PROMPT = "\n\nRank the candidate file paths from most likely root cause to least likely."
 
 
 def _message(role: str, content: Column) -> Column:
@@ -133,14 +137,13 @@ def ranking_messages(issue_id: Column, repo: Column, report: Column, candidates:
             F.format_string(" lines %d-%d", c["start_line"], c["end_line"])).otherwise("")
         snippet = F.regexp_replace(F.coalesce(c["code_snippet"], F.lit("")), r"(?U)\s+\z", "")
         return F.concat(
-            F.lit("Candidate "), (k + 1).cast("string"), F.lit(": "), c["file_path"], span,
-            F.lit("\n```text\n"), snippet, F.lit("\n```"))
+            F.lit(CANDIDATE_PROMPT), (k + 1).cast("string"), F.lit(": "), c["file_path"], span,
+            F.lit(SNIPPET_PROMPT), snippet, F.lit(SNIPPET_END))
 
     blocks = F.array_join(F.transform(candidates, block), "\n\n")
     user = F.concat(
-        F.lit("Issue ID: "), issue_id.cast("string"), F.lit("\nRepository: "), repo,
-        F.lit("\n\nBug report:\n"), squeeze(report), F.lit("\n\nCandidate files:\n\n"), blocks,
-        F.lit("\n\nRank the candidate file paths from most likely root cause to least likely."))
+        F.lit(ISSUE_PROMPT), issue_id.cast("string"), F.lit(REPOSITORY_PROMPT), repo,
+        F.lit(REPORT_PROMPT), squeeze(report), F.lit(FILES_PROMPT), blocks, F.lit(RANK_PROMPT))
     return F.array(_message("system", F.lit(RANKING_SYSTEM_PROMPT)), _message("user", user))
 
 

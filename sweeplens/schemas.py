@@ -18,15 +18,6 @@ EXAMPLE = (
 )
 MANIFEST = "dataset_name string, split string, instance_ids array<string>"
 REPORT = ", ".join(f"{b}_ids array<string>" for b in ("resolved", "unresolved", "empty_patch", "incomplete", "error"))
-RUN_METADATA = (
-    "instance_id string, condition string, steps int, runtime_seconds double, submission_empty boolean, "
-    "instance_cost double, exit_status string, returncode string, extra_layers int, overhead_fraction double, seq bigint"
-)
-PREDICTION = "instance_id string, model_name_or_path string, model_patch string, seq bigint"
-REPEAT_ENTRY = (
-    "idx int, name string, layer int, extra_repeats int, total_occurrences int, layer_indices_key string"
-)
-
 
 def as_struct(fields: str) -> str:
     """``a int, b string`` to ``struct<a: int, b: string>``."""

@@ -113,7 +113,7 @@ def test_examples_and_report(spark):
     assert report.filter("decision = 'keep'").count() == 1
 
 
-ANSWERS = [
+ANSWERS = [  # the first case is a golden of the original's tests, ported as it is
     ('{"ranked_files": ["b.py", "a.py"], "rationale": "b"}', ["b.py", "a.py", "c.py"], "json", 2, 1),
     ('x {"ranking": [" c.py ", "zz", "c.py"]}', ["c.py", "a.py", "b.py"], "json", 2, 1),
     ("maybe c.py before a.py", ["c.py", "a.py", "b.py"], "path_order_fallback", 2, 1),
