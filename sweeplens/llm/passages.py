@@ -313,6 +313,8 @@ def matches(a: np.ndarray, b: np.ndarray, rule: Rule) -> list[tuple[int, int, in
     """
     if not a.size or not b.size:
         return []
+    if np.array_equal(a, b):
+        return [(0, a.size, 0, b.size)] if a.size >= rule.stretch else []
     runs = _runs(a, b, rule)
     n = len(runs)
     i_end, j_end = runs[:, 0] + runs[:, 2], runs[:, 1] + runs[:, 2]
@@ -372,27 +374,37 @@ class _Side:
 
 
 def _verified(rule: Rule):
-    """Passages of pairs of texts; rows of one first text stand together, and it is hashed once for all of a batch's."""
+    """Passages of pairs of texts; rows of one first text stand together.
+
+    A first text is hashed once for all of a batch's, and equal partners of it are
+    compared once: their passages are remembered by the hash of the text while the
+    first text stays the same.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, list[tuple]] = {}
+        last = None
         for batch in batches:
-            ids = batch["a"].to_numpy()
-            new = np.append(True, ids[1:] != ids[:-1])
-            for at, to in textarrays.slices(batch["text_b"]):
-                part = batch.slice(at, to - at)
-                lead = np.cumsum(np.append(True, new[at + 1: to])) - 1  # the first row of a part begins a lead
-                heads = np.flatnonzero(np.append(True, np.diff(lead) > 0))
-                others = _Side.of(part["text_b"], rule)
-                rows = []
-                for h0, h1 in textarrays.slices(part["text_a"].take(pa.array(heads))):
-                    leads = _Side.of(part["text_a"].take(pa.array(heads[h0:h1])), rule)
-                    low, high = np.searchsorted(lead, (h0, h1))
-                    for i in range(low, high):
-                        n = int(lead[i]) - h0
-                        for a0, a1, b0, b1 in matches(leads.shingles(n, rule), others.shingles(i, rule), rule):
-                            rows.append((i, *others.span(i, b0, b1, rule), b1 - b0 + rule.words - 1, *leads.span(n, a0, a1, rule)))
-                columns = [pa.array(np.array(c, dtype=np.int64)) for c in (zip(*rows) if rows else [[]] * 6)]
-                of = columns[0]
-                yield pa.RecordBatch.from_arrays([part["a"].take(of), part["b"].take(of), part["hash_b"].take(of), *columns[1:]], names=_SPAN)
+            ids, hashes = batch["a"].to_numpy(), batch["hash_b"].to_numpy()
+            ends = np.append(np.flatnonzero(ids[1:] != ids[:-1]) + 1, ids.size) if ids.size else []
+            begin = 0
+            for end in ends:
+                if ids[begin] != last:
+                    known, last = {}, ids[begin]
+                group = batch.slice(begin, end - begin)
+                distinct, first = np.unique(hashes[begin:end], return_index=True)
+                fresh = group.take(pa.array(first[[h not in known for h in distinct.tolist()]]))
+                lead = _Side.of(group["text_a"].slice(0, 1), rule) if fresh.num_rows else None
+                for at, to in textarrays.slices(fresh["text_b"]):
+                    others = _Side.of(fresh["text_b"].slice(at, to - at), rule)
+                    for i, name in enumerate(fresh["hash_b"].slice(at, to - at).to_pylist()):
+                        found = matches(lead.shingles(0, rule), others.shingles(i, rule), rule)
+                        known[name] = [(*others.span(i, b0, b1, rule), b1 - b0 + rule.words - 1, *lead.span(0, a0, a1, rule)) for a0, a1, b0, b1 in found]
+                rows = [(i, *span) for i, name in enumerate(hashes[begin:end].tolist()) for span in known[name]]
+                for at in range(0, len(rows), 1 << 16):
+                    columns = [pa.array(np.array(c, dtype=np.int64)) for c in zip(*rows[at: at + (1 << 16)])]
+                    of = columns[0]
+                    yield pa.RecordBatch.from_arrays([group["a"].take(of), group["b"].take(of), group["hash_b"].take(of), *columns[1:]], names=_SPAN)
+                begin = end
 
     return run
 
@@ -407,12 +419,12 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     and no text is sent to all tasks.
     """
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).alias("portions"))
-    portion = F.pmod(F.xxhash64("b"), F.col("portions")).alias("portion")
-    dealt = pairs.join(portions, "a").select("a", "b", portion)
     leads = texts.hint("merge").join(portions, F.col("id") == F.col("a")).select(
         "a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("portions") - 1)).alias("portion"), F.col("text").alias("text_a"))
     others = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"), F.xxhash64("text").alias("hash_b"))
-    return dealt.join(others.hint("merge"), "b").join(leads.hint("merge"), ["a", "portion"]).select("a", "b", "hash_b", "text_a", "text_b")
+    portion = F.pmod(F.col("hash_b"), F.col("portions")).alias("portion")  # equal partners stay together
+    dealt = pairs.join(portions, "a").join(others.hint("merge"), "b").select("a", "b", "hash_b", "text_b", portion)
+    return dealt.join(leads.hint("merge"), ["a", "portion"]).select("a", "b", "hash_b", "text_a", "text_b")
 
 
 def repeated(documents: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
