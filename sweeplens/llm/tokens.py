@@ -56,6 +56,9 @@ class Encoder:
         settings = json.loads(json_text)
         self.kind = KINDS[settings["pre_tokenizer"]["type"]]
         self.joint = "\n" if self.kind == "gpt" else " "
+        self.letters = np.zeros(256, dtype=bool)
+        self.letters[97:123] = True
+        self.letters[65:91] = self.kind == "gpt"
         if self.kind == "gpt":
             self.line_end = self._run(["\n"])[0][0]
         else:
@@ -97,34 +100,55 @@ class Encoder:
         while self.fill + ids > self.pool.size:
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
 
-    def _encode(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    def _joined(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
+        """ASCII pieces with the joint between them, put together without a string for each."""
+        size = end - start + 1
+        ends = np.cumsum(size)
+        out = np.append(raw, np.uint8(0))[np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]))]
+        out[ends - 1] = ord(self.joint)
+        return out[:-1].tobytes().decode("ascii")
+
+    def _encode(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """An order of the pieces, all their ids in that order, and how many each has.
 
         Plain pieces are encoded many at a time, put together so that their ids
-        can be told apart.
+        can be told apart; those of ASCII letters go there without being strings.
         """
-        plain = [i for i, p in enumerate(pieces) if self._plain(p)]
+        letters = np.concatenate(([0], np.cumsum(self.letters[raw])))
+        lead = int(self.kind == "gpt")  # a blank before the letters
+        simple = letters[end] - letters[start + lead] == end - start - lead
+        if lead:
+            simple &= (raw[start] == 32) & (end - start > 1)
+        text = raw.tobytes()
+        other = np.flatnonzero(~simple)
+        pieces = [text[s:e].decode() for s, e in zip(start[other].tolist(), end[other].tolist())]
+        able = np.array([self._plain(p) for p in pieces], dtype=bool)
         ids, sizes = [], []
-        for at in range(0, len(plain), JOINED):
-            some = plain[at: at + JOINED]
-            found = np.array(self._run([self.joint.join([pieces[i] for i in some])])[0], dtype=np.uint32)
+
+        def joint(joined: str, n: int) -> None:
+            found = np.array(self._run([joined])[0], dtype=np.uint32)
             if self.kind == "gpt":  # a line end between pieces is one id
                 between = found == self.line_end
                 size = np.diff(np.concatenate(([-1], np.flatnonzero(between), [found.size]))) - 1
                 found = found[~between]
             else:  # a word's last id ends it
                 size = np.diff(np.append(-1, np.flatnonzero(self.ends_word[found])))
-            if len(size) != len(some):
+            if len(size) != n:
                 raise ValueError("pieces and ids do not match")
             ids.append(found)
             sizes.append(size)
-        taken = np.zeros(len(pieces), dtype=bool)
-        taken[plain] = True
-        rest = np.flatnonzero(~taken).tolist()
-        lists = self._run([pieces[i] for i in rest])
+
+        first = np.flatnonzero(simple)
+        for at in range(0, first.size, JOINED):
+            some = first[at: at + JOINED]
+            joint(self._joined(raw, start[some], end[some]), some.size)
+        words = [p for p, a in zip(pieces, able) if a]
+        for at in range(0, len(words), JOINED):
+            joint(self.joint.join(words[at: at + JOINED]), len(words[at: at + JOINED]))
+        lists = self._run([p for p, a in zip(pieces, able) if not a])
         sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
         ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes[-1].sum())))
-        return plain + rest, np.concatenate(ids), np.concatenate(sizes)
+        return np.concatenate((first, other[able], other[~able])), np.concatenate(ids), np.concatenate(sizes)
 
     def _run(self, texts: list[str]) -> list[list[int]]:
         run = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -136,14 +160,14 @@ class Encoder:
             return piece[0] == " " and piece[1:].isalpha()
         return piece.isalpha() and piece.islower()
 
-    def _places(self, hashes: list[int], text_of) -> np.ndarray:
-        """Places of pieces in the pool; ``text_of(i)`` is asked for the text of those that are new."""
+    def _places(self, hashes: list[int], raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of pieces in the pool; ``start`` and ``end`` are where each stands in ``raw``."""
         if self.used and (self.used + len(hashes) > CACHED or self.fill > 16 * CACHED):
             self._trim()
         found = np.array(list(map(self.place.get, hashes, repeat(-1))), dtype=np.int64)
         new = np.flatnonzero(found < 0)
         if new.size:
-            order, ids, sizes = self._encode([text_of(i) for i in new.tolist()])
+            order, ids, sizes = self._encode(raw, start[new], end[new])
             self._room(len(new), len(ids))
             at = slice(self.used, self.used + len(new))
             self.length[at] = sizes
@@ -174,8 +198,7 @@ class Encoder:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         example = np.empty(len(coded.dictionary), dtype=np.int64)
         example[codes] = np.arange(len(codes))
-        text, s, e = raw.tobytes(), start[example].tolist(), end[example].tolist()
-        at = self._places(coded.dictionary.to_pylist(), lambda i: text[s[i]: e[i]].decode())[codes]
+        at = self._places(coded.dictionary.to_pylist(), raw, start[example], end[example])[codes]
         sizes, starts = self.length[at], self.start[at]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         where = np.repeat(starts - ends[:-1], sizes)
