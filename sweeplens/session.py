@@ -67,6 +67,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+ROWS_PER_TASK = 200_000  # fixed value: rows a task may have to sort and aggregate with others of their key
+
+
+def tasks_for(df: DataFrame) -> int:
+    """Tasks of about ``ROWS_PER_TASK`` rows each, at least one a core, for a shuffle by key.
+
+    Adaptive execution merges the shuffles it plans itself down to one task a core, so
+    that the memory of a task grows with the input; a given number of tasks is kept.
+    """
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and cut its lineage.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sweeplens.functions import text as X
 from sweeplens.operators import localization as Z
+from sweeplens.plans import fixtures as fx
 
 PATCH = """diff --git a/src/a.py b/src/a.py
 index 1..2
@@ -158,3 +159,11 @@ def test_search(spark):
     hits = [(r["path"], r["line"]) for r in Z.search_text(files, ["find"], 20).orderBy("hit").collect()]
     assert hits == [("a.py", 1), ("a.py", 3), ("b.py", 2)]
     assert Z.search_text(files, ["find"], 2).count() == 2
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """More input makes more tasks, not larger ones: the rows of localization() are dealt by number."""
+    monkeypatch.setattr("sweeplens.session.ROWS_PER_TASK", 200, raising=False)
+    rows = fx.localization(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    total = sum(r["count"] for r in rows)
+    assert total > 5000 and max(r["count"] for r in rows) < 500
