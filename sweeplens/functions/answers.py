@@ -18,8 +18,9 @@ FIRST_HEADER = r"first pass scores:"
 REVISED_HEADER = r"revised scores:"
 CRITIQUE_HEADER = r"critique:"
 END_MARKER = r"\[end of answer\]"
-NAMED_NUMBER = r"(?U)(?:\d\.\s*)?[A-Za-z]+:\s*(\d+(?:\.\d+)?)"
-LOOSE_NUMBER = r"(?U)\b(\d+(?:\.\d+)?)\b"
+NAMED_NUMBER = r"(?<=[A-Za-z]):\s*(\d+(?:\.\d+)?)"  # looked for by its colon; what stands before the name tells nothing
+LOOSE_NUMBER = r"\b(\d+(?:\.\d+)?)\b"
+ANY_SCRIPT = "(?U)"  # digits, blanks and word borders of all scripts: needed, and paid for, beyond ASCII only
 NEUTRAL = 5.0
 EMOTIONS = 4
 MAX_SCORE = 10.0
@@ -33,7 +34,7 @@ _PLAIN_DIGITS = "".join(str(unicodedata.decimal(c)) for c in _FOREIGN_DIGITS)
 def strip_thinking(text: Column) -> Column:
     """Drop closed think blocks, then an unclosed one up to the end."""
     closed = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    return squeeze(F.regexp_replace(closed, r"(?s)<think>.*", ""))
+    return squeeze(F.when(F.contains(text, F.lit("<think>")), F.regexp_replace(closed, r"(?s)<think>.*", "")).otherwise(text))
 
 
 def _plain(run: Column) -> Column:
@@ -83,8 +84,15 @@ def _section(text: Column, header: str, *stops: str) -> Column:
     return F.regexp_extract(text, rf"(?isu){header}(.*?)(?:{tail})", 1)
 
 
-def _in_range(numbers: Column) -> Column:
-    values = F.transform(numbers, lambda x: _plain(x).try_cast("double"))
+def _numbers(text: Column, pattern: str, most: int | None = None) -> Column:
+    """Numbers matched by group 1 of ``pattern`` (the first ``most``) that lie in the score range."""
+    def found(mode: str) -> Column:
+        runs = F.regexp_extract_all(text, F.lit(mode + pattern), F.lit(1))
+        return F.slice(runs, 1, most) if most else runs
+
+    ascii_only = F.octet_length(text) == F.length(text)
+    foreign = F.transform(found(ANY_SCRIPT), lambda x: _plain(x).try_cast("double"))
+    values = F.when(ascii_only, found("").try_cast("array<double>")).otherwise(foreign)
     return F.filter(values, lambda v: v.isNotNull() & (v >= 0) & (v <= MAX_SCORE))
 
 
@@ -93,24 +101,27 @@ def _pad(values: Column) -> Column:
     return F.slice(F.concat(values, fill), 1, EMOTIONS)
 
 
-def section_scores(section: Column) -> Column:
-    """First four ``Name: number`` values, range-filtered, at least three needed."""
-    found = F.regexp_extract_all(section, F.lit(NAMED_NUMBER), F.lit(1))
-    kept = _in_range(F.slice(found, 1, EMOTIONS))
+def section_numbers(section: Column) -> Column:
+    """First four ``Name: number`` values of a section, range-filtered."""
+    return _numbers(section, NAMED_NUMBER, EMOTIONS)
+
+
+def named_scores(kept: Column) -> Column:
+    """Scores of a section from its numbers, at least three needed."""
     return F.when(F.size(kept) >= 3, _pad(kept))
 
 
 def loose_scores(text: Column) -> Column:
-    return _in_range(F.regexp_extract_all(text, F.lit(LOOSE_NUMBER), F.lit(1)))
+    return _numbers(text, LOOSE_NUMBER)
 
 
-def revised_scores(text: Column) -> Column:
-    return section_scores(_section(text, REVISED_HEADER, END_MARKER))
+def revised_section(text: Column) -> Column:
+    return _section(text, REVISED_HEADER, END_MARKER)
 
 
-def first_scores(text: Column, mode: str = "blend") -> Column:
+def first_section(text: Column, mode: str = "blend") -> Column:
     stops = (CRITIQUE_HEADER,) if mode == "blend" else (END_MARKER, CRITIQUE_HEADER, REVISED_HEADER)
-    return section_scores(_section(text, FIRST_HEADER, *stops))
+    return _section(text, FIRST_HEADER, *stops)
 
 
 def emotion_ladder(first: Column, revised: Column, loose: Column, mode: str = "blend") -> Column:

@@ -28,17 +28,20 @@ def score_emotions(responses: DataFrame, text: str = "raw_output", reference: st
                    mode: str = "blend") -> DataFrame:
     """Predicted values, extraction confidence and score of four-emotion answers."""
     staged = responses.withColumn("_text", A.strip_thinking(F.col(text)))
-    revised = A.revised_scores(F.col("_text")) if mode == "blend" else F.lit(None).cast("array<double>")
-    staged = staged.select(
-        "*", A.first_scores(F.col("_text"), mode).alias("_first"), revised.alias("_revised"),
-        A.loose_scores(F.col("_text")).alias("_loose"))
+    revised = A.revised_section(F.col("_text")) if mode == "blend" else F.lit("")
+    # Column by column: an expression that is read twice is evaluated twice, a column is not.
+    staged = staged.select("*", A.first_section(F.col("_text"), mode).alias("_s1"), revised.alias("_s2"))
+    staged = staged.select("*", A.section_numbers(F.col("_s1")).alias("_n1"), A.section_numbers(F.col("_s2")).alias("_n2"))
+    staged = staged.select("*", A.named_scores(F.col("_n1")).alias("_first"), A.named_scores(F.col("_n2")).alias("_revised"))
+    named = F.col("_first").isNotNull() | F.col("_revised").isNotNull()  # then the ladder does not come to the loose ones
+    staged = staged.withColumn("_loose", F.when(~named, A.loose_scores(F.col("_text"))))
     ladder = A.emotion_ladder(F.col("_first"), F.col("_revised"), F.col("_loose"), mode)
     staged = staged.withColumn("_picked", ladder)
     return (
         staged.withColumn("extracted", F.col("_picked.values"))
         .withColumn("confidence", F.col("_picked.confidence"))
         .withColumn("score", A.emotion_score(F.col("extracted"), F.col(reference), F.col("confidence")))
-        .drop("_text", "_first", "_revised", "_loose", "_picked")
+        .drop("_text", "_s1", "_s2", "_n1", "_n2", "_first", "_revised", "_loose", "_picked")
     )
 
 

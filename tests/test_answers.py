@@ -105,3 +105,13 @@ def test_prompts(one):
     row = one(a=S.render_messages(msgs), b=S.render_messages(msgs, False, "<s>"), n=S.numbered_text(F.lit("a\nb\n")))
     assert row["a"] == "SYSTEM: Be brief\n\nUSER: Hi\n\nASSISTANT:" and row["b"] == "<s>SYSTEM: Be brief\n\nUSER: Hi"
     assert row["n"] == "   1: a\n   2: b"
+
+
+def test_other_scripts_and_plain_text_are_read_alike(spark, one):
+    """Plain text takes the fast patterns, any foreign character the wide ones; a think block costs nothing where there is none."""
+    assert emotions(spark, "First pass scores: A:\u2003\u0667 B: 2 C: 3")[0] == [7.0, 2.0, 3.0, 5.0]
+    assert emotions(spark, "First pass scores: 1. Ab: 7 2.B: 2 xyz C : 9 D: 3.5 \u00e9: 4 E: 6")[0] == [7.0, 2.0, 3.5, 6.0]
+    assert emotions(spark, "First pass scores: 1. Ab: 7 2.B: 2 xyz C : 9 D: 3.5 -: 4 E: 6")[0] == [7.0, 2.0, 3.5, 6.0]
+    rows = spark.createDataFrame([("a b", [5.0] * 4)], "raw_output string, reference array<double>")
+    plan = S.score_emotions(rows).select("score")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(_text") == 2  # each section is cut out once
