@@ -167,3 +167,14 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     rows = fx.localization(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id().alias("task")).count().collect()
     total = sum(r["count"] for r in rows)
     assert total > 5000 and max(r["count"] for r in rows) < 500
+
+
+def test_issues_meet_their_snippets_last(spark):
+    """Many issues at one line share one snippet: it is cut and kept once, not once an issue."""
+    files = spark.createDataFrame([("r", f"src/f{k}.py", "\n".join(f"line {k} {n}" for n in range(30))) for k in range(5)], "repo string, path string, text string")
+    issues = spark.createDataFrame([(i, "r", "diff --git a/src/f0.py b/src/f0.py\n@@ -5 +5 @@\n-x") for i in range(50)], "issue_id int, repo string, patch string")
+    out = Z.build_examples(issues, files, distractors=3, snippet_lines=10, min_lines=5)
+    rows = out.collect()
+    assert len(rows) == 50 and all(r["skip_reason"] is None and len(r["candidate_files"]) == 4 and r["true_edit"] for r in rows)
+    plan = out.select("issue_id", "skip_reason")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_own" not in plan and "true_edit" not in plan
