@@ -287,23 +287,29 @@ class Ensemble:
     def predict(self, x: np.ndarray) -> np.ndarray:
         """Predictions of rows of features: all trees are walked level by level, some rows at a time."""
         out = np.empty(len(x))
-        step = max(1, (1 << 20) // max(1, len(self.feature)))
+        step = max(1, (1 << 17) // max(1, len(self.feature)))  # few enough to stay near the processor
         inner = self.feature.shape[1]
         start = np.arange(len(self.feature)) * inner
-        feature, cut = self.feature.ravel(), self.cut.ravel()
+        leaf = np.arange(start.size) * self.value.shape[1] - inner
+        feature, cut, value = self.feature.ravel(), self.cut.ravel(), self.value.ravel()
         for at in range(0, len(x), step):
             part = x[at: at + step]
             first = np.arange(len(part))[:, None] * x.shape[1]
+            flat = part.ravel()
             node = np.zeros((len(part), start.size), dtype=np.int64)
             for _ in range(self.depth):
                 here = node + start
-                node = 2 * node + 1 + (part.ravel()[first + feature[here]] >= cut[here])
-            out[at: at + step] = self.base + self.value[np.arange(start.size), node - inner].sum(axis=1)
+                node = 2 * node + 1 + (flat.take(first + feature.take(here)) >= cut.take(here))
+            out[at: at + step] = self.base + value.take(node + leaf).sum(axis=1)
         return out
 
 
 def predicted(df: DataFrame, models: dict[str, Ensemble], features: str = "counts") -> DataFrame:
-    """``df`` with ``pred_<name>`` for each model; a row without features has null."""
+    """``df`` with ``pred_<name>`` for each model; a row without features has null.
+
+    The walk is marked so that filters on its results stay above it: rows that an
+    earlier filter drops are then not walked.
+    """
     spark: SparkSession = df.sparkSession
     shared = spark.sparkContext.broadcast(models)
     fields = ", ".join(f"pred_{name}: double" for name in models)
@@ -319,7 +325,7 @@ def predicted(df: DataFrame, models: dict[str, Ensemble], features: str = "count
                   for m in shared.value.values()]
         return pa.StructArray.from_arrays(arrays, names=[f"pred_{name}" for name in shared.value])
 
-    made = df.withColumn("_walked", walk(F.col(features).cast("array<double>")))
+    made = df.withColumn("_walked", walk.asNondeterministic()(F.col(features).cast("array<double>")))
     return made.select(*df.columns, *[F.col(f"_walked.pred_{name}").alias(f"pred_{name}") for name in models])
 
 

@@ -159,7 +159,12 @@ def linear_predictor(weights: dict[str, list[float]]) -> Callable[[DataFrame], D
 
 def model_predictor(models: dict[str, Ensemble]) -> Callable[[DataFrame], DataFrame]:
     """Trained tree ensembles (``boosting.Ensemble`` by target) as predictions."""
-    return lambda df: predicted(df, models)
+    def predict(df: DataFrame) -> DataFrame:
+        return predicted(df, models)
+
+    predict.method = lambda df: predicted(df, {"method": models["method"]})
+    predict.floors = lambda df: predicted(df, {name: m for name, m in models.items() if name != "method"})
+    return predict
 
 
 def score(candidates: DataFrame, predictor: Callable[[DataFrame], DataFrame], penalty: float = 0.5,
@@ -178,6 +183,14 @@ def _best_per_vector(rows: DataFrame) -> DataFrame:
     return rows.groupBy("counts_csv").agg(best.alias("_b")).select("counts_csv", "_b.*")
 
 
+def _floor(probe: DataFrame, k: int) -> float | None:
+    """The ``k``-th best distinct score of accepted probe rows, or None where there are fewer."""
+    seen = _best_per_vector(probe.filter("accepted").select("counts_csv", "candidate_id", "pred_final"))
+    best = seen.orderBy(F.desc("pred_final"), F.asc("candidate_id")).limit(k)
+    found = one_row(best.agg(F.count("*").alias("n"), F.min("pred_final").alias("low")))
+    return found["low"] if found["n"] == k else None
+
+
 def distinct_top_k(scored: DataFrame, k: int, probe: DataFrame | None = None) -> DataFrame:
     """Exactly the ``k`` best distinct count vectors.
 
@@ -191,10 +204,9 @@ def distinct_top_k(scored: DataFrame, k: int, probe: DataFrame | None = None) ->
     rows = scored.filter("accepted")
     order = [F.desc("pred_final"), F.asc("candidate_id")]
     if probe is not None:
-        seen = _best_per_vector(probe.filter("accepted").select("counts_csv", "candidate_id", "pred_final"))
-        floor = one_row(seen.orderBy(*order).limit(k).agg(F.count("*").alias("n"), F.min("pred_final").alias("low")))
-        if floor["n"] == k:
-            rows = rows.filter(F.col("pred_final") >= floor["low"])
+        floor = _floor(probe, k)
+        if floor is not None:
+            rows = rows.filter(F.col("pred_final") >= floor)
     return top_n(_best_per_vector(rows), order, k)
 
 
@@ -202,12 +214,25 @@ def search(ids: DataFrame, n: int, predictor: Callable[[DataFrame], DataFrame],
            min_math: float = -0.02, min_eq: float = -0.02, probe_share: float = 0.02, **options) -> DataFrame:
     """Generate, score and select in one job; nothing is written in between.
 
-    The probe generates and scores only its own share of the ids.
+    The probe generates and scores only its own share of the ids.  Models that cost
+    a walk are asked in turn: a row whose method score lies below the probe's floor
+    cannot be chosen, whatever the other two say of it.
     """
+    if k < 1:
+        raise ValueError("k must be >= 1")
+
     def scored(part: DataFrame) -> DataFrame:
         return score(generate(part, n, **options), predictor, penalty, min_math, min_eq)
 
-    return distinct_top_k(scored(ids), k, scored(ids.sample(probe_share, 7)))
+    probe = scored(ids.sample(probe_share, 7))
+    if not hasattr(predictor, "method"):
+        return distinct_top_k(scored(ids), k, probe)
+    floor = _floor(probe, k)
+    if floor is None:
+        return distinct_top_k(scored(ids), k)
+    final = F.col("pred_method") - F.col("relative_overhead") * float(penalty)
+    high = predictor.method(generate(ids, n, **options)).filter(final >= floor)
+    return distinct_top_k(score(high, predictor.floors, penalty, min_math, min_eq), k)
 
 
 def score_summary(scored: DataFrame, k: int) -> DataFrame:

@@ -200,3 +200,15 @@ def test_search_with_trained_models_scores_as_the_models_do(spark, ids):
     want = sorted(best.items(), key=lambda kv: kv[1])[:20]
     assert [(r["counts_csv"], r["candidate_id"]) for r in found] == [(c, key[1]) for c, key in want]
     assert [r["pred_final"] for r in found] == pytest.approx([-key[0] for _, key in want])
+
+
+def test_search_walks_the_floor_models_only_above_the_probe(spark, ids):
+    """The method score drops rows before the other two models are asked."""
+    rng = random.Random(2)
+    data = [([k], [rng.randrange(1, 4) for _ in range(5)]) for k in range(150)]
+    rows = spark.createDataFrame([(k, c, float(c[0] - c[1]), float(c[0]), float(c[1])) for k, c in data],
+                                 "layer_key array<int>, counts array<int>, balanced_score double, math_delta double, eq_delta double")
+    models = S.train(S.holdout_split(rows, "balanced_score", "layer_key", 0.2, 1), retries=1, rounds_scale=0.02).models
+    found = K.search(ids, 5, K.model_predictor(models), 2, 0.5, -9.0, -9.0, probe_share=0.5, max_extra=4, max_repeat=3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and plan.index("ArrowEvalPython") < plan.rindex("Filter") < plan.rindex("ArrowEvalPython")
