@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sweeplens.llm import textarrays
-from sweeplens.llm.shared import IdFilter, components, forest, key_groups, written
+from sweeplens.llm.shared import IdFilter, components, contracted, forest, key_groups, local_forest, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -207,13 +207,16 @@ def _cell_edges(key: np.ndarray, n: np.ndarray, s: np.ndarray, point: np.ndarray
 
 
 def _cells(rule: Rule):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in key_groups(batches, ["key"], 1 << 16):
             key, n, s = (table[c].to_numpy() for c in ("key", "n", "s"))
             point = np.frombuffer(b"".join(table["point"].to_pylist()), np.uint8).reshape(-1, GROUPS)
             a, b = _cell_edges(key, n, s, point, rule)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return local_forest(edges(batches))
+
     return run
 
 
@@ -232,7 +235,7 @@ def _families(postings: DataFrame, rule: Rule) -> DataFrame:
     star = shared.join(large, "key").select(F.col("s").alias("a"), F.col("hub").alias("b"))
     met = (shared.join(large, "key", "left_anti").join(points, "s").select("key", "n", "s", "point").repartition("key").sortWithinPartitions("key", "n", "s")
            .mapInArrow(_cells(rule), "a bigint, b bigint"))
-    return components(met.union(star))
+    return components(met.union(contracted(star.where("a <> b"))), forests=True)
 
 
 def _set_bytes(words: int):

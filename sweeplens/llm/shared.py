@@ -103,8 +103,12 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 FOREST = 1 << 18  # edges (16 bytes each) that are held together when edges are contracted inside a task
 
 
-def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a task as a forest, some at a time: what is left of the earlier ones meets the next."""
+def local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task as a forest, some at a time: what is left of the earlier ones meets the next.
+
+    Python that makes edges gives them to this itself: another ``mapInArrow`` on
+    top would take a second worker a task, and idle workers keep their memory.
+    """
     a = b = np.empty(0, dtype=np.int64)
     held = 0
     parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -127,22 +131,23 @@ def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def contracted(edges: DataFrame) -> DataFrame:
     """Replace the edges of each task by spanning forests (node a, root b) of as many edges as fit in memory."""
-    return edges.select("a", "b").mapInArrow(_local_forest, "a bigint, b bigint")
+    return edges.select("a", "b").mapInArrow(local_forest, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, forests: bool = False) -> DataFrame:
     """Smallest reachable node for every node of ``edges`` (a, b): columns node, root.
 
-    Edges are contracted inside tasks, as many tasks as they need at ``FOREST``
-    edges each.  While that is more than one, the two star operations of Kiveris
-    et al. (2014) alternate: neighbours above a node hang onto its smallest
-    neighbour, then those below.  Each is one minimum per node and a join, so the
+    Edges are contracted inside tasks (with ``forests`` they come so from the
+    tasks that make them), as many tasks as they need at ``FOREST`` edges each.
+    While that is more than one, the two star operations of Kiveris et al. (2014)
+    alternate: neighbours above a node hang onto its smallest neighbour, then
+    those below.  Each is one minimum per node and a join, so the
     number of rounds grows with the logarithm of the size, for chains and hubs
     alike.  Each round is a written table.  Nodes without an edge are not in the
     result.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
-    now = written(contracted(edges), "edges")
+    now = written(edges.select("a", "b") if forests else contracted(edges), "edges")
     seen = _sum(now)
     while seen[0] > FOREST:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

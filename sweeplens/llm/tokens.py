@@ -14,7 +14,7 @@ import json
 import os
 import sys
 import types
-from itertools import chain, repeat
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -47,6 +47,38 @@ def encoder(json_text: str) -> Encoder:
     return getattr(store, key)
 
 
+class Places:
+    """The place of each known hash, by two sorted arrays: a dict of Python numbers would take seven times as much."""
+
+    def __init__(self):
+        self.key, self.at = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+
+    def __len__(self) -> int:
+        return self.key.size
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of hashes, -1 for unknown ones."""
+        near = np.searchsorted(self.key, hashes)
+        known = near < self.key.size
+        known[known] = self.key[near[known]] == hashes[known]
+        out = np.full(hashes.size, -1, dtype=np.int64)
+        out[known] = self.at[near[known]]
+        return out
+
+    def add(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        """Hashes that are not known yet."""
+        order = np.argsort(hashes)
+        hashes, places = hashes[order], places[order]
+        into = np.searchsorted(self.key, hashes)
+        self.key, self.at = np.insert(self.key, into, hashes), np.insert(self.at, into, places)
+
+    def hashes(self) -> np.ndarray:
+        """The hash at each place."""
+        out = np.empty(self.key.size, dtype=np.uint64)
+        out[self.at] = self.key
+        return out
+
+
 class Encoder:
     def __init__(self, json_text: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -68,9 +100,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place = Places()
         self.start, self.length, self.uses = (np.zeros(1024, dtype=np.int64) for _ in range(3))
-        self.key = np.zeros(1024, dtype=np.uint64)
         self.pool = np.zeros(4096, dtype=np.uint32)
         self.used = self.fill = 0
 
@@ -86,17 +117,17 @@ class Encoder:
         sizes = self.length[kept]
         ends = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.start[kept] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        key, uses = self.key[kept], self.uses[kept] // 2
+        key, uses = self.place.hashes()[kept], self.uses[kept] // 2
         self._forget()
         self._room(kept.size, ids.size)
-        self.start[: kept.size], self.length[: kept.size], self.uses[: kept.size], self.key[: kept.size] = ends - sizes, sizes, uses, key
+        self.start[: kept.size], self.length[: kept.size], self.uses[: kept.size] = ends - sizes, sizes, uses
         self.pool[: ids.size] = ids
-        self.place = dict(zip(key.tolist(), range(kept.size)))
+        self.place.add(key, np.arange(kept.size))
         self.used, self.fill = kept.size, ids.size
 
     def _room(self, pieces: int, ids: int) -> None:
         while self.used + pieces > self.start.size:
-            self.start, self.length, self.uses, self.key = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length, self.uses, self.key))
+            self.start, self.length, self.uses = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length, self.uses))
         while self.fill + ids > self.pool.size:
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
 
@@ -160,11 +191,11 @@ class Encoder:
             return piece[0] == " " and piece[1:].isalpha()
         return piece.isalpha() and piece.islower()
 
-    def _places(self, hashes: list[int], raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def _places(self, hashes: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Places of pieces in the pool; ``start`` and ``end`` are where each stands in ``raw``."""
         if self.used and (self.used + len(hashes) > CACHED or self.fill > 16 * CACHED):
             self._trim()
-        found = np.array(list(map(self.place.get, hashes, repeat(-1))), dtype=np.int64)
+        found = self.place.find(hashes)
         new = np.flatnonzero(found < 0)
         if new.size:
             order, ids, sizes = self._encode(raw, start[new], end[new])
@@ -174,9 +205,8 @@ class Encoder:
             self.start[at] = self.fill + np.cumsum(sizes) - sizes
             self.pool[self.fill: self.fill + len(ids)] = ids
             found[new[order]] = np.arange(self.used, self.used + len(new))
-            keys = [hashes[i] for i in new[order].tolist()]
-            self.key[at], self.uses[at] = np.array(keys, dtype=np.uint64), 0
-            self.place.update(zip(keys, range(self.used, self.used + len(new))))
+            self.uses[at] = 0
+            self.place.add(hashes[new[order]], found[new[order]])
             self.used += len(new)
             self.fill += len(ids)
         self.uses[found] += 1  # the hashes are distinct
@@ -198,7 +228,7 @@ class Encoder:
         codes = coded.indices.to_numpy(zero_copy_only=False)
         example = np.empty(len(coded.dictionary), dtype=np.int64)
         example[codes] = np.arange(len(codes))
-        at = self._places(coded.dictionary.to_pylist(), raw, start[example], end[example])[codes]
+        at = self._places(coded.dictionary.to_numpy(), raw, start[example], end[example])[codes]
         sizes, starts = self.length[at], self.start[at]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         where = np.repeat(starts - ends[:-1], sizes)

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from sweeplens.llm import jaccard, passages
+from sweeplens.llm import jaccard, passages, shared
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DOCS = "doc_id bigint, text string, n_chars bigint, row string, s int"
@@ -71,6 +71,27 @@ def test_classes(spark, monkeypatch, k, over, chunk, small):
     assert sorted(map(tuple, got), key=str) == brute(rows, k, over, 100)
 
 
+def test_edges_are_made_and_contracted_by_one_worker_a_task(spark, monkeypatch):
+    plans, write = [], shared.written
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(shared, "written", seen)
+    monkeypatch.setattr(jaccard, "LARGEST", 5)
+    jaccard.classes(frame(spark, corpus(n=60)), jaccard.Rule(3, 90, 100)).count()
+    assert sum("MapInArrow" in p for p in plans) > 1
+    for plan in plans:
+        above = []  # the nodes above a line, as far as its task
+        for line in plan.splitlines():
+            depth = len(re.match(r"[\s:+-]*", line)[0])
+            above = [x for x in above if x[0] < depth]
+            if line[depth:].startswith("MapInArrow"):
+                assert not any(x[1].startswith("MapInArrow") for x in above), plan
+            above = [] if line[depth:].startswith("Repartition") else [*above, (depth, line[depth:])]
+
+
 def test_one_each_and_empty(spark):
     rows = [(i, t) for i, (_, t) in enumerate(corpus(n=60))]
     want = sorted(i for i, n, c in brute(rows, 5, 80, 100) if i == c)

@@ -1,6 +1,7 @@
 """Token ids, frame files and packing against the tokenizers library and plain Python."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -47,6 +48,19 @@ def test_encoder_forgets_some_pieces_and_stays_right(path, monkeypatch):
     assert own.uses[: own.used].max() > 1
 
 
+def test_encoder_remembers_pieces_in_little_memory():
+    own, n = tokens.Encoder(tokens.tokenizer_json(WORD)), 50_000
+    own.encode(pa.array(["a"]))  # what does not depend on the pieces is there from now on
+    rng = random.Random(8)
+    words = {"".join(rng.choices("abcdefgh", k=8)) for _ in range(n)}
+    tracemalloc.start()
+    own.encode(pa.array([" ".join(words)]))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert own.used > len(words) > n * 0.99
+    assert held < 100 * len(words)
+
+
 def docs(spark):
     return spark.createDataFrame([(5 * i if i % 3 else 5 * i - 2, t, 7, "x") for i, t in enumerate(ODD)] + [(None, "no id", 7, "x"), (0, "again", 7, "x")], DOCS)
 
