@@ -1,6 +1,7 @@
 """Patches, distractors, snippets, examples and ranked answers."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sweeplens.functions import text as X
 from sweeplens.operators import localization as Z
 from sweeplens.plans import fixtures as fx
+from sweeplens.session import shared_dir
 
 PATCH = """diff --git a/src/a.py b/src/a.py
 index 1..2
@@ -178,3 +180,49 @@ def test_issues_meet_their_snippets_last(spark):
     assert len(rows) == 50 and all(r["skip_reason"] is None and len(r["candidate_files"]) == 4 and r["true_edit"] for r in rows)
     plan = out.select("issue_id", "skip_reason")._jdf.queryExecution().optimizedPlan().toString()
     assert "_own" not in plan and "true_edit" not in plan
+
+
+def test_issues_leave_names_only_on_disk(spark):
+    """Hunks at many lines of one file: neither patches nor a snippet a line are written, just the names asked for."""
+    files = spark.createDataFrame([("r", f"src/f{k}.py", "\n".join(f"line {k} {n} " + "x" * 60 for n in range(3000))) for k in range(5)], "repo string, path string, text string")
+    issues = spark.createDataFrame([(n, "r", f"diff --git a/src/f0.py b/src/f0.py\n@@ -{n + 1} +{n + 1} @@\n-x") for n in range(2000)], "issue_id int, repo string, patch string")
+    written = lambda: sum(f.stat().st_size for f in Path(shared_dir(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    before = written()
+    out = Z.build_examples(issues, files, distractors=3, snippet_lines=10, min_lines=5)
+    assert written() - before < 50_000
+    rows = out.select("issue_id", F.expr("filter(candidate_files, c -> c.file_path = ground_truth)[0].start_line").alias("start")).collect()
+    assert len(rows) == 2000 and all(r["start"] == max(1, r["issue_id"] - 4) for r in rows)
+
+
+def test_own_snippets_match_plain_python(spark):
+    """Every line of files with blank lines, ends of their own and odd terminators, cut around and counted as the original does."""
+    rng = random.Random(5)
+    texts = ["", "\n", "a", "a\n\n", *("".join(rng.choice(["", "", "a", " b", "c"]) + rng.choice(["\n", "\r\n", "\x0b", "\n"]) for _ in range(rng.randrange(1, 14))) for _ in range(12))]
+    files = spark.createDataFrame([("r", f"src/f{k}.py", t) for k, t in enumerate(texts)] + [("r", "src/none.py", None)], "repo string, path string, text string")
+    diff = lambda p, n: f"diff --git a/{p} b/{p}\n@@ -{n} +{n} @@\n+x"
+    issues = spark.createDataFrame([(f"{k}:{n}", "r", diff(f"src/f{k}.py", n)) for k in range(len(texts)) for n in range(16)] + [("none:1", "r", diff("src/none.py", 1))], "issue_id string, repo string, patch string")
+
+    def want(k, n, size=4, least=3):
+        lines = texts[k].splitlines()
+        middle = max(0, min(len(lines) - 1, n - 1))
+        end = min(len(lines), max(0, middle - size // 2) + size)
+        start = max(0, end - size)
+        snippet = "\n".join(lines[start:end])
+        if len(lines) < least:
+            return f"correct file too short: src/f{k}.py", None
+        if len(snippet.splitlines()) < least:
+            return "correct snippet too short", None
+        return None, (snippet, start + 1, end)
+
+    rows = Z.build_examples(issues, files, distractors=0, snippet_lines=4, min_lines=3).collect()
+    assert len(rows) == 16 * len(texts) + 1
+    for r in rows:
+        if r["issue_id"] == "none:1":
+            assert r["skip_reason"] == "correct file missing/unreadable: src/none.py"
+            continue
+        reason, own = want(*map(int, r["issue_id"].split(":")))
+        assert r["skip_reason"] == reason, r["issue_id"]
+        assert (own is None) == (r["candidate_files"] is None)
+        if own:
+            c, = r["candidate_files"]
+            assert (c["code_snippet"], c["start_line"], c["end_line"]) == own and c["file_path"] == r["ground_truth"]
